@@ -1,15 +1,17 @@
-"""Parsing and validating recorded answers, as Column expressions only.
+"""Parsing and validating recorded answers with built-in expressions only.
 
-Every validator takes the raw text and returns ``struct<answer, error>`` (the error
-is a short code; NULL when valid).  JSON goes through VARIANT so that integers,
+``with_choice`` and ``with_validation`` add ``answer`` and ``error`` (a short code,
+NULL when valid) to a table.  They work in staged projections, so each intermediate
+value is computed once per row.  JSON goes through VARIANT so that integers,
 decimals, strings and booleans stay distinguishable.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Characters trimmed around an answer, whitespace, hedge markers, fields.
@@ -44,80 +46,84 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE_CHARS))
 
 
-def strip_code_fence(text: Column) -> Column:
-    """Drop a surrounding Markdown fence, on its own lines or collapsed onto one."""
-    bare = strip(text)
-    opened = F.regexp_replace(F.substr(bare, F.lit(4)), LANGUAGE_TAG, "")
-    tail = F.rtrim(opened, F.lit(WHITESPACE_CHARS))
-    closed = F.when(tail.endswith("```"), F.substr(tail, F.lit(1), F.length(tail) - 3)).otherwise(opened)
-    return F.when(bare.startswith("```"), strip(closed)).otherwise(bare)
-
+def unfenced(bare: Column) -> Column:
+    """Drop a Markdown fence around an already stripped text.
 
-def strip_emphasis(text: Column) -> Column:
-    return F.btrim(text, F.lit(EMPHASIS_CHARS))
+    The fence may stand on its own lines or be collapsed onto one; the closing one is
+    only dropped at the very end.
+    """
+    opened = F.regexp_replace(F.substr(bare, F.lit(4)), LANGUAGE_TAG, "")
+    return F.when(bare.startswith("```"), strip(F.regexp_replace(opened, "```\\z", ""))).otherwise(bare)
 
 
-def _any_of(text: Column, needles: Sequence[str]) -> Column:
-    hit = F.lit(False)
-    for needle in needles:
-        hit = hit | text.contains(needle)
-    return hit
+def strip_code_fence(text: Column) -> Column:
+    return unfenced(strip(text))
 
 
-def _result(answer: Column, error: Column) -> Column:
-    return F.struct(answer.alias("answer"), error.alias("error"))
+def strip_emphasis(text: Column) -> Column:
+    return F.btrim(text, F.lit(EMPHASIS_CHARS))
 
 
-def _json_text(value: Column) -> Column:
-    """A VARIANT scalar as text, only when it is a JSON string."""
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+_HEDGE_PATTERN = "|".join(re.escape(marker).replace("\\ ", " ") for marker in HEDGE_MARKERS)
 
 
-def parse_choice(text: Column) -> Column:
-    """``struct<answer: 'A'|'B', error>`` of a free-text or JSON forced choice.
+def with_choice(df: DataFrame, text: str, answer: str = "answer", error: str = "error") -> DataFrame:
+    """Parse a free-text or JSON forced choice into A or B.
 
     JSON wins when the text is JSON at all: it must be an object whose
     ``overall_quality`` (or, without that key, ``choice``) is A or B.  Otherwise a
     hedge anywhere rejects the answer, and then the letter must lead the text.
     """
-    cleaned = strip_emphasis(strip_code_fence(text))
+    clean, doc = F.col("__clean"), F.col("__doc")
+    staged = df.withColumn("__bare", strip(F.col(text)))
+    staged = staged.withColumn("__clean", strip_emphasis(unfenced(F.col("__bare"))))
     # Only these first characters can open a JSON document; anything else skips the parser.
-    may_be_json = cleaned.rlike("^[\\s]*[\\[{\"\\-0-9tfnNI]")
-    document = F.when(may_be_json, F.try_parse_json(cleaned))
-    is_json = document.isNotNull() & ~F.is_variant_null(document)
-    fields = F.try_variant_get(document, "$", "map<string,variant>")
-    value = F.when(
-        F.map_contains_key(fields, F.lit("overall_quality")), F.try_element_at(fields, F.lit("overall_quality"))
-    ).otherwise(F.try_element_at(fields, F.lit("choice")))
-    json_letter = F.upper(strip(_json_text(value)))
-    json_ok = F.coalesce(json_letter.isin("A", "B"), F.lit(False))
-
-    letter = F.upper(F.nullif(F.regexp_extract(cleaned, LETTER_FIRST, 1), F.lit("")))
-    hedged = _any_of(F.lower(cleaned), HEDGE_MARKERS)
-    answer = (
-        F.when(is_json & json_ok, json_letter)
-        .when(is_json, F.lit(None).cast("string"))
-        .when(letter.isNotNull() & ~hedged, letter)
+    staged = staged.withColumns(
+        {
+            "__doc": F.when(clean.rlike("^[\\s]*[\\[{\"\\-0-9tfn]"), F.try_parse_json(clean)),
+            "__letter": F.upper(F.nullif(F.regexp_extract(clean, LETTER_FIRST, 1), F.lit(""))),
+            "__hedged": F.lower(clean).rlike(_HEDGE_PATTERN),
+        }
+    )
+    value = F.coalesce(
+        F.try_variant_get(doc, "$.overall_quality", "variant"), F.try_variant_get(doc, "$.choice", "variant")
     )
-    error = (
-        F.when(text.isNull(), F.lit("no_response_text"))
-        .when(is_json & json_ok, F.lit(None).cast("string"))
-        .when(is_json & fields.isNull(), JSON_NOT_OBJECT)
-        .when(is_json, JSON_NO_LETTER)
-        .when(cleaned.startswith("{"), BROKEN_JSON)
-        .when(hedged, HEDGED)
-        .when(letter.isNull(), NO_LETTER)
+    staged = staged.withColumns(
+        {
+            "__json": F.when(~F.is_variant_null(doc), F.schema_of_variant(doc)),
+            "__value": F.upper(strip(F.try_variant_get(value, "$", "string"))),
+        }
     )
-    return _result(answer, error)
+    is_json, good = F.col("__json").isNotNull(), F.coalesce(F.col("__value").isin("A", "B"), F.lit(False))
+    letter, hedged = F.col("__letter"), F.col("__hedged")
+    nothing = F.lit(None).cast("string")
+    return staged.withColumns(
+        {
+            answer: F.when(is_json, F.when(good, F.col("__value"))).when(~hedged, letter),
+            error: F.when(F.col(text).isNull(), "no_response_text")
+            .when(is_json & good, nothing)
+            .when(is_json & ~F.col("__json").startswith("OBJECT"), JSON_NOT_OBJECT)
+            .when(is_json, JSON_NO_LETTER)
+            .when(clean.startswith("{"), BROKEN_JSON)
+            .when(hedged, HEDGED)
+            .when(letter.isNull(), NO_LETTER),
+        }
+    ).drop("__bare", "__clean", "__doc", "__letter", "__hedged", "__json", "__value")
 
 
 # -- JSON rubrics ------------------------------------------------------------------------
 
 
 def _fields(document: Column) -> Column:
+    """Members of a JSON object; NULL for anything else."""
     return F.try_variant_get(document, "$", "map<string,variant>")
 
 
+def _json_text(value: Column) -> Column:
+    """A VARIANT scalar as text, only when it is a JSON string."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
 def _has_exactly(fields: Column, names: Sequence[str]) -> Column:
     return F.coalesce(F.array_sort(F.map_keys(fields)) == F.array(*[F.lit(n) for n in sorted(names)]), F.lit(False))
 
@@ -155,27 +161,24 @@ def _ratings_ok(fields: Column) -> Column:
     return _has_exactly(fields, RATING_FIELDS) & _every([_integer_in(fields, f, 1, 5) for f in RATING_FIELDS])
 
 
-def ratings_of(document: Column) -> Column:
-    """Ratings of a validated document as ``map<string,double>``."""
-    fields = _fields(document)
+def ratings_of(fields: Column) -> Column:
+    """Ratings of validated members as ``map<string,double>``."""
     return F.create_map(*[x for f in RATING_FIELDS for x in (F.lit(f), _number(fields, f))])
 
 
-def integer_ratings_error(document: Column) -> Column:
+def integer_ratings_error(fields: Column) -> Column:
     """Pilot rubric: exactly the five fields, integers 1-5."""
-    return F.when(~_ratings_ok(_fields(document)), F.lit("bad_integer_ratings"))
+    return F.when(~_ratings_ok(fields), F.lit("bad_integer_ratings"))
 
 
-def decimal_ratings_error(document: Column) -> Column:
+def decimal_ratings_error(fields: Column) -> Column:
     """Context rubric: exactly the five fields, 1.0-10.0 with at most one decimal."""
-    fields = _fields(document)
     ok = _has_exactly(fields, RATING_FIELDS) & _every([_one_decimal_in(fields, f, 1.0, 10.0) for f in RATING_FIELDS])
     return F.when(~ok, F.lit("bad_decimal_ratings"))
 
 
-def comparison_error(document: Column) -> Column:
+def comparison_error(fields: Column) -> Column:
     """Pilot comparison: two integer rating sets and a preference from -2 to 2."""
-    fields = _fields(document)
     side = {s: _fields(F.try_element_at(fields, F.lit(s))) for s in ("story_a", "story_b")}
     return (
         F.when(~_has_exactly(fields, ("story_a", "story_b", "preference")), "bad_comparison_fields")
@@ -185,25 +188,22 @@ def comparison_error(document: Column) -> Column:
     )
 
 
-def _normalised_choices(document: Column) -> Column:
-    """Category choices with the alternate spelling folded in, unless both are present."""
-    fields = _fields(document)
+def normalised_choices(fields: Column) -> Column:
+    """Members with the alternate spelling folded in, unless both spellings are present."""
     old, new = ALTERNATE_SPELLING
     renamed = F.transform_keys(fields, lambda k, _: F.when(k == old, F.lit(new)).otherwise(k))
     return F.when(F.map_contains_key(fields, F.lit(new)), fields).otherwise(renamed)
 
 
-def choices_of(document: Column) -> Column:
-    """Category choices of a validated document as ``map<string,string>``."""
-    fields = _normalised_choices(document)
+def choices_of(fields: Column) -> Column:
+    """Category choices of validated, normalised members as ``map<string,string>``."""
     return F.create_map(
         *[x for f in RATING_FIELDS for x in (F.lit(f), _json_text(F.try_element_at(fields, F.lit(f))))]
     )
 
 
-def choices_error(document: Column, allowed: Sequence[str]) -> Column:
+def choices_error(fields: Column, allowed: Sequence[str]) -> Column:
     """Per-category choices: exactly the five fields, each one of ``allowed``."""
-    fields = _normalised_choices(document)
     values_ok = _every(
         [
             F.coalesce(_json_text(F.try_element_at(fields, F.lit(f))).isin(*allowed), F.lit(False))
@@ -217,31 +217,49 @@ FORCED_VALUES = ("A", "B")
 TIE_VALUES = ("A", "B", "tie")
 
 
-def validate(text: Column, trial_type: Column, choice_mode: Column, response_format: Column) -> Column:
-    """Dispatch to the validator of a trial kind.
+def with_document(df: DataFrame, text: str) -> DataFrame:
+    """Add ``__doc`` (VARIANT, NULL when not JSON) and ``__fields`` (members of an object)."""
+    parsed = df.withColumn("__doc", F.try_parse_json(strip_code_fence(F.col(text))))
+    return parsed.withColumn("__fields", _fields(F.col("__doc")))
+
 
-    Returns ``struct<answer: string, error: string>``; the answer is the letter for
-    the plain format and the compact JSON of the (normalised) document otherwise.
+def with_validation(
+    df: DataFrame,
+    text: str,
+    trial_type: str = "type",
+    choice_mode: str = "choice_mode",
+    response_format: str = "response_format",
+    answer: str = "answer",
+    error: str = "error",
+) -> DataFrame:
+    """Validate each text under the rubric of its trial.
+
+    The answer is the letter for the plain format and the compact JSON of the
+    (normalised) document otherwise.  Unknown trial types use the pilot comparison.
     """
-    plain = F.coalesce(response_format == "plain_ab", F.lit(False))
-    letter = parse_choice(text)
-    document = F.try_parse_json(strip_code_fence(text))
+    plain = F.coalesce(F.col(response_format) == "plain_ab", F.lit(False))
     pairwise = F.coalesce(
-        trial_type.isin("context_pairwise", "context_prompt", "context_pairwise_same"), F.lit(False)
+        F.col(trial_type).isin("context_pairwise", "context_prompt", "context_pairwise_same"), F.lit(False)
     )
-    tie_allowed = F.coalesce(choice_mode == "tie_allowed", F.lit(False))
+    tie_allowed = F.coalesce(F.col(choice_mode) == "tie_allowed", F.lit(False))
+    staged = with_document(with_choice(df, text, "__choice", "__choice_error"), text)
+    staged = staged.withColumn("__choices", F.when(pairwise, normalised_choices(F.col("__fields"))))
+    fields, choices = F.col("__fields"), F.col("__choices")
     rubric_error = (
-        F.when(document.isNull(), F.lit(NOT_JSON))
-        .when(trial_type == "single", integer_ratings_error(document))
-        .when(trial_type == "context_single", decimal_ratings_error(document))
-        .when(pairwise & tie_allowed, choices_error(document, TIE_VALUES))
-        .when(pairwise, choices_error(document, FORCED_VALUES))
-        .otherwise(comparison_error(document))
+        F.when(F.col("__doc").isNull(), F.lit(NOT_JSON))
+        .when(F.col(trial_type) == "single", integer_ratings_error(fields))
+        .when(F.col(trial_type) == "context_single", decimal_ratings_error(fields))
+        .when(pairwise & tie_allowed, choices_error(choices, TIE_VALUES))
+        .when(pairwise, choices_error(choices, FORCED_VALUES))
+        .otherwise(comparison_error(fields))
+    )
+    staged = staged.withColumn(
+        error,
+        F.when(F.col(text).isNull(), F.lit("no_response_text")).when(plain, F.col("__choice_error")).otherwise(rubric_error),
     )
-    body = F.when(pairwise, F.to_json(choices_of(document))).otherwise(F.to_json(document))
-    error = F.when(text.isNull(), F.lit("no_response_text")).when(plain, letter["error"]).otherwise(rubric_error)
-    answer = F.when(error.isNull(), F.when(plain, letter["answer"]).otherwise(body))
-    return _result(answer, error)
+    body = F.when(pairwise, F.to_json(choices_of(choices))).otherwise(F.to_json(F.col("__doc")))
+    valid = F.when(F.col(error).isNull(), F.when(plain, F.col("__choice")).otherwise(body))
+    return staged.withColumn(answer, valid).drop("__choice", "__choice_error", "__doc", "__fields", "__choices")
 
 
 def rendered_error(error_code: Column) -> Column:
