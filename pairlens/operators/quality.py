@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.functions.common import null_safe_join, share
-from pairlens.operators.effects import ASSIGNMENTS, CELLS, POSITIONS
+from pairlens.functions.scalars import first_item_chosen
+from pairlens.functions.stats import pearson
+from pairlens.operators.effects import ASSIGNMENTS, CELLS, PAIR, POSITIONS
 
 
 class GateError(ValueError):
@@ -353,3 +355,20 @@ def count_mismatch(rows: DataFrame, expected: int, column: str = "*") -> DataFra
     """A violation row when the (distinct) count is not the expected one."""
     counted = F.count("*") if column == "*" else F.count_distinct(column)
     return rows.agg(counted.alias("found")).where(F.col("found") != expected)
+
+
+# -- reliability ---------------------------------------------------------------------------
+
+
+def split_half_reliability(rows: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """Correlation over pairs of item 1's win rate in odd and even replicates."""
+    chosen = first_item_chosen(F.col("choice"), F.col("story_a_id"), F.col("story_b_id"), F.col("story_1_id"))
+    odd = F.pmod(F.col("replicate_number"), F.lit(2)) == 1
+    halves = rows.groupBy(*group, *PAIR).agg(
+        share(F.when(odd, chosen)).alias("__odd"), share(F.when(~odd, chosen)).alias("__even")
+    )
+    both = halves.where("__odd IS NOT NULL AND __even IS NOT NULL")
+    return both.groupBy(*group).agg(
+        F.when(F.count("*") >= 2, pearson(F.col("__odd"), F.col("__even"))).alias("r_split_half"),
+        F.count("*").alias("n_pairs"),
+    )
