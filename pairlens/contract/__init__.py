@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("views", "effects", "records", "statistics", "planning")
+MODULES = ("views", "effects", "records", "statistics", "planning", "streams")
 
 
 def load():
