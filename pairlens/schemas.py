@@ -1,4 +1,4 @@
-"""Explicit read schemas of the log and manifest tables.
+"""Explicit read schemas (DDL) of the log and manifest tables.
 
 Absent JSON keys read as NULL; defaults are applied by the operators, never by schema
 inference.
@@ -6,28 +6,21 @@ inference.
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
+ITEMS = ("id string, path string")
 
-
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-ITEMS = _schema("id string, path string")
-
-CONTRASTS = _schema(
+CONTRASTS = (
     "id string, contrast_id string, dimension string, a string, b string, a_clause string, b_clause string, "
     "hypothesis string, expected_direction string"
 )
 
 # ``values`` stays raw JSON text: its members are phrases or maps of phrases by parent value.
-DIMENSIONS = _schema(
+DIMENSIONS = (
     "dimension string, scope string, depends_on string, applies_when array<string>, `values` string, hypothesis string"
 )
 
-CONDITIONS = _schema("id string, context string")
-PAIR_CONDITIONS = _schema("id string, a_context string, b_context string")
-TASKS = _schema("id string, evaluation_regime string, instruction string")
+CONDITIONS = ("id string, context string")
+PAIR_CONDITIONS = ("id string, a_context string, b_context string")
+TASKS = ("id string, evaluation_regime string, instruction string")
 
 CONTEXT = "struct<value: string, clause: string>"
 TRIAL_FIELDS = (
@@ -38,11 +31,11 @@ TRIAL_FIELDS = (
     f"response_format string, expected_direction string, context_a {CONTEXT}, context_b {CONTEXT}, "
     "context_text string, prompt_context_text string, intro string, prompt_sha256 string"
 )
-TRIALS = _schema(TRIAL_FIELDS + ", prompt string")
-TRIAL_META = "struct<" + ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in _schema(TRIAL_FIELDS)) + ">"
+TRIALS = (TRIAL_FIELDS + ", prompt string")
+TRIAL_META = f"struct<{TRIAL_FIELDS}>"
 
 # ``parsed_response`` stays raw JSON text: its shape depends on the trial type.
-ATTEMPTS = _schema(
+ATTEMPTS = (
     "trial_id string, model string, replicate_id int, attempt_id int, sampling_regime string, provider string, "
     "requested_model string, response_model string, reasoning_profile string, execution_mode string, "
     "request_id string, stop_reason string, input_tokens bigint, output_tokens bigint, reasoning_tokens bigint, "
@@ -58,7 +51,7 @@ ATTEMPT = (
     "response_model: string, request_id: string, system_fingerprint: string, input_tokens: bigint, "
     "output_tokens: bigint, reasoning_tokens: bigint, prompt_cache_hit_tokens: bigint, prompt_cache_miss_tokens: bigint>"
 )
-RESULTS = _schema(
+RESULTS = (
     "observation_id string, experiment_id string, trial_id string, superblock_id string, block_id string, "
     "replicate_number int, execution_order_index bigint, random_seed bigint, "
     f"evaluator {EVALUATOR}, trial_meta {TRIAL_META}, timestamp timestamp, attempts array<{ATTEMPT}>, total_attempts int, "
@@ -66,11 +59,11 @@ RESULTS = _schema(
     "refusal_status boolean, api_error_status boolean, collection_wave string, condition_id string, "
     "source_wave string, source_run_id string, max_output_tokens int"
 )
-VALIDATION = _schema(
+VALIDATION = (
     "validation_observation_id string, original_observation_id string, trial_id string, "
     f"trial_meta {TRIAL_META}, original_first_valid_response struct<overall_quality: string>, "
     "first_valid_response struct<overall_quality: string>, original_reasoning_tokens bigint, "
     "agrees_with_original boolean, parsing_status string"
 )
-EDGES = _schema("winner string, loser string")
-RANKING = _schema("ranking array<string>, source string, num_judgments int")
+EDGES = ("winner string, loser string")
+RANKING = ("ranking array<string>, source string, num_judgments int")

@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pairlens import schemas
 from pairlens.functions.answers import strip
@@ -26,25 +25,24 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return matches is not None and len(matches) > 0
 
 
-def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, keep_corrupt: bool = False) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: str, keep_corrupt: bool = False) -> DataFrame:
     """One object per line; blank lines are skipped, broken lines go to ``_corrupt_record``.
 
     With ``keep_corrupt`` false a broken line fails the read.
     """
     if not keep_corrupt:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    return spark.read.schema(full).option("mode", "PERMISSIVE").json(path)
+    return spark.read.schema(f"{schema}, {CORRUPT} string").option("mode", "PERMISSIVE").json(path)
 
 
-def read_optional(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A missing file is an empty table."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     return read_jsonl(spark, path, schema)
 
 
-def read_required(spark: SparkSession, paths: Sequence[str], schema: T.StructType) -> DataFrame:
+def read_required(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:
     """Several files that must all be there."""
     missing = [p for p in paths if not path_exists(spark, p)]
     if missing:
