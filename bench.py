@@ -27,7 +27,7 @@ HEADLINE = (
 
 def main() -> None:
     from pairlens.contract import load
-    from pairlens.session import build_session
+    from pairlens.session import build_session, release_held
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -44,6 +44,7 @@ def main() -> None:
         start = time.perf_counter()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        release_held()
         spark.catalog.clearCache()
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,

@@ -60,7 +60,7 @@ def contrasts():
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """All documents as items; whole texts, stripped."""
-    docs = fix.table(spark, sf, "documents")
+    docs = fix.spread(fix.table(spark, sf, "documents"), "doc_id")
     return docs.select(
         F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("item_id"), strip(F.col("text")).alias("text")
     )

@@ -72,7 +72,7 @@ def _(spark, sf):
         F.concat(F.lit('{"overall_quality": "'), F.col("lang"), F.lit('", "choice": "A"}')),
         F.concat(F.lit('{"choice": '), text),
     )
-    docs = fix.table(spark, sf, "documents").select("doc_id", F.posexplode(variants).alias("v", "txt"))
+    docs = fix.spread(fix.table(spark, sf, "documents"), "doc_id").select("doc_id", F.posexplode(variants).alias("v", "txt"))
     docs = docs.select(F.concat(F.lit("d"), F.col("doc_id"), F.lit("_"), F.col("v")).alias("id"), "txt")
     talk = fix.table(spark, sf, "conversations").select(
         F.concat(F.lit("t"), F.col("conv_id"), F.lit("_"), F.col("turn")).alias("id"), F.col("text").alias("txt")
@@ -151,7 +151,7 @@ def rating_texts(spark: SparkSession, sf: str) -> DataFrame:
         .when(d == 7, F.concat(F.lit("```json\n"), body(r1), F.lit("\n```")))
         .when(d == 8, F.lit("[1, 2, 3]")).when(d == 9, F.lit("no rating")).otherwise(body(r1))
     )
-    li = fix.table(spark, sf, "lineitem")
+    li = fix.spread(fix.table(spark, sf, "lineitem"), "l_orderkey")
     return li.select(F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), text.alias("txt"))
 
 

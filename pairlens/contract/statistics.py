@@ -399,13 +399,13 @@ CI = """round(quantile_cont(estimate, 0.025), 9) + 0.0 AS ci_95_lo, round(quanti
 
 @query("bootstrap_draws", f"SELECT contrast_id, instruction_condition, draw, {r9('estimate')} FROM v_draws")
 def _(spark, sf):
-    pairs = d_pairs(spark, sf)
+    pairs = d_pairs(spark, sf).persist()
     return present(rs.resampled_means(pairs, rs.items_of(pairs), V2, "d_pair", DRAWS, SEED, path="join"))
 
 
 @query("bootstrap_ate_ci", f"SELECT contrast_id, instruction_condition, count(*) AS n_draws, {CI} FROM v_draws GROUP BY ALL")
 def _(spark, sf):
-    pairs = d_pairs(spark, sf)
+    pairs = d_pairs(spark, sf).persist()
     return present(rs.ate_intervals(pairs, rs.items_of(pairs), V2, DRAWS, SEED))
 
 
@@ -415,7 +415,7 @@ JOINT = """SELECT c.contrast_id, c.draw, c.estimate AS ate_control, t.estimate A
 
 
 def joint(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = d_pairs(spark, sf)
+    pairs = d_pairs(spark, sf).persist()
     return rs.controllability_draws(pairs, rs.items_of(pairs), ("contrast_id",), DRAWS, SEED)
 
 
@@ -453,5 +453,5 @@ def _(spark, sf):
         SELECT contrast_id, instruction_condition, count(*) AS n_draws, {CI} FROM e WHERE estimate IS NOT NULL GROUP BY ALL""",
 )
 def _(spark, sf):
-    rows = ambiguity_rows(spark, sf)
+    rows = ambiguity_rows(spark, sf).persist()
     return present(rs.slope_intervals(rows, rs.items_of(rows), V2, DRAWS, SEED))

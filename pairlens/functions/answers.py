@@ -242,7 +242,9 @@ def with_validation(
         F.col(trial_type).isin("context_pairwise", "context_prompt", "context_pairwise_same"), F.lit(False)
     )
     tie_allowed = F.coalesce(F.col(choice_mode) == "tie_allowed", F.lit(False))
-    staged = with_document(with_choice(df, text, "__choice", "__choice_error"), text)
+    # Each text goes through the one parser its format needs.
+    routed = df.withColumns({"__plain": F.when(plain, F.col(text)), "__rubric": F.when(~plain, F.col(text))})
+    staged = with_document(with_choice(routed, "__plain", "__choice", "__choice_error"), "__rubric")
     staged = staged.withColumn("__choices", F.when(pairwise, normalised_choices(F.col("__fields"))))
     fields, choices = F.col("__fields"), F.col("__choices")
     rubric_error = (
@@ -259,7 +261,9 @@ def with_validation(
     )
     body = F.when(pairwise, F.to_json(choices_of(choices))).otherwise(F.to_json(F.col("__doc")))
     valid = F.when(F.col(error).isNull(), F.when(plain, F.col("__choice")).otherwise(body))
-    return staged.withColumn(answer, valid).drop("__choice", "__choice_error", "__doc", "__fields", "__choices")
+    return staged.withColumn(answer, valid).drop(
+        "__plain", "__rubric", "__choice", "__choice_error", "__doc", "__fields", "__choices"
+    )
 
 
 def rendered_error(error_code: Column) -> Column:

@@ -1,7 +1,7 @@
 """Rank statistics and agreement with reference judgements.
 
 No statistic here gathers a group or forms all pairs of it: ranks come from running
-totals over distinct values, Kendall's tau-b from counts of bit prefixes.
+totals over distinct values, and so does Kendall's tau-b.
 """
 
 from __future__ import annotations
@@ -14,16 +14,19 @@ from pyspark.sql import functions as F
 
 from pairlens.functions.common import null_safe_join, ratio
 from pairlens.functions.scalars import chosen_item
-from pairlens.functions.stats import pearson
-from pairlens.operators.ordering import value_running_total
-from pairlens.session import ensure_checkpoint_dir
+from pairlens.operators.ordering import BUCKET, running_total, value_buckets, value_running_total
+from pairlens.session import ensure_checkpoint_dir, hold
 
 # -- ranks ---------------------------------------------------------------------------------
 
 
-def value_ranks(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """Per distinct value: tie-group size and average rank (1 = highest)."""
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("tie_group_size"))
+def value_ranks(df: DataFrame, group: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """Per distinct value: tie-group size and average rank (1 = highest).
+
+    ``weight`` counts a row that many times.
+    """
+    size = F.count("*") if weight is None else F.sum(weight)
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(size.alias("tie_group_size"))
     above = value_running_total(sizes, group, value, F.col("tie_group_size"), "__above", descending=True)
     rank = F.col("__above") + (F.col("tie_group_size") + 1) / 2
     return above.withColumn("rank_position", rank.cast("double")).drop("__above")
@@ -87,50 +90,70 @@ def win_tally(rows: DataFrame, group: Sequence[str]) -> DataFrame:
 
 def spearman(df: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
     """Tie-aware Spearman per group, over the items that have both values."""
-    common = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rx = value_ranks(common, group, x).withColumnRenamed("rank_position", "__rx").drop("tie_group_size")
-    ry = value_ranks(common, group, y).withColumnRenamed("rank_position", "__ry").drop("tie_group_size")
-    ranked = null_safe_join(null_safe_join(common, rx, [*group, x]), ry, [*group, y])
-    return ranked.groupBy(*group).agg(
-        F.when(F.count("*") >= 2, pearson(F.col("__rx"), F.col("__ry"))).alias("spearman"),
-        F.count("*").alias("n_items"),
+    points = hold(_points(df, group, x, y))
+    rx = value_ranks(points, group, x, "__m").withColumnRenamed("rank_position", "__rx").drop("tie_group_size")
+    ry = value_ranks(points, group, y, "__m").withColumnRenamed("rank_position", "__ry").drop("tie_group_size")
+    ranked = null_safe_join(null_safe_join(points, rx, [*group, x]), ry, [*group, y])
+    m, a, b = F.col("__m"), F.col("__rx"), F.col("__ry")
+    sums = ranked.groupBy(*group).agg(
+        F.sum("__m").alias("n_items"),
+        F.sum(m * a * b).alias("__ab"), F.sum(m * a * a).alias("__aa"), F.sum(m * b * b).alias("__bb"),
+        (F.count_distinct("__rx") > 1).alias("__vx"), (F.count_distinct("__ry") > 1).alias("__vy"),
     )
+    # Average ranks always have mean (n + 1) / 2, so the centred sums need no second pass.
+    n = F.col("n_items").cast("double")
+    shift = n * (n + 1) * (n + 1) / 4
+    scale = F.sqrt((F.col("__aa") - shift) * (F.col("__bb") - shift))
+    rho = F.when(F.col("__vx") & F.col("__vy"), (F.col("__ab") - shift) / F.nullif(scale, F.lit(0.0)))
+    return sums.select(*group, rho.alias("spearman"), "n_items")
+
+
+def _points(df: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
+    """Distinct (x, y) points of a group with their multiplicity."""
+    common = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return common.groupBy(*group, x, y).agg(F.count("*").alias("__m"))
 
 
 def _codes(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
     """Dense integer code of each distinct value, and the number of bits a group needs."""
     distinct = df.select(*group, value).distinct()
     coded = value_running_total(distinct, group, value, F.lit(1).cast("bigint"), out)
-    bits = coded.groupBy(*group).agg(F.length(F.bin(F.max(out))).alias(f"{out}_bits"))
+    bits = distinct.groupBy(*group).agg(F.length(F.bin(F.count("*") - 1)).alias(f"{out}_bits"))
     return null_safe_join(coded, bits, group)
 
 
 def kendall_tau_b(df: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
     """Kendall's tau-b per group without forming pairs.
 
-    Two different codes first differ at exactly one bit.  So every pair that is tied on
-    neither side meets in exactly one (x-level, x-prefix, y-level, y-prefix) bucket, as
-    opposite bits on both sides, and concordant minus discordant is the sum over buckets
-    of n00*n11 - n01*n10.  A row contributes log(n)^2 counters, all combined map-side.
+    Two different codes of x first differ at exactly one bit, so every pair that is not
+    tied in x meets in exactly one node (level, prefix), on opposite sides.  Inside a node
+    a running total along y tells how many points of the lower side lie below and above
+    each point of the upper side: concordant minus discordant.  A point takes part in
+    log(distinct x) nodes, and the running totals spread a hot node over tasks.  tau-b is
+    symmetric; passing the coarser side as ``x`` is cheaper.
     """
     group = list(group)
-    common = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    points = common.groupBy(*group, x, y).agg(F.count("*").alias("__m"))
-    coded = null_safe_join(points, _codes(points, group, x, "__cx"), [*group, x])
-    coded = null_safe_join(coded, _codes(points, group, y, "__cy"), [*group, y])
-    levels = coded.withColumn("__a", F.explode(F.sequence(F.lit(0), F.col("__cx_bits") - 1))).withColumn(
-        "__b", F.explode(F.sequence(F.lit(0), F.col("__cy_bits") - 1))
+    points = hold(_points(df, group, x, y))
+    codes = _codes(points, group, x, "__c")
+    ensure_checkpoint_dir(df.sparkSession)
+    coded = null_safe_join(points, codes, [*group, x]).checkpoint()
+    bucketed = value_buckets(coded, group, y).withColumnRenamed(BUCKET, "__vb")
+    levels = bucketed.withColumn("__a", F.explode(F.sequence(F.lit(0), F.col("__c_bits") - 1)))
+    upper = F.expr("(__c >> __a) & 1") == 1
+    nodes = levels.withColumn("__p", F.expr("__c >> (__a + 1)")).groupBy(*group, "__a", "__p", "__vb", y).agg(
+        F.coalesce(F.sum(F.when(~upper, F.col("__m"))), F.lit(0)).alias("__lo"),
+        F.coalesce(F.sum(F.when(upper, F.col("__m"))), F.lit(0)).alias("__up"),
     )
-    bit_x, bit_y = F.expr("(__cx >> __a) & 1"), F.expr("(__cy >> __b) & 1")
-    bucketed = levels.select(
-        *group, "__a", "__b", "__m",
-        F.expr("__cx >> (__a + 1)").alias("__px"), F.expr("__cy >> (__b + 1)").alias("__py"),
-        (bit_x * 2 + bit_y).alias("__quadrant"),
+    node = [*group, "__a", "__p"]
+    below = running_total(nodes, node, [y], F.col("__vb"), F.col("__lo"), "__below")
+    # For every upper point: below - above, where above = all lower - below - level.
+    parts = below.groupBy(*node).agg(
+        F.sum(F.expr("cast(__up as decimal(19,0)) * (2 * __below + __lo)")).alias("__gain"),
+        F.sum("__lo").alias("__all_lo"),
+        F.sum("__up").alias("__all_up"),
     )
-    quadrant = [F.coalesce(F.sum(F.when(F.col("__quadrant") == q, F.col("__m"))), F.lit(0)).alias(f"__q{q}") for q in range(4)]
-    counts = bucketed.groupBy(*group, "__a", "__b", "__px", "__py").agg(*quadrant)
-    score = counts.groupBy(*group).agg(
-        F.sum(F.expr("cast(__q0 as decimal(19,0)) * __q3 - cast(__q1 as decimal(19,0)) * __q2")).alias("__s")
+    score = parts.groupBy(*group).agg(
+        F.sum(F.expr("__gain - cast(__all_lo as decimal(19,0)) * __all_up")).alias("__s")
     )
 
     def tied(value: str, out: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlens.functions.common import null_safe_join, order_hash
+from pairlens.session import hold
 
 BUCKET = "__bucket"
 
@@ -26,11 +27,14 @@ def running_total(
     bucket: Column,
     amount: Column,
     out: str,
+    keys_not_null: bool = False,
 ) -> DataFrame:
     """Add ``out`` = sum of ``amount`` over the rows strictly before this one, per key.
 
-    ``bucket`` must not decrease along ``order``.  ``order`` must be total for the
-    result to be deterministic.
+    ``bucket`` must not decrease along ``order`` and not be NULL.  ``order`` must be total
+    for the result to be deterministic.  With ``keys_not_null`` the offsets meet the rows
+    on plain equality, so that join and window share one shuffle; a NULL key is then an
+    error, never a lost row.
     """
     keys = list(keys)
     tagged = df.withColumn(BUCKET, bucket).withColumn("__amount", amount)
@@ -39,16 +43,26 @@ def running_total(
     across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, BUCKET, F.coalesce(F.sum("__total").over(across), F.lit(0)).alias("__offset"))
     inside = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = null_safe_join(tagged, offsets, [*keys, BUCKET])
+    if keys_not_null or not keys:
+        joined = tagged.join(offsets, [*keys, BUCKET], "left")
+        unmatched = F.raise_error(F.lit("NULL key in a running total over keys declared not null")).cast("bigint")
+        joined = joined.withColumn("__offset", F.coalesce("__offset", unmatched))
+    else:
+        joined = null_safe_join(tagged, offsets, [*keys, BUCKET])
     total = F.col("__offset") + F.coalesce(F.sum("__amount").over(inside), F.lit(0))
     return joined.withColumn(out, total).drop(BUCKET, "__amount", "__offset")
 
 
 def numbered(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column, out: str = "row_number"
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str | Column],
+    bucket: Column,
+    out: str = "row_number",
+    keys_not_null: bool = False,
 ) -> DataFrame:
     """Exact ``row_number`` per key along ``order`` (1-based)."""
-    with_total = running_total(df, keys, order, bucket, F.lit(1).cast("bigint"), out)
+    with_total = running_total(df, keys, order, bucket, F.lit(1).cast("bigint"), out, keys_not_null)
     return with_total.withColumn(out, F.col(out) + 1)
 
 
@@ -69,10 +83,13 @@ def value_buckets(df: DataFrame, keys: Sequence[str], value: str, n_buckets: int
 def value_running_total(
     df: DataFrame, keys: Sequence[str], value: str, amount: Column, out: str, descending: bool = False
 ) -> DataFrame:
-    """:func:`running_total` along a numeric column, distinct inside each key."""
+    """:func:`running_total` along a numeric column, distinct inside each key.
+
+    The input is held: cut points, bucket totals and rows each read it once.
+    """
     signed = -F.col(value) if descending else F.col(value)
-    bucketed = value_buckets(df.withColumn("__signed", signed.cast("double")), keys, "__signed")
-    bucketed = bucketed.withColumnRenamed(BUCKET, "__vb")
+    held = hold(df.withColumn("__signed", signed.cast("double")))
+    bucketed = value_buckets(held, keys, "__signed").withColumnRenamed(BUCKET, "__vb")
     result = running_total(bucketed, keys, ["__signed"], F.col("__vb"), amount, out)
     return result.drop("__signed", "__vb")
 
@@ -102,9 +119,14 @@ def text_bucket(column: Column, bounds: Sequence[str]) -> Column:
     return F.size(F.filter(cuts, lambda b: b <= column))
 
 
-def indexed_by_text(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Dense 1-based index along a unique text column, over the whole table."""
-    return numbered(df, [], [column], text_bucket(F.col(column), text_bounds(df, column)), out)
+def indexed_by_text(df: DataFrame, column: str, out: str, bounds_from: DataFrame | None = None) -> DataFrame:
+    """Dense 1-based index along a unique text column, over the whole table.
+
+    ``bounds_from`` may name a cheaper table with similar values for the cut points;
+    they only decide how evenly the work spreads.
+    """
+    bounds = text_bounds(df if bounds_from is None else bounds_from, column)
+    return numbered(df, [], [column], text_bucket(F.col(column), bounds), out)
 
 
 def indexed_by_hash(df: DataFrame, hash_column: str, then: Sequence[str | Column], out: str) -> DataFrame:

@@ -28,10 +28,23 @@ def classify_rows(rows: DataFrame, planned: DataFrame) -> DataFrame:
     the recorded answer; malformed rows do not take part in duplicate counting.
     """
     ids = planned.select("observation_id").distinct().withColumn("__planned", F.lit(True))
-    parsed = with_choice(rows, "last_response_text", "__parsed", "__parse_error").drop("__parse_error")
-    tagged = parsed.join(ids, "observation_id", "left")
     resolved = F.coalesce(F.col("parsing_status") == "resolved", F.lit(False))
     reparses = F.coalesce(F.col("__parsed") == F.col("recorded_answer"), F.lit(False))
+
+    def parsed(some: DataFrame) -> DataFrame:
+        return with_choice(some, "last_response_text", "__parsed", "__parse_error").drop("__parse_error")
+
+    # Texts are parsed once; only ids with several resolved rows are parsed again to count
+    # the clean ones among them.
+    several = rows.where(resolved).groupBy("observation_id").agg(F.count("*").alias("__k")).where("__k > 1")
+    repeated = (
+        parsed(rows.where(resolved).join(several, "observation_id", "left_semi"))
+        .where(reparses)
+        .groupBy("observation_id")
+        .agg(F.count("*").alias("__clean"))
+        .where("__clean > 1")
+    )
+    tagged = parsed(rows).join(ids, "observation_id", "left")
     tagged = tagged.withColumn(
         "row_class",
         F.when(F.col("__planned").isNull(), UNKNOWN)
@@ -39,12 +52,6 @@ def classify_rows(rows: DataFrame, planned: DataFrame) -> DataFrame:
         .when(~reparses, MALFORMED)
         .otherwise(VALID),
     ).drop("__planned", "__parsed")
-    repeated = (
-        tagged.where(F.col("row_class") == VALID)
-        .groupBy("observation_id")
-        .agg(F.count("*").alias("__clean"))
-        .where("__clean > 1")
-    )
     joined = tagged.join(repeated, "observation_id", "left")
     duplicate = (F.col("row_class") == VALID) & F.col("__clean").isNotNull()
     return joined.withColumn("row_class", F.when(duplicate, DUPLICATE).otherwise(F.col("row_class"))).drop("__clean")
@@ -71,7 +78,9 @@ def recovery_plan(planned: DataFrame, classified: DataFrame) -> DataFrame:
 
     A recovery can never create a replicate: every row comes from ``planned``.
     """
-    return indexed_by_text(unresolved_plan(planned, classified), "observation_id", "execution_order_index")
+    return indexed_by_text(
+        unresolved_plan(planned, classified), "observation_id", "execution_order_index", bounds_from=planned
+    )
 
 
 def merge_waves(
@@ -82,23 +91,22 @@ def merge_waves(
     Unplanned ids and recovery answers to settled observations are ignored; the
     number of further recovery answers is reported per row.
     """
-    open_plan = planned.join(first_valid.select("observation_id"), "observation_id", "left_anti")
     earliest = F.min_by(F.struct(*carry), F.struct(*[F.col(c) for c in arrival]))
     settled = (
         recovery.where("parsing_status = 'resolved'")
         .groupBy("observation_id")
         .agg(earliest.alias("__r"), (F.count("*") - 1).alias("extra_recovery_answers"))
     )
-    recovered = open_plan.join(settled, "observation_id").select(
+    original = first_valid.select("observation_id", F.struct(*carry).alias("__v"))
+    joined = planned.join(original, "observation_id", "left").join(settled, "observation_id", "left")
+    first = F.col("__v").isNotNull()
+    answer = F.coalesce("__v", "__r")
+    return joined.where(answer.isNotNull()).select(
         *planned.columns,
-        *[F.col(f"__r.{c}").alias(c) for c in carry],
-        F.lit(RECOVERED).alias("result_source"),
-        "extra_recovery_answers",
-    )
-    original = planned.join(first_valid.select("observation_id", *carry), "observation_id").select(
-        *planned.columns, *carry, F.lit(FIRST_WAVE).alias("result_source"), F.lit(0).cast("bigint").alias("extra_recovery_answers")
+        *[answer[c].alias(c) for c in carry],
+        F.when(first, FIRST_WAVE).otherwise(RECOVERED).alias("result_source"),
+        F.when(first, F.lit(0).cast("bigint")).otherwise(F.col("extra_recovery_answers")).alias("extra_recovery_answers"),
     )
-    return original.unionByName(recovered)
 
 
 def merge_diagnostics(planned: DataFrame, recovery: DataFrame, merged: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairlens.functions.common import null_safe_join, order_hash
 from pairlens.operators.ordering import indexed_by_hash, numbered, running_total
-from pairlens.session import ensure_checkpoint_dir
+from pairlens.session import ensure_checkpoint_dir, hold
 
 
 def select_rows(
@@ -99,8 +99,9 @@ def allocation(rows: DataFrame, strata: Sequence[str], size: int) -> DataFrame:
 def stratified_sample(rows: DataFrame, strata: Sequence[str], size: int, seed: int, identifier: str) -> DataFrame:
     """Reproducible proportional sample of exactly min(size, rows) rows."""
     hashed = rows.withColumn("__h", order_hash(seed, F.col(identifier)))
+    hashed = hold(hashed)
     ranked = numbered(hashed, strata, ["__h", identifier], F.substring("__h", 1, 2), "__place")
-    seated = null_safe_join(ranked, allocation(rows, strata, size), strata)
+    seated = null_safe_join(ranked, allocation(hashed, strata, size), strata)
     return seated.where("__place <= seats").drop("__h", "__place", "n", "seats")
 
 
@@ -181,8 +182,9 @@ def pack_requests(
         jumps.append(doubled)
         span *= 2
     for step in reversed(jumps):
-        hopped = null_safe_join(step, starts, [*scope, "pos"], "left_semi").select(*scope, F.col("to").alias("pos"))
-        starts = starts.unionByName(hopped).distinct()
+        # Every reachable unit is one definite number of hops away, so none appears twice.
+        hopped = null_safe_join(starts, step, [*scope, "pos"], "left")
+        starts = hopped.select(*scope, F.explode(F.array_compact(F.array("pos", "to"))).alias("pos"))
     flagged = null_safe_join(
         placed, starts.withColumn("__starts", F.lit(1).cast("bigint")), [*scope, "pos"], "left"
     ).withColumn("__starts", F.coalesce("__starts", F.lit(0).cast("bigint")))

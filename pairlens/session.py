@@ -6,9 +6,11 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_WORK_DIR: str | None = None
+_HELD: list[DataFrame] = []
 
 
 def build_session(app_name: str = "pairlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -56,6 +58,23 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keep an intermediate result that one plan reads several times.
+
+    Blocks spill to disk and are recomputed if an executor is lost.  Call
+    :func:`release_held` between analyses.
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _HELD.append(kept)
+    return kept
+
+
+def release_held() -> None:
+    """Drop everything :func:`hold` kept."""
+    while _HELD:
+        _HELD.pop().unpersist()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable, keeping a folder that is already set."""
     if spark.sparkContext.getCheckpointDir() is None:

@@ -23,6 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition rows when the scan has fewer splits than the session has cores.
+
+    For work that is heavy per row.  A large input has more splits than cores, and then
+    nothing is shuffled.
+    """
+    context = df.sparkSession.sparkContext
+    few = df.rdd.getNumPartitions() < context.defaultParallelism
+    return df.repartition(context.defaultParallelism, key) if few else df
+
+
 def item(key: Column) -> Column:
     return F.concat(F.lit("s"), F.lpad((key % ITEMS).cast("string"), 2, "0"))
 
@@ -87,7 +98,7 @@ def judgements(spark: SparkSession, sf_dir: str, replicates: bool = False) -> Da
     )
     if replicates:
         cell = ["superblock_id", "instruction_condition", "assignment", "position"]
-        rows = numbered(rows, cell, ROW_ORDER, _month(), "replicate_number")
+        rows = numbered(rows, cell, ROW_ORDER, _month(), "replicate_number", keys_not_null=True)
     return rows
 
 
@@ -105,7 +116,7 @@ def baseline(spark: SparkSession, sf_dir: str, replicates: bool = False) -> Data
         )
     )
     if replicates:
-        rows = numbered(rows, ["block_id", "instruction_condition", "position"], ROW_ORDER, _month(), "replicate_number")
+        rows = numbered(rows, ["block_id", "instruction_condition", "position"], ROW_ORDER, _month(), "replicate_number", keys_not_null=True)
     return rows
 
 
@@ -122,7 +133,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
         }
     )
-    rows = numbered(rows, ["trial_id", "replicate_id"], ROW_ORDER, _month(), "attempt_id")
+    rows = numbered(rows, ["trial_id", "replicate_id"], ROW_ORDER, _month(), "attempt_id", keys_not_null=True)
     return rows.withColumns(
         {
             "answer": F.when(F.col("ok"), F.col("choice")),
