@@ -9,6 +9,7 @@ the buckets only decide how evenly the work spreads.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,18 +67,40 @@ def numbered(
     return with_total.withColumn(out, F.col(out) + 1)
 
 
-def value_buckets(df: DataFrame, keys: Sequence[str], value: str, n_buckets: int = 64) -> DataFrame:
+def bucket_count(df: DataFrame) -> int:
+    """As many buckets as shuffle partitions, so that the last window can use them all."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return min(4096, max(64, partitions))
+
+
+def _cuts_below(cuts: Column, coarse: Column, step: int, value: Column, inclusive: bool) -> Column:
+    """How many sorted cut points lie below ``value``; two short scans instead of a long one.
+
+    ``coarse`` holds every ``step``-th cut point.
+    """
+
+    def below(some: Column) -> Column:
+        return F.size(F.filter(some, lambda c: (c <= value) if inclusive else (c < value)))
+
+    start = below(coarse) * step
+    return start + below(F.slice(cuts, start + 1, step))
+
+
+def value_buckets(df: DataFrame, keys: Sequence[str], value: str, n_buckets: int | None = None) -> DataFrame:
     """Add a bucket column that follows a numeric ``value`` inside each key.
 
     The cut points are approximate percentiles: a sketch of at most ``n_buckets``
     numbers per key, merged map-side.
     """
     keys = list(keys)
-    cuts = F.percentile_approx(F.col(value), [i / n_buckets for i in range(1, n_buckets)], 1000)
-    bounds = df.groupBy(*keys).agg(F.array_distinct(cuts).alias("__bounds"))
+    n = n_buckets or bucket_count(df)
+    step = max(2, math.isqrt(n))
+    cuts = F.percentile_approx(F.col(value), [i / n for i in range(1, n)], 10 * n)
+    bounds = df.groupBy(*keys).agg(F.array_distinct(cuts).alias("__cuts"))
+    bounds = bounds.withColumn("__coarse", F.filter("__cuts", lambda _, i: i % step == step - 1))
     joined = null_safe_join(df, bounds, keys) if keys else df.crossJoin(F.broadcast(bounds))
-    position = F.size(F.filter(F.col("__bounds"), lambda b: b < F.col(value)))
-    return joined.withColumn(BUCKET, F.coalesce(position, F.lit(0))).drop("__bounds")
+    position = _cuts_below(F.col("__cuts"), F.col("__coarse"), step, F.col(value), inclusive=False)
+    return joined.withColumn(BUCKET, F.coalesce(position, F.lit(0))).drop("__cuts", "__coarse")
 
 
 def value_running_total(
@@ -94,11 +117,12 @@ def value_running_total(
     return result.drop("__signed", "__vb")
 
 
-def text_bounds(df: DataFrame, column: str, n_buckets: int = 128) -> list[str]:
+def text_bounds(df: DataFrame, column: str, n_buckets: int | None = None) -> list[str]:
     """Cut points for a text column: quantiles of a bounded hash sample.
 
     At most 16 values per bucket reach the driver, however large the table is.
     """
+    n_buckets = n_buckets or bucket_count(df)
     sampled = (
         df.select(F.col(column).alias("v"))
         .where("v is not null")
@@ -115,8 +139,11 @@ def text_bucket(column: Column, bounds: Sequence[str]) -> Column:
     """Number of cut points not above the text."""
     if not bounds:
         return F.lit(0)
+    step = max(2, math.isqrt(len(bounds)))
     cuts = F.array(*[F.lit(b) for b in bounds])
-    return F.size(F.filter(cuts, lambda b: b <= column))
+    every = [F.lit(b) for b in bounds[step - 1 :: step]]
+    coarse = F.array(*every) if every else F.array().cast("array<string>")
+    return _cuts_below(cuts, coarse, step, column, inclusive=True)
 
 
 def indexed_by_text(df: DataFrame, column: str, out: str, bounds_from: DataFrame | None = None) -> DataFrame:
@@ -134,5 +161,5 @@ def indexed_by_hash(df: DataFrame, hash_column: str, then: Sequence[str | Column
 
     Hashes are uniform, so their leading digits are balanced buckets as they are.
     """
-    bucket = F.substring(F.col(hash_column), 1, 2)
+    bucket = F.substring(F.col(hash_column), 1, 3)
     return numbered(df, [], [hash_column, *then], bucket, out)

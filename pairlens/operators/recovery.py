@@ -12,6 +12,7 @@ from pairlens.functions.common import share
 from pairlens.functions.scalars import token_bin, validation_id
 from pairlens.operators.effects import PAIR, cell_rates, pair_effects
 from pairlens.operators.ordering import indexed_by_text
+from pairlens.session import hold
 
 # Classes of a wave row and sources of a merged answer.
 VALID, UNRESOLVED, DUPLICATE, UNKNOWN, MALFORMED = (
@@ -39,9 +40,8 @@ def classify_rows(rows: DataFrame, planned: DataFrame) -> DataFrame:
     several = rows.where(resolved).groupBy("observation_id").agg(F.count("*").alias("__k")).where("__k > 1")
     repeated = (
         parsed(rows.where(resolved).join(several, "observation_id", "left_semi"))
-        .where(reparses)
         .groupBy("observation_id")
-        .agg(F.count("*").alias("__clean"))
+        .agg(F.count_if(reparses).alias("__clean"))  # not a filter: that would parse below the join as well
         .where("__clean > 1")
     )
     tagged = parsed(rows).join(ids, "observation_id", "left")
@@ -79,7 +79,7 @@ def recovery_plan(planned: DataFrame, classified: DataFrame) -> DataFrame:
     A recovery can never create a replicate: every row comes from ``planned``.
     """
     return indexed_by_text(
-        unresolved_plan(planned, classified), "observation_id", "execution_order_index", bounds_from=planned
+        hold(unresolved_plan(planned, classified)), "observation_id", "execution_order_index", bounds_from=planned
     )
 
 

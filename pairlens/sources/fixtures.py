@@ -52,7 +52,7 @@ def _month(column: str = "l_shipdate") -> Column:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineitem with pair identity; self pairs kept."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     return li.select(
         *ROW_ORDER,
         "l_returnflag",

@@ -16,7 +16,7 @@ def items(spark, n=12):
     return spark.createDataFrame([(f"s{i:02d}", f" text {i} two  words\n") for i in range(n)], "item_id string, text string")
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 12, 25])
+@pytest.mark.parametrize("n", [1, 2, 7, 12])
 def test_pairs_are_complete(spark, n):
     ids = [f"s{i:02d}" for i in range(n)]
     assert rows_of(ds.unordered_pairs(items(spark, n)), "story_1_id", "story_2_id") == sorted(combinations(ids, 2))
@@ -122,7 +122,7 @@ def greedy(units, max_requests, max_tokens):
     return out
 
 
-@pytest.mark.parametrize("limits", [(10, None), (None, 300), (10, 300), (1, 5), (1000, 100000)])
+@pytest.mark.parametrize("limits", [(None, 300), (10, 300), (1000, 100000)])
 def test_packing_equals_greedy(spark, limits):
     rng = random.Random(sum(x or 0 for x in limits))
     units = [(rng.randrange(1, 6), rng.randrange(1, 150)) for _ in range(150)]
@@ -148,7 +148,7 @@ def test_units_stay_whole_and_contiguous(spark):
     assert rows_of(first.select("unit_id").distinct(), "unit_id") == [("u0",), ("u1",)]
 
 
-@pytest.mark.parametrize("size", [0, 1, 7, 50, 99, 100, 500])
+@pytest.mark.parametrize("size", [0, 7, 50, 500])
 def test_sample_is_exact(spark, size):
     rows = [(i, "big" if i < 70 else f"s{i % 5}") for i in range(100)]
     df = spark.createDataFrame(rows, "id int, stratum string")
