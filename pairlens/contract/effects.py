@@ -240,8 +240,8 @@ def _(spark, sf):
 
 
 REGIMES = """SELECT *, CASE
-         WHEN abs(nat) = 0 AND abs(inv) = 0 THEN 'no_naturalistic_effect' WHEN nat = 0 THEN 'invariance_effect_only'
-         WHEN inv = 0 THEN 'attenuated' WHEN sign(nat) <> sign(inv) THEN 'reversed'
+         WHEN abs(nat) <= 1e-12 AND abs(inv) <= 1e-12 THEN 'no_naturalistic_effect' WHEN abs(nat) <= 1e-12 THEN 'invariance_effect_only'
+         WHEN abs(inv) <= 1e-12 THEN 'attenuated' WHEN sign(nat) <> sign(inv) THEN 'reversed'
          WHEN abs(inv) / abs(nat) < 0.5 THEN 'attenuated' WHEN abs(inv) / abs(nat) > 1.5 THEN 'amplified'
          ELSE 'unchanged' END AS attenuation
        FROM (SELECT model, contrast_id, category, max(mean_effect) FILTER (evaluation_regime = 'naturalistic') AS nat,
@@ -485,8 +485,8 @@ def _(spark, sf):
     "single_regime_comparison",
     f"""SELECT model, dimension, value, category, round(nat, 9) + 0.0 AS effect_naturalistic,
         round(inv, 9) + 0.0 AS effect_text_only_invariance,
-        CASE WHEN nat = 0 AND inv = 0 THEN 'no_naturalistic_effect' WHEN nat = 0 THEN 'invariance_effect_only'
-         WHEN inv = 0 THEN 'attenuated' WHEN sign(nat) <> sign(inv) THEN 'reversed'
+        CASE WHEN abs(nat) <= 1e-12 AND abs(inv) <= 1e-12 THEN 'no_naturalistic_effect' WHEN abs(nat) <= 1e-12 THEN 'invariance_effect_only'
+         WHEN abs(inv) <= 1e-12 THEN 'attenuated' WHEN sign(nat) <> sign(inv) THEN 'reversed'
          WHEN abs(inv) / abs(nat) < 0.5 THEN 'attenuated' WHEN abs(inv) / abs(nat) > 1.5 THEN 'amplified'
          ELSE 'unchanged' END AS attenuation
         FROM (SELECT model, dimension, value, category,

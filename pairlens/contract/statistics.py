@@ -44,7 +44,7 @@ def _(spark, sf):
 view(
     "v_item_means",
     """
-SELECT model, evaluation_regime, dimension, value, story_id, avg(rating) AS mean_score, count(*) AS n
+SELECT model, evaluation_regime, dimension, value, story_id, sum(rating::DECIMAL(18, 6))::DOUBLE / count(*) AS mean_score, count(*) AS n
 FROM v_ratings WHERE category = 'overall_quality' GROUP BY ALL
 """,
 )
@@ -447,9 +447,9 @@ def _(spark, sf):
 @query(
     "bootstrap_slope_ci",
     f"""WITH s AS (SELECT contrast_id, instruction_condition, a.draw, sum(a.m * b.m) AS w, sum(a.m * b.m * x) AS wx,
-                          sum(a.m * b.m * y) AS wy, sum(a.m * b.m * x * x) AS wxx, sum(a.m * b.m * x * y) AS wxy
+                          sum(a.m * b.m * y) AS wy, sum(a.m * b.m * x * x) AS wxx, sum(a.m * b.m * x * y) AS wxy, max(x) - min(x) AS spread
                    FROM v_joined p JOIN v_mult a ON a.item = p.story_1_id JOIN v_mult b ON b.item = p.story_2_id AND b.draw = a.draw GROUP BY ALL),
-          e AS (SELECT contrast_id, instruction_condition, (wxy - wx * wy / w) / nullif(wxx - wx * wx / w, 0) AS estimate FROM s)
+          e AS (SELECT contrast_id, instruction_condition, CASE WHEN spread > 0 THEN (wxy - wx * wy / w) / nullif(wxx - wx * wx / w, 0) END AS estimate FROM s)
         SELECT contrast_id, instruction_condition, count(*) AS n_draws, {CI} FROM e WHERE estimate IS NOT NULL GROUP BY ALL""",
 )
 def _(spark, sf):

@@ -25,11 +25,16 @@ CONTEXT_TYPES = ("context_single", "context_pairwise", "context_prompt", "contex
 # -- labels ------------------------------------------------------------------------------
 
 
-def attenuation_label(reference: Column, treated: Column, zero_tol: float = 0.0) -> Column:
+# An exact zero mean carries summation noise of about this size at most.
+SUMMATION_NOISE = 1e-12
+
+
+def attenuation_label(reference: Column, treated: Column, zero_tol: float = SUMMATION_NOISE) -> Column:
     """How an effect changed under the restraining instruction (descriptive only).
 
-    An effect within ``zero_tol`` of zero counts as zero; 0.0005 reproduces labels
-    that were computed on effects rounded to three places.
+    An effect within ``zero_tol`` of zero counts as zero.  The default only absorbs
+    summation noise, so that labels do not depend on partitioning; 0.0005 reproduces
+    labels that were computed on effects rounded to three places.
     """
     tol = F.lit(float(zero_tol))
     ref_zero, treated_zero = F.abs(reference) <= tol, F.abs(treated) <= tol

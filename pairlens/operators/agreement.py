@@ -56,10 +56,13 @@ def reference_scores(ranking: DataFrame, column: str = "ranking") -> DataFrame:
 def item_means(rows: DataFrame, conditions: Sequence[str], pooled: bool = False) -> DataFrame:
     """Mean rating per item, per condition and (``pooled``) over all of them.
 
-    Pooled rows have NULL conditions; both levels come from one scan.
+    Pooled rows have NULL conditions; both levels come from one scan.  Ratings have at
+    most one decimal, so they are summed exactly: ties between means are real and must
+    not depend on the order of summation.
     """
     keys = ["model", "evaluation_regime"]
-    columns = [F.avg("rating").alias("mean_score"), F.count("*").alias("n")]
+    total = F.sum(F.col("rating").cast("decimal(18,6)")).cast("double")
+    columns = [(total / F.count("rating")).alias("mean_score"), F.count("*").alias("n")]
     if not pooled:
         return rows.groupBy(*keys, *conditions, "story_id").agg(*columns)
     sets = [[*keys, *conditions, "story_id"], [*keys, "story_id"]]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.functions.common import null_safe_join, ratio, share
-from pairlens.functions.scalars import attenuation_label, chosen_item, first_item_chosen, is_forced
+from pairlens.functions.scalars import SUMMATION_NOISE, attenuation_label, chosen_item, first_item_chosen, is_forced
 
 PAIR = ("story_1_id", "story_2_id")
 # The four cells of a block and the label of the row without exclusion.
@@ -271,7 +271,7 @@ def tie_rate_summary(rates: DataFrame) -> DataFrame:
 
 
 def regime_comparison(
-    summary: DataFrame, group: Sequence[str], value: str = "mean_effect", zero_tol: float = 0.0
+    summary: DataFrame, group: Sequence[str], value: str = "mean_effect", zero_tol: float = SUMMATION_NOISE
 ) -> DataFrame:
     """The same effect under both regimes with its attenuation label; both required."""
 
