@@ -54,7 +54,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return domains, stored(scores, "mixing-scores"), [math.log(sizes[d] / sum(sizes.values())) for d in domains]
 
 
-def posteriors(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, sharpness: float = 40.0) -> DataFrame:
+def posteriors(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, sharpness: float = 3.0) -> DataFrame:
     """``__id``, ``tokens`` and ``p`` (posterior per domain) per document id.
 
     Scores are means over a document's words, scaled by ``sharpness`` at most, so that long texts keep
