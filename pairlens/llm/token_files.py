@@ -23,54 +23,105 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pairlens.llm.textbatch import quoted, slices
+from pairlens.llm.textbatch import Texts, quoted, slices
 
 NULL_ID = np.iinfo(np.int64).min
-CACHED_PIECES = 300_000
+ENCODED_BYTES = 8 << 20
 
 
 class PieceEncoder:
-    """Encodes whole texts with a byte-level BPE tokenizer, each distinct piece only once.
+    """Encodes whole texts with a byte-level BPE tokenizer, each distinct piece of a slice only once.
 
-    Pieces begin before a single space or line feed that stands between two characters that
-    are no white space.  The tokenizer's splitting pattern never matches across such a place,
-    so the ids of a text are those of its pieces.  Texts with other runs of white space go to
-    the tokenizer whole.  The cache of pieces is bounded and starts anew when full.
+    Pieces begin at a single space or line feed between two characters that are surely no white
+    space.  The tokenizer's splitting pattern never matches across such a place, so the ids of a
+    text are those of its pieces.  Distinct pieces are encoded joined, where the same holds, and
+    told apart again by the tokens' byte lengths; pieces at the edges of texts go on their own.
     """
 
+    JOINED_BYTES = 1 << 18
+
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[str, np.ndarray] = {}
-
-    def _direct(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.ids) > CACHED_PIECES:
-            self.ids.clear()
-        ids = self.ids
-        pieces: list[list[str] | None] = []
-        missing: dict[str, None] = {}
-        whole = []
-        for i, text in enumerate(texts):
-            parts = text.replace("\n", " \n").split(" ")
-            # every part but the first begins with the white space that was before it
-            if any(not p or p == "\n" or p[0].isspace() and p[0] != "\n" or p[-1].isspace() or len(p) > 1 and p[0] == "\n" and p[1].isspace() for p in parts):
-                pieces.append(None)
-                whole.append(i)
-                continue
-            parts = [parts[0]] + [p if p[0] == "\n" else " " + p for p in parts[1:]] if parts[0][0] != "\n" else None
-            if parts is None:
-                pieces.append(None)
-                whole.append(i)
-                continue
-            pieces.append(parts)
-            missing.update((p, None) for p in parts if p not in ids)
-        if missing:
-            names = list(missing)
-            ids.update(zip(names, self._direct(names)))
-        direct = dict(zip(whole, self._direct([texts[i] for i in whole]))) if whole else {}
-        return [direct[i] if p is None else np.concatenate([ids[x] for x in p]) for i, p in enumerate(pieces)]
+        self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
+        opens = np.zeros(256, bool)
+        opens[[32, 10]] = True
+        plain = np.ones(256, bool)
+        plain[:33] = False
+        plain[127:] = False
+        behind = plain.copy()
+        behind[0xC3:0xE0] = True  # first bytes that no white space has
+        self.opens, self.plain, self.behind = opens, plain, behind
+
+    def _cuts(self, texts: Texts) -> np.ndarray:
+        """Starts of all pieces, ascending; every non-empty text starts one."""
+        d = texts.data
+        if len(d) < 3:
+            return np.unique(texts.offsets[:-1][np.diff(texts.offsets) > 0])
+        lead = (d >= 0xC3) & (d < 0xE0)
+        before = self.plain[d]
+        before[1:] |= lead[:-1] & (d[1:] >= 0x80)  # the second byte of a two-byte character
+        cut = np.zeros(len(d), bool)
+        cut[1:-1] = self.opens[d[1:-1]] & before[:-2] & self.behind[d[2:]]
+        # a place at the edge of a text has a neighbour of another text: no cut but the edge itself
+        edges = texts.offsets[(texts.offsets > 0) & (texts.offsets < len(d))]
+        cut[edges - 1] = False
+        cut[texts.offsets[:-1][np.diff(texts.offsets) > 0]] = True
+        return np.flatnonzero(cut)
+
+    def _separately(self, pieces: list[bytes]) -> list[np.ndarray]:
+        made = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+        return [np.array(e.ids, np.int64) for e in made]
+
+    def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces back to back, and where each begins (one more than pieces)."""
+        n = len(pieces)
+        offsets = np.frombuffer(pieces.buffers()[1], np.int64, n + 1, pieces.offset * 8)
+        d = np.frombuffer(pieces.buffers()[2], np.uint8)
+        first, second, last, lasttwo = d[offsets[:-1]], d[np.minimum(offsets[:-1] + 1, len(d) - 1)], d[offsets[1:] - 1], d[np.maximum(offsets[1:] - 2, 0)]
+        size = np.diff(offsets)
+        joinable = (size > 1) & self.opens[first] & self.behind[second] & (self.plain[last] | ((lasttwo >= 0xC3) & (lasttwo < 0xE0) & (last >= 0x80) & (size > 2)))
+        ids: list = [None] * n
+        inner = np.flatnonzero(joinable)
+        ends = np.cumsum(size[inner])
+        joined = d[offsets[0]:offsets[-1]][np.repeat(joinable, size)]
+        lo = 0
+        alone = list(np.flatnonzero(~joinable))
+        while lo < len(inner):
+            start = ends[lo] - size[inner[lo]]
+            hi = max(lo + 1, int(np.searchsorted(ends, start + self.JOINED_BYTES)))
+            group = inner[lo:hi]
+            made = np.array(self.tokenizer.encode_batch_fast([joined[start:ends[hi - 1]].tobytes().decode()], add_special_tokens=False)[0].ids, np.int64)
+            reach = np.cumsum(self.bytes_of[made])
+            wanted = ends[lo:hi] - start
+            at = np.searchsorted(reach, wanted)
+            if len(reach) and reach[-1] == wanted[-1] and (reach[np.minimum(at, len(reach) - 1)] == wanted).all():
+                for i, a, b in zip(group, np.concatenate([[0], at[:-1] + 1]), at + 1):
+                    ids[i] = made[a:b]
+            else:
+                alone.extend(group)
+            lo = hi
+        for i, made in zip(alone, self._separately([d[offsets[i]:offsets[i + 1]].tobytes() for i in alone]) if alone else []):
+            ids[i] = made
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+        return (np.concatenate(ids) if n else np.empty(0, np.int64)), starts
+
+    def encode(self, texts: Texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids with ``end_id`` after each text, and the number of ids of each text."""
+        cuts = self._cuts(texts)
+        offsets = np.append(cuts, len(texts.data)).astype(np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(texts.data))])
+        coded = pieces.dictionary_encode()
+        flat, starts = self._distinct(coded.dictionary)
+        flat = np.append(flat, end_id)
+        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        per_text = np.searchsorted(cuts, texts.offsets)
+        index = np.insert(index, per_text[1:], len(starts) - 1)  # the end as one more piece
+        starts = np.append(starts, len(flat))
+        size = starts[index + 1] - starts[index]
+        total = np.concatenate([[0], np.cumsum(size)])
+        gather = np.arange(total[-1]) + np.repeat(starts[index] - total[:-1], size)
+        last = per_text[1:] + np.arange(1, len(texts) + 1)
+        return flat[gather], np.diff(np.concatenate([[0], total[last]]))
 
 
 def _filesystem(uri: str):
@@ -105,7 +156,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_
     spark = docs.sparkSession
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("__id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("__text"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, F.col("__id").asc_nulls_first(), F.col("__text").asc()).sortWithinPartitions(F.col("__id").asc_nulls_first(), F.col("__text").asc())
+    ordered = rows.repartitionByRange(parts, F.col("__id").asc_nulls_first()).sortWithinPartitions(F.col("__id").asc_nulls_first(), F.col("__text").asc())
 
     def run(batches):
         from pyspark import TaskContext
@@ -115,18 +166,18 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_
         fs, base = _filesystem(folder)
         fs.create_dir(base, recursive=True)
         part = TaskContext.get().partitionId()
-        name, end = f"{base}/part-{part:06d}", np.array([end_id], np.uint32)
+        name = f"{base}/part-{part:06d}"
         temporary = f"{name}.bin.{uuid.uuid4().hex}"
         lengths: list[np.ndarray] = []
         ids: list[np.ndarray] = []
         with fs.open_output_stream(temporary) as out:
             for batch in batches:
-                for piece, _ in slices(batch, "__text"):
-                    made = encoder.encode(piece.column("__text").to_pylist())
-                    lengths.append(np.array([len(x) + 1 for x in made], np.int64))
+                for piece, texts in slices(batch, "__text", ENCODED_BYTES):
+                    made, sizes = encoder.encode(texts, end_id)
+                    lengths.append(sizes)
                     keys = piece.column("__id")
                     ids.append(keys.fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False).astype(np.int64))
-                    out.write(np.concatenate([y for x in made for y in (x, end)]).astype(kind).tobytes())
+                    out.write(made.astype(kind).tobytes())
         n = sum(map(len, lengths))
         if not n:
             fs.delete_file(temporary)
