@@ -182,16 +182,21 @@ def train(windows: list[bytes], labels: np.ndarray, languages: int, steps: int =
     return net
 
 
-def training_sample(rows: DataFrame, key, rows_wanted: int, excerpt: int = 1024) -> list:
-    """At most ``rows_wanted`` rows (``__text``, ``__label``), about as many of each label, of each an excerpt at a place that depends on ``key``."""
+def balanced(rows: DataFrame, key: str, rows_wanted: int) -> DataFrame:
+    """About ``rows_wanted`` rows at most, as many of each ``__label`` as there are; chosen by a hash of ``key``."""
     counts = {r["__label"]: r["n"] for r in rows.groupBy("__label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "__label").limit(64).collect()}
     if not counts:
-        return []
+        return rows.limit(0)
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, rows_wanted / len(counts) / n))])
     u = F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
-    place = (F.pmod(F.xxhash64(key, F.lit(12)), F.lit(1 << 40)) / float(1 << 40) * F.greatest(F.length("__text") - excerpt, F.lit(0))).cast("int") + 1
-    some = rows.filter(F.col("__label").isin(list(counts))).withColumn("__u", u).filter(F.col("__u") < share[F.col("__label")])
-    return some.select("__u", "__label", F.col("__text").substr(place, F.lit(excerpt)).alias("__text")).orderBy("__u", "__label", "__text").limit(rows_wanted).collect()
+    return rows.filter(F.col("__label").isin(list(counts))).filter(u < share[F.col("__label")])
+
+
+def excerpts(rows: DataFrame, key: str, rows_wanted: int, size: int) -> list:
+    """``__label`` and an excerpt of ``__text`` of at most ``rows_wanted`` rows, at a place that depends on ``key``."""
+    place = (F.pmod(F.xxhash64(key, F.lit(12)), F.lit(1 << 40)) / float(1 << 40) * F.greatest(F.length("__text") - size, F.lit(0))).cast("int") + 1
+    some = rows.select(F.xxhash64(key, F.lit(13)).alias("__u"), "__label", F.col("__text").substr(place, F.lit(size)).alias("__text"))
+    return some.orderBy("__u", "__label", "__text").limit(rows_wanted).collect()
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS):
@@ -200,7 +205,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     ``sample_rows`` bounds the rows that reach the driver; of each an excerpt is used for training.
     """
     rows = docs.select(F.col(quoted(id_col)).alias("__key"), F.col(quoted(text_col)).alias("__text"), F.col(quoted(lang_col)).cast("string").alias("__label"))
-    sample = training_sample(rows.filter("__label IS NOT NULL").filter(F.col("__text").rlike(r"\p{L}")), "__key", sample_rows)
+    usable = rows.filter("__label IS NOT NULL").filter(F.col("__text").rlike(r"\p{L}"))
+    sample = excerpts(balanced(usable, "__key", sample_rows), "__key", sample_rows, 1024)
     if not sample:
         return None
     languages = sorted({r["__label"] for r in sample})

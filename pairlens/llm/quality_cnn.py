@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.language_id import Adam, training_sample
+from pairlens.llm.language_id import Adam, balanced, excerpts
 from pairlens.llm.textbatch import Texts, over_texts, quoted
 
 SAMPLE_ROWS = 3_000
@@ -122,11 +122,13 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = 500, batch: int =
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_id_col: str = "doc_id", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> dict | None:
     """The network from texts joined with their labels (0 or 1); None without labelled rows.
 
-    ``sample_rows`` bounds the rows that reach the driver; of each an excerpt of 2,048 characters is used.
+    ``sample_rows`` bounds the labels that are looked up and the rows that reach the driver; of each an excerpt of 2,048 characters is used.
     """
-    marks = labels.select(F.col(quoted(label_id_col)).alias("__key"), F.col(quoted(label_col)).cast("int").alias("__label")).filter("__label IN (0, 1)").groupBy("__key").agg(F.max("__label").alias("__label"))
-    rows = docs.select(F.col(quoted(id_col)).alias("__key"), F.col(quoted(text_col)).alias("__text")).filter("length(__text) > 0").join(marks, "__key")
-    sample = training_sample(rows, "__key", sample_rows, 2048)
+    marks = labels.select(F.col(quoted(label_id_col)).alias("__key"), F.col(quoted(label_col)).cast("int").alias("__label")).filter("__label IN (0, 1) AND __key IS NOT NULL")
+    chosen = balanced(marks.groupBy("__key").agg(F.max("__label").alias("__label")), "__key", sample_rows)
+    # at most sample_rows narrow rows, so they go to the texts and not the texts to them
+    rows = docs.select(F.col(quoted(id_col)).alias("__key"), F.col(quoted(text_col)).alias("__text")).filter("length(__text) > 0")
+    sample = excerpts(rows.join(F.broadcast(chosen), "__key"), "__key", sample_rows, 2048)
     if not sample:
         return None
     return train([r["__text"].encode() for r in sample], np.array([r["__label"] for r in sample]))

@@ -74,7 +74,7 @@ def op8_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 5) == 0).alias("held_out"))
-    net = quality_cnn.fit(docs.filter(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    net = quality_cnn.fit(docs.filter(~F.col("held_out")), table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0))
     return quality_cnn.quality(docs, net, passing=["doc_id", "held_out"])
 
 

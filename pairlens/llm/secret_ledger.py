@@ -11,7 +11,6 @@ A match's place follows from the lengths of the pieces between matches: ``split`
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,21 +67,26 @@ def blob_of(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
-def _matches(blobs: DataFrame, rule: Rule) -> DataFrame:
-    """Spans of one rule, one row per blob that has any: ``blob``, ``rule``, ``spans``."""
-    p = F.lit(rule.pattern)
-    hits = blobs.filter(F.array_contains("todo", rule.key) & F.col("text").rlike(rule.pattern)).select(
-        "blob",
-        F.transform(F.split("text", rule.pattern, -1), F.length).alias("gaps"),
-        F.transform(F.regexp_extract_all("text", p, F.lit(0)), F.length).alias("whole"),
-        F.transform(F.regexp_extract_all("text", p, F.lit(rule.group)), F.length).alias("inner"),
-    )
-    rows = hits.select("blob", F.posexplode(F.arrays_zip("gaps", "whole", "inner")).alias("at", "m"))
-    before = W.partitionBy("blob").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+def _parts(rule: Rule) -> Column:
+    """Lengths of a text's gaps, matches and counted groups under one rule; null without a match or need."""
+    size = lambda x: F.transform(x, F.length)
+    hit = F.array_contains("todo", rule.key) & F.col("text").rlike(rule.pattern)
+    return F.when(hit, F.struct(
+        F.lit(rule.key).alias("rule"), F.lit(rule.least).alias("least"), size(F.split("text", rule.pattern, -1)).alias("gaps"),
+        size(F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0))).alias("whole"),
+        size(F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(rule.group))).alias("inner"),
+    ))
+
+
+def _matches(unseen: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Spans of all rules in one pass over the texts, one row per blob and rule with any: ``blob``, ``rule``, ``spans``."""
+    hits = unseen.select("blob", F.explode(F.filter(F.array(*map(_parts, rules)), lambda h: h.isNotNull())).alias("h")).select("blob", "h.*")
+    rows = hits.dropDuplicates(["blob", "rule"]).select("blob", "rule", "least", F.posexplode(F.arrays_zip("gaps", "whole", "inner")).alias("at", "m"))
+    before = W.partitionBy("blob", "rule").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
     placed = rows.withColumn("end", F.sum(F.col("m.gaps") + F.coalesce(F.col("m.whole"), F.lit(0))).over(before).cast("long"))
-    kept = placed.filter(F.col("m.whole").isNotNull() & (F.col("m.inner") >= rule.least))
+    kept = placed.filter(F.col("m.whole").isNotNull() & (F.col("m.inner") >= F.col("least")))
     spans = F.array_sort(F.collect_list(F.struct((F.col("end") - F.col("m.whole")).cast("long").alias("start"), "end")))
-    return kept.groupBy("blob").agg(spans.alias("spans")).select("blob", F.lit(rule.key).alias("rule"), "spans")
+    return kept.groupBy("blob", "rule").agg(spans.alias("spans"))
 
 
 def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> int:
@@ -91,28 +95,20 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> i
     A pair without finding is remembered with an empty list, so it is never scanned again.
     """
     spark = versions.sparkSession
-    texts = versions.select("path", F.coalesce("text", F.lit("")).alias("text"))
-    addressed = texts.select("path", F.length("text").alias("n"), blob_of(F.col("text")).alias("blob"))
+    texts = versions.select("path", blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
     seen = spark.read.schema(LEDGER).parquet(ledger).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
     wanted = F.array(*[F.lit(r.key) for r in rules])
-    todo = addressed.groupBy("blob").agg(F.min("path").alias("path")).join(seen, "blob", "left")
+    todo = texts.groupBy("blob").agg(F.min("path").alias("path")).join(seen, "blob", "left")
     todo = todo.withColumn("todo", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))).filter(F.size("todo") > 0)
     todo = stored(todo.select("path", "blob", "todo"), "ledger-todo")
-    # a path can have several versions: the content decides which of them is meant
-    unseen = texts.join(todo, "path").filter(blob_of(F.col("text")) == F.col("blob"))
-    unseen = stored(unseen.select("blob", "todo", "text").dropDuplicates(["blob"]) if _repeats(todo, unseen) else unseen.select("blob", "todo", "text"), "ledger-unseen")
-    found = reduce(DataFrame.unionByName, [_matches(unseen, r) for r in rules])
+    # one path stands for a blob; a path can have several versions, so the blob is part of the key
+    found = _matches(texts.join(todo, ["path", "blob"]), rules)
     pairs = todo.select("blob", F.explode("todo").alias("rule"))
     entries = pairs.join(found, ["blob", "rule"], "left").select("blob", "rule", F.coalesce("spans", F.array().cast(LEDGER["spans"].dataType)).alias("spans"))
     entries.write.mode("append").parquet(ledger)
     return pairs.count()
 
 
-def _repeats(todo: DataFrame, unseen: DataFrame) -> bool:
-    """Whether some blob is there more than once (repeated rows of one path)."""
-    return todo.count() != unseen.select("blob").count()
-
-
 def findings(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Every row of ``versions`` with ``found``: its spans (start, rank of the kind, end, kind) in order."""
     spark = versions.sparkSession
