@@ -6,8 +6,9 @@ query visits cells in the order of a lower bound on the distance to any vector i
 (multi-sequence traversal over the two sorted lists of half bounds) and stops when the bound
 passes the radius that belongs to the wanted similarity.  A vector's half distance to the
 bisector between its own codeword and another one bounds the distance to everything behind
-it, so with ``recall=1.0`` no pair is missed; a lower target recall stops at the radius that
-this share of a sample's linked pairs needs.  Candidates are verified in double precision.
+it, so with ``recall=1.0`` no pair is missed; a lower target stops at the bound that this share of a
+sample's linked pairs needs.  A pair is found if either side visits the other's cell, and counts
+for both.  Candidates are verified in double precision.
 
 Equal vectors are compared once and counted by multiplicity.  Cells are cut in blocks of
 about ``block`` vectors and compared block by block with one matrix product; a block pair
@@ -69,18 +70,27 @@ def multi_sequence(first: np.ndarray, second: np.ndarray, limit: float) -> list[
     return out
 
 
-def _radius(sample: np.ndarray, threshold: float, recall: float) -> float:
-    """Squared distance that holds the wanted share of a sample's linked pairs."""
-    exact = 2 - 2 * threshold
-    if recall >= 1 or len(sample) < 2:
-        return exact + 1e-9
-    some = sample[:2000]
-    d = 2 - 2 * (some @ some.T)[np.triu_indices(len(some), 1)]
-    d = np.sort(d[d <= exact])
-    return float(d[min(len(d) - 1, int(np.ceil(recall * len(d))))]) if len(d) else exact
+def _limit(sample: np.ndarray, one: np.ndarray, two: np.ndarray, threshold: float, recall: float) -> float:
+    """Squared bound up to which cells are visited.
 
-
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, recall: float = 1.0, codewords: int = 24, sample_rows: int = SAMPLE_ROWS, block: int = 256) -> DataFrame:
+    With ``recall`` below 1: what this share of the linked pairs of a sample need, half as much
+    again, and at least the bound that a pair just at the threshold passes only rarely (its offset,
+    seen along one direction out of many, is small).  With 1: the whole radius.
+    """
+    radius, (n, width) = 2 - 2 * threshold + 1e-9, sample.shape
+    if recall >= 1 or n < 2:
+        return radius
+    some, half = sample[:1000], one.shape[1]
+    near = some @ sample[:4000].T >= threshold
+    near[np.arange(len(some)), np.arange(len(some))] = False
+    a, b = np.nonzero(near)
+    (_, bi), (_, bj) = half_bounds(some[:, :half], one), half_bounds(some[:, half:], two)
+    (i, _), (j, _) = half_bounds(sample[:4000, :half], one), half_bounds(sample[:4000, half:], two)
+    needed = bi[a, i[b]] ** 2 + bj[a, j[b]] ** 2
+    return min(radius, max(radius * 12 / width, 1.5 * float(np.quantile(needed, recall)) if len(a) else 0.0))
+
+
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, recall: float = 0.9999, codewords: int = 16, sample_rows: int = SAMPLE_ROWS, block: int = 256) -> DataFrame:
     """One row per input row: ``vec_id``, ``n_links``, ``component_id``, ``kept``.
 
     Defined cases: a vector that is null, empty, zero or holds a null or non-finite component, and a
@@ -106,7 +116,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     for size, group in picked.groupby(picked.v.map(len)):
         data = np.stack([np.asarray(x, np.float64) for x in group.v])
         half = (size + 1) // 2
-        books[int(size)] = (kmeans(data[:, :half], codewords), kmeans(data[:, half:], codewords) if size > 1 else np.zeros((1, 0)), _radius(data, threshold, recall))
+        one, two = kmeans(data[:, :half], codewords), kmeans(data[:, half:], codewords) if size > 1 else np.zeros((1, 0))
+        books[int(size)] = (one, two, _limit(data, one, two, threshold, recall))
 
     def place(batches):
         for pdf in batches:
@@ -141,27 +152,32 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 q, t = np.array([list(r["v"]) for r in ours], np.float64), np.array([list(r["v"]) for r in theirs], np.float64)
                 mult = np.array([r["mult"] for r in theirs])
                 hit = (q @ t.T >= threshold) & (qi[:, None] != ti[None])
-                links = hit @ mult
-                # a spanning forest of the links between the two blocks: first link of every row, then first of every column
-                parent = {}
-
-                def find(x):
-                    while parent.setdefault(x, x) != x:
-                        parent[x] = parent[parent[x]]
-                        x = parent[x]
-                    return x
-
-                for a, b in zip(*np.nonzero(hit)):
-                    x, y = find(int(qi[a])), find(int(ti[b]))
-                    if x != y:
-                        parent[max(x, y)] = min(x, y)
-                        node.append(int(qi[a]))
+                if not hit.any():
+                    continue
+                links, size = hit @ mult, q.shape[1]
+                half = (size + 1) // 2
+                one, two, limit = books.get(size, (np.zeros((1, half)), np.zeros((1, size - half)), 1.0))
+                (i, _), (j, _) = half_bounds(q[:, :half], one), half_bounds(q[:, half:], two)
+                (_, bi), (_, bj) = half_bounds(t[:, :half], one), half_bounds(t[:, half:], two)
+                unasked = hit & (bi[:, i] ** 2 + bj[:, j] ** 2 > limit).T  # the other side does not visit our cell
+                theirs_too = np.array([r["mult"] for r in ours]) @ unasked
+                # the smallest id reachable within the two blocks stands for a spanning forest
+                row, column, most = qi.copy(), ti.copy(), np.iinfo(np.int64).max
+                while True:
+                    new_row = np.minimum(row, np.where(hit, column[None], most).min(1))
+                    new_column = np.minimum(column, np.where(hit, new_row[:, None], most).min(0))
+                    if (new_row == row).all() and (new_column == column).all():
+                        break
+                    row, column = new_row, new_column
+                for ids, least, n in ((qi, row, links), (ti, column, theirs_too)):
+                    for k in np.flatnonzero(least < ids):
+                        node.append(int(ids[k]))
                         count.append(0)
-                        other.append(int(ti[b]))
-                for k in np.flatnonzero(links):
-                    node.append(int(qi[k]))
-                    count.append(int(links[k]))
-                    other.append(None)
+                        other.append(int(least[k]))
+                    for k in np.flatnonzero(n):
+                        node.append(int(ids[k]))
+                        count.append(int(n[k]))
+                        other.append(None)
             yield pd.DataFrame({"node": pd.array(node, "Int64"), "links": pd.array(count, "Int64"), "other": pd.array(other, "Int64")})
 
     found = stored(meeting.mapInPandas(compare, "node long, links long, other long"), "vector-links")
