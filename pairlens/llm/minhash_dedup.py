@@ -13,7 +13,9 @@ confirmed on the full sets read from the whole texts.  No bucket is expanded int
 1. every member is compared with its bucket's leader, starting with the leader it shares most
    tables with; confirmed links are contracted to components,
 2. buckets whose leader and member are still in different components are compared,
-3. what is left are buckets with several components.  Members of different components are
+3. twice more every bucket that holds several components takes another leader, drawn anew for
+   each table, for its members of other components,
+4. what is left are buckets with several components still.  Members of different components are
    compared directly in small buckets; larger ones are split first by a third collection
    (again by every one of its m hashes, so that the recall stays that of the formula).
 """
@@ -29,6 +31,7 @@ from pairlens.llm.components import components, stored
 from pairlens.llm.textbatch import SLICE_BYTES, Texts, Words, mix, over_texts, quoted, slices, stream, text_bytes
 
 DIRECT_BUCKET = 32
+LEADER_TURNS = 2
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -137,6 +140,13 @@ def _near(n1: str, n2: str, percent: int) -> Column:
     return (F.col(n1) * 100 >= F.col(n2) * percent) & (F.col(n2) * 100 >= F.col(n1) * percent)
 
 
+def _open_rows(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that still hold several components, with their component ``c1``."""
+    rows = _labelled(buckets, labels, "rep", "c1")
+    keys = rows.groupBy("key").agg((F.min("c1") < F.max("c1")).alias("several")).filter("several").select("key")
+    return rows.join(keys, "key", "left_semi").select("key", "size", "rep", "n", "c1")
+
+
 def _order(column: str) -> Column:
     return F.xxhash64(F.col(column), F.lit(5))
 
@@ -186,9 +196,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = stored(components(links, "minhash-cc"), "minhash-labels")
     tried = stars.select(F.col("rep").alias("a"), F.col("leader").alias("b"))
 
-    open_keys = _labelled(_labelled(buckets, labels, "rep", "c1"), labels, "leader", "c2")
-    mixed = open_keys.groupBy("key").agg(F.max((F.col("c1") != F.col("c2")).cast("int")).alias("mixed")).filter("mixed = 1").select("key")
-    held = stored(open_keys.join(mixed, "key", "left_semi").select("key", "size", "rep", "n", "c1"), "minhash-open")
+    for turn in range(1, LEADER_TURNS + 1):  # linear rounds: every table takes a leader of its own each time
+        opened = _open_rows(buckets, labels)
+        leads = opened.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key", F.lit(turn)).alias("o"), F.col("rep").alias("leader"), F.col("n").alias("ln"), F.col("c1").alias("lc"))).alias("lead"))
+        fresh = opened.join(leads.select("key", "lead.leader", "lead.ln", "lead.lc"), "key").filter("c1 <> lc").filter(_near("n", "ln", percent))
+        fresh = fresh.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+        found = stored(_confirmed(fresh, texts, shingle, percent), "minhash-links")
+        links = links.unionByName(found)
+        labels = stored(components(links, "minhash-cc"), "minhash-labels")
+
+    held = stored(_open_rows(buckets, labels), "minhash-open")
     small = held.filter(F.col("size") <= DIRECT_BUCKET).select("key", "rep", "n", "c1")
     large = held.filter(F.col("size") > DIRECT_BUCKET).join(classes.groupBy("rep").agg(F.first("s3").alias("s3")), "rep")
     large = large.select("key", "rep", "n", "c1", F.posexplode("s3").alias("k", "z")).select(F.xxhash64("key", "k", "z").alias("key"), "rep", "n", "c1")
