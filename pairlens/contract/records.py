@@ -31,7 +31,6 @@ SELECT id, CASE WHEN is_json THEN CASE WHEN letter_json IN ('A', 'B') THEN lette
        CASE WHEN txt IS NULL THEN 'no_response_text'
             WHEN is_json THEN CASE WHEN letter_json IN ('A', 'B') THEN NULL
                                    WHEN json_type(j) <> 'OBJECT' THEN 'json_not_object' ELSE 'json_without_letter' END
-            WHEN starts_with(clean, '{{') THEN 'broken_json'
             WHEN hedged THEN 'ambiguous/hedged' WHEN letter = '' THEN 'no_leading_letter' END AS error
 FROM (SELECT *, ({MARKERS}) AS hedged,
              regexp_extract(clean, '(?is)^(?:i\\s+prefer\\s+(?:passage\\s+)?|passage\\s+)?([ab])(?:$|[^\\p{{L}}\\p{{N}}_])', 1) AS letter,

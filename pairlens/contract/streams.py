@@ -38,7 +38,7 @@ def _(spark, sf):
     target, checkpoint = fresh_path(spark, "ingest"), fresh_path(spark, "ingest-state")
     finished(ing.start_ingest(event_stream(spark, sf), target, checkpoint))
     kept = ("observation_id", "answer", "status", "contrast_id", "evaluator_id", "input_tokens", "output_tokens")
-    return spark.read.parquet(target).select(*kept)
+    return ing.observations(spark, target).select(*kept)
 
 
 @query(

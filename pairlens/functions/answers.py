@@ -35,7 +35,6 @@ LETTER_FIRST = "(?isU)^(?:i\\s+prefer\\s+(?:passage\\s+)?|passage\\s+)?([ab])\\b
 # Error codes of the plain A/B parser.
 JSON_NOT_OBJECT = "json_not_object"
 JSON_NO_LETTER = "json_without_letter"
-BROKEN_JSON = "broken_json"
 HEDGED = "ambiguous/hedged"
 NO_LETTER = "no_leading_letter"
 NOT_JSON = "not_json"
@@ -104,7 +103,6 @@ def with_choice(df: DataFrame, text: str, answer: str = "answer", error: str = "
             .when(is_json & good, nothing)
             .when(is_json & ~F.col("__json").startswith("OBJECT"), JSON_NOT_OBJECT)
             .when(is_json, JSON_NO_LETTER)
-            .when(clean.startswith("{"), BROKEN_JSON)
             .when(hedged, HEDGED)
             .when(letter.isNull(), NO_LETTER),
         }

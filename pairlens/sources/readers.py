@@ -124,20 +124,15 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_items(spark: SparkSession, manifest_path: str, base_dir: str) -> DataFrame:
-    """Corpus: the item manifest joined to its text files by relative path."""
+    """Corpus: the item manifest joined to its text files by their path below ``base_dir``."""
     items = read_jsonl(spark, manifest_path, schemas.ITEMS)
-    folders = items.select(F.regexp_replace("path", "[^/]+$", "").alias("d")).distinct().limit(1000).collect()
-    texts = read_texts(spark, [f"{base_dir}/{r['d']}" for r in folders])
-    return _by_name(items, texts).select(F.col("id").alias("item_id"), "text")
-
-
-def _by_name(items: DataFrame, texts: DataFrame) -> DataFrame:
-    """Equi-join on the last two path parts, which both sides can compute."""
-
-    def tail(column: str):
-        return F.regexp_extract(F.concat(F.lit("/"), F.col(column)), "([^/]*/[^/]+)$", 1)
-
-    return items.withColumn("__k", tail("path")).join(texts.withColumn("__k", tail("file_path")), "__k", "left")
+    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(base_dir)
+    base = base_dir.rstrip("/")
+    below = F.expr("substring(__f, instr(__f, __b) + length(__b))")
+    texts = rows.select(F.col("_metadata.file_path").alias("__f"), F.lit(base + "/").alias("__b"), strip(F.col("value")).alias("text"))
+    texts = texts.select(F.regexp_replace(below, "^/+", "").alias("__k"), "text")
+    keyed = items.withColumn("__k", F.regexp_replace("path", "^(?:\\./|/)+", ""))
+    return keyed.join(texts, "__k", "left").select(F.col("id").alias("item_id"), "text")
 
 
 def delimiter_rejects(items: DataFrame) -> DataFrame:

@@ -50,8 +50,13 @@ def once_per_observation(rows: DataFrame, delay: str = "1 hour") -> DataFrame:
     return rows.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["observation_id"])
 
 
-def start_ingest(rows: DataFrame, target: str, checkpoint: str, deduplicate: bool = True) -> StreamingQuery:
-    """Validate and append to parquet; processes everything available, then stops."""
+def start_ingest(rows: DataFrame, target: str, checkpoint: str, deduplicate: bool = False) -> StreamingQuery:
+    """Validate and append to parquet; processes everything available, then stops.
+
+    Every row reaches the table however late it is; repeated observations are dropped when
+    it is read.  ``deduplicate`` drops them on the way instead, and with them rows that come
+    later than the watermark.
+    """
     validated = parsed(once_per_observation(rows) if deduplicate else rows)
     return (
         validated.writeStream.format("parquet")
@@ -63,6 +68,13 @@ def start_ingest(rows: DataFrame, target: str, checkpoint: str, deduplicate: boo
     )
 
 
+def observations(spark: SparkSession, target: str) -> DataFrame:
+    """The ingested table with one row per observation (rows without an id are all kept)."""
+    rows = spark.read.parquet(target)
+    named = rows.filter("observation_id IS NOT NULL").dropDuplicates(["observation_id"])
+    return named.unionByName(rows.filter("observation_id IS NULL"))
+
+
 def start_updates(rows: DataFrame, target: str, checkpoint: str, output_mode: str = "update") -> StreamingQuery:
     """Write every batch of changed aggregates to its own partition of ``target``.
 

@@ -22,7 +22,7 @@ REJECTED = [
     ("As I read on, I noticed details.", ans.NO_LETTER), ("According to my reading", ans.NO_LETTER), ("Aé", ans.NO_LETTER), ("", ans.NO_LETTER),
     ('{"choice": "tie"}', ans.JSON_NO_LETTER), ('{"choice": 1}', ans.JSON_NO_LETTER), ("{}", ans.JSON_NO_LETTER),
     ('{"overall_quality": null, "choice": "A"}', ans.JSON_NO_LETTER), ("1", ans.JSON_NOT_OBJECT), ('["A"]', ans.JSON_NOT_OBJECT),
-    ("true", ans.JSON_NOT_OBJECT), ('{"choice": "A"', ans.BROKEN_JSON), (None, "no_response_text"),
+    ("true", ans.JSON_NOT_OBJECT), ('{"choice": "A"', ans.NO_LETTER), ('{"choice": "tie', ans.HEDGED), (None, "no_response_text"),
 ]
 
 
