@@ -15,9 +15,10 @@ confirmed on the full sets read from the whole texts.  No bucket is expanded int
 2. buckets whose leader and member are still in different components are compared,
 3. twice more every bucket that holds several components takes another leader, drawn anew for
    each table, for its members of other components,
-4. what is left are buckets with several components still.  Members of different components are
-   compared directly in small buckets; larger ones are split first by a third collection
-   (again by every one of its m hashes, so that the recall stays that of the formula).
+4. what is left are buckets with several components still.  Their members of different components
+   are paired by rare shingles: with the shingles of all open members in one order, rarest first,
+   two sets of the similarity share one near the beginning of both, and few others do.  This is
+   exact, so no pair that a bucket holds is lost, and no bucket is expanded.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairlens.llm.components import components, stored
 from pairlens.llm.textbatch import SLICE_BYTES, Texts, Words, mix, over_texts, quoted, slices, stream, text_bytes
 
-DIRECT_BUCKET = 32
 LEADER_TURNS = 2
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -63,7 +64,7 @@ def shingle_sets(texts: Texts, size: int) -> list[np.ndarray]:
 
 
 def _signer(size: int, m: int, per_hash: int):
-    n_minima = 3 * m * per_hash
+    n_minima = 2 * m * per_hash
     factors, shifts = stream(101, n_minima) | np.uint64(1), stream(202, n_minima)
 
     def sign(texts: Texts) -> list:
@@ -72,10 +73,10 @@ def _signer(size: int, m: int, per_hash: int):
         full = np.flatnonzero(counts)
         values = np.concatenate([sets[i] for i in full]) if len(full) else np.empty(0, np.uint64)
         at = np.concatenate([[0], np.cumsum(counts[full])[:-1]]).astype(np.int64)
-        collections = np.zeros((3, len(sets), m), np.uint64)
+        collections = np.zeros((2, len(sets), m), np.uint64)
         prints = np.zeros((2, len(sets)), np.uint64)
         if len(full):
-            for c in range(3):
+            for c in range(2):
                 for i in range(m):
                     acc = np.zeros(len(full), np.uint64)
                     for k in range(per_hash):
@@ -86,7 +87,7 @@ def _signer(size: int, m: int, per_hash: int):
             prints[1, full] = np.add.reduceat(mix(values + _M), at)
         lists = [
             pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * m + 1, m, dtype=np.int32)), pa.array(collections[c].reshape(-1).view(np.int64)))
-            for c in range(3)
+            for c in range(2)
         ]
         return [counts, prints[0].view(np.int64), prints[1].view(np.int64), *lists]
 
@@ -94,9 +95,9 @@ def _signer(size: int, m: int, per_hash: int):
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, m: int = 10, per_hash: int = 2) -> DataFrame:
-    """``__id``, ``n`` (set size), two fingerprints of the set and three hash collections per row."""
+    """``__id``, ``n`` (set size), two fingerprints of the set and two hash collections per row."""
     sent = docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).alias("__text"))
-    fields = [("n", "long"), ("f1", "long"), ("f2", "long"), ("s1", "array<long>"), ("s2", "array<long>"), ("s3", "array<long>")]
+    fields = [("n", "long"), ("f1", "long"), ("f2", "long"), ("s1", "array<long>"), ("s2", "array<long>")]
     return over_texts(sent, "__text", fields, _signer(shingle, m, per_hash), passing=["__id"])
 
 
@@ -147,6 +148,36 @@ def _open_rows(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(keys, "key", "left_semi").select("key", "size", "rep", "n", "c1")
 
 
+def _by_rare_shingles(texts: DataFrame, held: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs ``a`` < ``b`` of ``held`` members of different components whose sets may be similar enough.
+
+    The first shingle that two sets share (in any common order) has all others they share behind it
+    in both.  Of a set of n, paired with one no smaller, at least 2·percent·n / (100 + percent) are
+    shared, of the larger one at least percent·n / 100; so the shared one is found in the
+    beginnings that leave no more than that behind, and what follows it must suffice.
+    """
+    def sets_of(batch: Texts) -> list:
+        sets = shingle_sets(batch, shingle)
+        ends = np.cumsum([0, *map(len, sets)])
+        flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        prints = np.array([np.bitwise_xor.reduce(mix(v)) for v in sets], np.uint64)
+        return [np.diff(ends), prints.view(np.int64), pa.LargeListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))).cast(pa.list_(pa.int64()))]
+
+    open_texts = texts.join(held.select(F.col("rep").alias("__id"), "c1"), "__id")
+    rows = over_texts(open_texts, "__text", [("n", "long"), ("set", "long"), ("h", "array<long>")], sets_of, passing=["__id", "c1"])
+    rows = stored(rows.select(F.col("__id").alias("rep"), "c1", "n", "set", F.explode("h").alias("h")), "minhash-open")
+    common = rows.groupBy("h").agg(F.count("*").alias("d")).filter("d > 1")
+    place = F.row_number().over(W.partitionBy("rep", "set").orderBy(F.coalesce("d", F.lit(1)), "h"))
+    begin = rows.join(common, "h", "left").withColumn("at", place).filter("d > 1")  # an unshared one only takes its place
+    begin = stored(begin.filter(F.col("at") <= F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1).select("h", "rep", "c1", "n", "at"), "minhash-begin")
+    small = begin.filter(F.col("at") <= F.col("n") - F.expr(f"(n * {2 * percent} + {99 + percent}) div {100 + percent}") + 1)
+    small = small.select(*[F.col(c).alias(c + "2") for c in ("h", "rep", "c1", "n", "at")])
+    met = (F.col("h") == F.col("h2")) & (F.struct("n2", "rep2") < F.struct("n", "rep")) & (F.col("c1") != F.col("c12")) & _near("n", "n2", percent)
+    met = met & ((F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) + 1) * (100 + percent) >= (F.col("n") + F.col("n2")) * percent)
+    pairs = begin.join(small, met)
+    return pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+
+
 def _order(column: str) -> Column:
     return F.xxhash64(F.col(column), F.lit(5))
 
@@ -165,14 +196,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     usable = sigs.filter("n > 0 AND __id IS NOT NULL")
     classes = stored(
         usable.groupBy("n", "f1", "f2").agg(
-            F.min("__id").alias("rep"), F.count("*").alias("size"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("s3").alias("s3")
+            F.min("__id").alias("rep"), F.count("*").alias("size"), F.first("s1").alias("s1"), F.first("s2").alias("s2")
         ),
         "minhash-classes",
     )
     members = usable.join(classes.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"]).select(F.col("rep").alias("a"), F.col("__id").alias("b")).filter("a <> b")
 
-    grid = classes.select("rep", "n", "s3", F.posexplode("s1").alias("i", "x"), "s2").select(
-        "rep", "n", "s3", "i", "x", F.posexplode("s2").alias("j", "y")
+    grid = classes.select("rep", "n", F.posexplode("s1").alias("i", "x"), "s2").select(
+        "rep", "n", "i", "x", F.posexplode("s2").alias("j", "y")
     ).select(F.xxhash64("i", "x", "j", "y").alias("key"), "rep", "n")
     shared = grid.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(_order("rep").alias("o"), F.col("rep").alias("leader"), F.col("n").alias("ln"))).alias("lead")).filter("size > 1")
     buckets = stored(
@@ -205,13 +236,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(found)
         labels = stored(components(links, "minhash-cc"), "minhash-labels")
 
-    held = stored(_open_rows(buckets, labels), "minhash-open")
-    small = held.filter(F.col("size") <= DIRECT_BUCKET).select("key", "rep", "n", "c1")
-    large = held.filter(F.col("size") > DIRECT_BUCKET).join(classes.groupBy("rep").agg(F.first("s3").alias("s3")), "rep")
-    large = large.select("key", "rep", "n", "c1", F.posexplode("s3").alias("k", "z")).select(F.xxhash64("key", "k", "z").alias("key"), "rep", "n", "c1")
-    parts = small.unionByName(large)
-    other = parts.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c1").alias("c2"))
-    across = parts.join(other, "key").filter("rep < rep2 AND c1 <> c2").filter(_near("n", "n2", percent)).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
+    held = _open_rows(buckets, labels).select("rep", "c1").distinct()
+    across = _by_rare_shingles(texts, held, shingle, percent)
     both_ways = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     across = across.join(both_ways, ["a", "b"], "left_anti")
     links = links.unionByName(stored(_confirmed(across, texts, shingle, percent), "minhash-links"))
