@@ -178,6 +178,11 @@ def _by_rare_shingles(texts: DataFrame, held: DataFrame, shingle: int, percent:
     return pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
 
+def _stars(labels: DataFrame) -> DataFrame:
+    """Components found so far as links to their smallest member."""
+    return labels.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+
+
 def _order(column: str) -> Column:
     return F.xxhash64(F.col(column), F.lit(5))
 
@@ -223,8 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = stars.join(best, ["rep", "leader"], "left_anti")
     rest = _labelled(_labelled(rest, labels, "rep", "c1"), labels, "leader", "c2").filter("c1 <> c2")
     more = stored(_confirmed(rest.select(F.col("rep").alias("a"), F.col("leader").alias("b")), texts, shingle, percent), "minhash-links")
-    links = links.unionByName(more)
-    labels = stored(components(links, "minhash-cc"), "minhash-labels")
+    labels = stored(components(_stars(labels).unionByName(more), "minhash-cc"), "minhash-labels")
     tried = stars.select(F.col("rep").alias("a"), F.col("leader").alias("b"))
 
     for turn in range(1, LEADER_TURNS + 1):  # linear rounds: every table takes a leader of its own each time
@@ -233,16 +237,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fresh = opened.join(leads.select("key", "lead.leader", "lead.ln", "lead.lc"), "key").filter("c1 <> lc").filter(_near("n", "ln", percent))
         fresh = fresh.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
         found = stored(_confirmed(fresh, texts, shingle, percent), "minhash-links")
-        links = links.unionByName(found)
-        labels = stored(components(links, "minhash-cc"), "minhash-labels")
+        labels = stored(components(_stars(labels).unionByName(found), "minhash-cc"), "minhash-labels")
 
     held = _open_rows(buckets, labels).select("rep", "c1").distinct()
     across = _by_rare_shingles(texts, held, shingle, percent)
     both_ways = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     across = across.join(both_ways, ["a", "b"], "left_anti")
-    links = links.unionByName(stored(_confirmed(across, texts, shingle, percent), "minhash-links"))
+    last = stored(_confirmed(across, texts, shingle, percent), "minhash-links")
 
-    final = stored(components(links.unionByName(members), "minhash-cc"), "minhash-labels")
+    final = stored(components(_stars(labels).unionByName(last).unionByName(members), "minhash-cc"), "minhash-labels")
     named = final.select(F.col("node").alias("__id"), F.col("component").alias("__c"))
     return sigs.select("__id", "n").join(named, "__id", "left").select(
         F.col("__id").alias("doc_id"),
