@@ -23,7 +23,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pairlens.llm.textbatch import Texts, quoted, slices
+from pairlens.llm.components import stored
+from pairlens.llm.textbatch import Texts, quoted, slices, text_bytes
 
 NULL_ID = np.iinfo(np.int64).min
 ENCODED_BYTES = 8 << 20
@@ -146,23 +147,53 @@ def _get(fs, path: str, dtype) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
+def _runs(keys: np.ndarray, texts: Texts) -> np.ndarray:
+    """First rows of runs of rows with the same id and text."""
+    size = np.diff(texts.offsets)
+    begins = np.ones(len(texts), bool)
+    for i in np.flatnonzero((keys[1:] == keys[:-1]) & (size[1:] == size[:-1])) + 1:
+        begins[i] = texts.raw(i) != texts.raw(i - 1)
+    return np.flatnonzero(begins)
+
+
+def _encoded(rows: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """``ids`` of every text as bytes, once for rows in a run of copies, before anything is shuffled."""
+    def run(batches):
+        encoder = PieceEncoder(vocabulary)
+        kind = np.uint16 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        width = np.dtype(kind).itemsize
+        for batch in batches:
+            for piece, texts in slices(batch, "__text", ENCODED_BYTES):
+                keys = piece.column("__id")
+                first = _runs(keys.fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False), texts)
+                copies = np.diff(np.append(first, len(texts)))
+                if len(first) < len(texts):
+                    keys, texts = keys.take(pa.array(first)), text_bytes(piece.column("__text").take(pa.array(first)))
+                made, sizes = encoder.encode(texts, end_id)
+                ends = np.concatenate([[0], np.cumsum(sizes) * width]).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(made.astype(kind))])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(len(sizes), width)), pa.array(copies), ids], names=["__id", "width", "copies", "ids"])
+
+    return rows.mapInArrow(run, "__id long, width long, copies long, ids binary")
+
+
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """Write the files below ``folder`` (a URI all executors share); returns the manifest.
 
-    Documents come in ascending order of ``id_col``.  Defined cases: a null or empty text is
-    its end id alone; null ids come first; rows that share an id keep an order by their text;
+    Documents come in ascending order of ``id_col``; they are encoded where they lie, and only ids are
+    ordered, for these are a fraction of the texts.  Defined cases: a null or empty text is
+    its end id alone; null ids come first; rows that share an id are ordered by their encoded ids;
     an empty table has an empty manifest; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("__id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("__text"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, F.col("__id").asc_nulls_first()).sortWithinPartitions(F.col("__id").asc_nulls_first(), F.col("__text").asc())
+    encoded = stored(_encoded(rows, vocabulary, end_id), "tokens-encoded")
+    ordered = encoded.repartitionByRange(parts, F.col("__id").asc_nulls_first()).sortWithinPartitions(F.col("__id").asc_nulls_first(), F.col("ids").asc())
 
     def run(batches):
         from pyspark import TaskContext
 
-        encoder = PieceEncoder(vocabulary)
-        kind = np.uint16 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         fs, base = _filesystem(folder)
         fs.create_dir(base, recursive=True)
         part = TaskContext.get().partitionId()
@@ -170,14 +201,15 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_
         temporary = f"{name}.bin.{uuid.uuid4().hex}"
         lengths: list[np.ndarray] = []
         ids: list[np.ndarray] = []
+        width = 0
         with fs.open_output_stream(temporary) as out:
             for batch in batches:
-                for piece, texts in slices(batch, "__text", ENCODED_BYTES):
-                    made, sizes = encoder.encode(texts, end_id)
-                    lengths.append(sizes)
-                    keys = piece.column("__id")
-                    ids.append(keys.fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False).astype(np.int64))
-                    out.write(made.astype(kind).tobytes())
+                for key, width, copies, coded in zip(*(batch.column(c).to_pylist() for c in ("__id", "width", "copies")), batch.column("ids")):
+                    raw = coded.as_buffer()
+                    for _ in range(copies):
+                        out.write(raw)
+                    lengths.append(np.full(copies, raw.size // width))
+                    ids.append(np.full(copies, NULL_ID if key is None else key, np.int64))
         n = sum(map(len, lengths))
         if not n:
             fs.delete_file(temporary)
@@ -186,7 +218,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.uint64)
         _put(fs, f"{name}.idx", offsets.tobytes())
         _put(fs, f"{name}.doc", np.concatenate(ids).tobytes())
-        yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [n], "n_tokens": [int(offsets[-1])], "width": [np.dtype(kind).itemsize]})
+        yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [n], "n_tokens": [int(offsets[-1])], "width": [width]})
 
     made = ordered.mapInArrow(run, "part long, n_docs long, n_tokens long, width long")
     path = f"{folder}/sizes"

@@ -222,3 +222,16 @@ def test_near_vectors(spark):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(table, recall=1.0).collect()}
     assert got == {i: (sum(a == i for a, _ in links), reach[i], i is None or reach[i] == i) for i, _, _ in rows}
     assert embedding_dedup.near_vectors(table.limit(0)).count() == 0
+
+
+def test_token_files_runs_of_copies(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(1, "a copy of one text")] * 3 + [(2, "a copy of one text"), (2, "another text"), (None, None), (None, "")] + [(3, "")] * 2
+    folder = fresh_path(spark, "tokens")
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), folder, path, 2)
+    got = sorted(token_files.read_tokens(spark, folder, with_ids=True).collect(), key=lambda r: r.start)
+    tokenizer = Tokenizer.from_file(path)
+    wanted = sorted(((i is not None, i or 0, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in rows), key=lambda r: r[:2])
+    assert [r.doc_id for r in got] == [None, None, 1, 1, 1, 2, 2, 3, 3]
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.ids) for r in got) == sorted(wanted)
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
