@@ -2,10 +2,10 @@
 
 A classifier learned from a table of labelled documents gives every document a posterior over
 the domains; nothing is assigned to one domain outright.  A document d with t_d tokens then
-holds t_d·p(k|d) expected tokens of domain k.  Projected gradient steps fit nonnegative rates
+holds t_d·p(k|d) expected tokens of domain k.  Newton steps on the dual fit nonnegative rates
 r_d (how often d is read in an epoch) so that the expected totals Σ r_d·t_d·p(k|d) meet the
-targets in the least-squares sense.  A step needs one sum per domain over all documents; the
-rates themselves follow from the steps so far, so no rate vector is gathered or rewritten.
+targets.  A step needs a few sums over all documents; a rate follows from one multiplier per
+domain, so no rate vector is gathered or rewritten.
 
 The classifier is naive Bayes over hashed word forms, its per-bucket scores a table of
 ``buckets`` rows.  Everything is DataFrame and SQL functions.
@@ -14,6 +14,7 @@ The classifier is naive Bayes over hashed word forms, its per-bucket scores a ta
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,51 +74,111 @@ def posteriors(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "
     )
 
 
-def _rate(steps: list[list[float]]) -> Column:
-    """A document's rate after the given gradient steps, each a number per domain."""
-    if not steps:
-        return F.lit(1.0)
-    moves = F.array(*[F.array(*map(F.lit, s)) for s in steps])
-    dot = lambda g: F.aggregate(F.zip_with("p", g, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return F.aggregate(moves, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - F.col("tokens") * dot(g)))
+def _rate(slope: list[float], drift: float) -> Column:
+    """A document's rate for the multipliers ``slope`` of the domains; 1 without tokens."""
+    return F.when(F.col("tokens") > 0, F.greatest(F.lit(0.0), 1 - _slope(slope, drift))).otherwise(1.0)
 
 
-def fit_rates(soft: DataFrame, targets: list[float], steps: int = 24, tolerance: float = 1e-4, grow: bool = True) -> tuple[DataFrame, list[dict]]:
+def _slope(slope: list[float], drift: float) -> Column:
+    return sum((F.col("p")[i] * x for i, x in enumerate(slope)), F.lit(-drift))
+
+
+def fit_rates(soft: DataFrame, targets: list[float], tolerance: float = 1e-4, grow: bool = True) -> tuple[DataFrame, list[dict]]:
     """Rates for the posteriors ``soft``; returns them with the history of totals.
 
     ``targets`` are the wanted shares of tokens by domain.  With ``grow`` the epoch becomes as long as
     needed for no domain to shrink (documents are repeated rather than dropped), else it keeps its
-    length.  Steps are taken in the metric of the domains' own Gram matrix, a number per pair of domains.
+    length.  Of all rates that meet the targets those with the least Σ t_d·(r_d - 1)² are taken: r_d is
+    max(0, 1 - p_d·λ) with a multiplier λ per domain, found by Newton steps with line search on the
+    dual.  A step's matrix is that of the documents whose rate is above 0 at that step; a small
+    penalty on λ, lowered until the targets are met, keeps it solvable.
+
+    The last entry of the history has ``gap``, the largest difference from a wanted total as a share of
+    the epoch, and ``status``: ``met`` (gap within ``tolerance``), ``infeasible`` (a plane through the
+    targets has all posteriors on one side, so no rates meet them) or ``open`` (neither could be shown).
     """
     k = len(targets)
     soft = stored(soft, "mixing-soft")
-    weight = [F.col("p")[i] * F.col("tokens") for i in range(k)]
-    first = soft.agg(*[F.coalesce(F.sum(w), F.lit(0.0)).alias(f"a{i}") for i, w in enumerate(weight)], *[F.coalesce(F.sum(weight[i] * weight[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+    first = soft.agg(*[F.coalesce(F.sum(F.col("p")[i] * F.col("tokens")), F.lit(0.0)).alias(f"a{i}") for i in range(k)]).first()
     have = [first[f"a{i}"] for i in range(k)]
-    gram = [[first[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]
     total = sum(have)
     shares = [t / sum(targets) for t in targets]
     length = max([total, *(have[i] / shares[i] for i in range(k) if shares[i] > 0 and have[i] > 0)]) if grow else total
     wanted = [s * length for s in shares]
-    moves: list[list[float]] = []
+
+    def drift(at: list[float]) -> float:
+        return 0.0
+
+    def look(at: list[float]) -> dict:
+        """Totals, dual value and curvature at the multipliers ``at``, in one pass."""
+        x, tokens = _slope(at, drift(at)), F.col("tokens")
+        rate = F.greatest(F.lit(0.0), 1 - x)
+        moving = F.when(1 - x > 0, tokens).otherwise(0.0)
+        row = soft.agg(
+            F.sum(tokens * F.when(1 - x > 0, (1 - x) * (1 - x) / 2).otherwise(0.0)).alias("value"), *[F.sum(rate * tokens * F.col("p")[i]).alias(f"a{i}") for i in range(k)],
+            *[F.sum(moving * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)],
+        ).first()
+        totals = [row[f"a{i}"] for i in range(k)]
+        return {
+            "at": at, "totals": totals, "gap": [totals[i] - wanted[i] for i in range(k)], "value": row["value"] + _dot(at, wanted),
+            "gram": [[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)],
+        }
+
+    def separated(gap: list[float]) -> bool:
+        """Whether every posterior lies on the far side of the plane through the targets with this normal."""
+        over = soft.filter("tokens > 0").agg(F.min(_slope(gap, _dot(gap, shares))).alias("m")).first()["m"]
+        return over > 1e-9 * max(map(abs, gap))
+
+    if total == 0:
+        return soft.withColumn("rate", F.lit(1.0)), [{"step": 0, "totals": have, "gap": 0.0, "status": "met"}]
+    now = look([0.0] * k)
     history = [{"step": 0, "totals": have}]
-    now = have
-    for step in range(1, steps + 1):
-        gap = [now[i] - wanted[i] for i in range(k)]
-        if total == 0 or max(map(abs, gap)) <= tolerance * length:
+    penalty, status = 1e-3 * total, "open"
+    while True:
+        worst = max(map(abs, now["gap"]))
+        if worst <= tolerance * length:
+            status = "met"
             break
-        moves.append(_solve(gram, gap))
-        rate = _rate(moves)
-        row = soft.agg(*[F.sum(rate * w).alias(f"a{i}") for i, w in enumerate(weight)]).first()
-        now = [row[f"a{i}"] for i in range(k)]
-        history.append({"step": step, "totals": now})
-    return soft.withColumn("rate", _rate(moves)), history
-
-
-def _solve(gram: list[list[float]], gap: list[float]) -> list[float]:
-    """The scaled gradient: solves (G + εI) x = gap by elimination; as many unknowns as domains."""
+        now = _descend(look, now, penalty, 0.1 * tolerance * length, history)
+        worst = max(map(abs, now["gap"]))
+        if worst > tolerance * length:
+            if separated(now["gap"]):
+                status = "infeasible"
+                break
+            if penalty < 1e-14 * total:
+                break
+            penalty *= max(1e-3, min(0.1, 0.3 * tolerance * length / worst))
+    history[-1] |= {"gap": max(map(abs, now["gap"])) / length, "status": status}
+    return soft.withColumn("rate", _rate(now["at"], drift(now["at"]))), history
+
+
+def _descend(look, now: dict, penalty: float, enough: float, history: list[dict]) -> dict:
+    """Newton steps from ``now`` to the dual's least value under ``penalty``, or as far as numbers allow."""
+    value = lambda s: s["value"] + penalty * _dot(s["at"], s["at"]) / 2
+    while True:
+        fall = [g - penalty * x for g, x in zip(now["gap"], now["at"])]
+        if max(map(abs, fall)) <= enough:
+            return now
+        step = _solve(now["gram"], fall, penalty)
+        size = 1.0
+        while size > 1e-9:
+            then = look([x + size * d for x, d in zip(now["at"], step)])
+            if value(then) < value(now) - 1e-4 * size * _dot(fall, step):
+                break
+            size /= 4
+        else:
+            return now
+        now = then
+        history.append({"step": len(history), "totals": now["totals"]})
+
+
+def _dot(a: list[float], b: list[float]) -> float:
+    return sum(x * y for x, y in zip(a, b))
+
+
+def _solve(gram: list[list[float]], gap: list[float], ridge: float) -> list[float]:
+    """Solves (G + ridge·I) x = gap by elimination; as many unknowns as domains."""
     n = len(gap)
-    ridge = 1e-9 * sum(gram[i][i] for i in range(n)) + 1e-12
     a = [[*gram[i][:i], gram[i][i] + ridge, *gram[i][i + 1:], gap[i]] for i in range(n)]
     for i in range(n):
         top = max(range(i, n), key=lambda r: abs(a[r][i]))
@@ -129,11 +190,12 @@ def _solve(gram: list[list[float]], gap: list[float]) -> list[float]:
     return [a[i][n] / a[i][i] for i in range(n)]
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", domain_col: str = "domain", steps: int = 24, grow: bool = True) -> DataFrame:
-    """Per document id: ``doc_id``, ``n_tokens``, one ``p_<domain>`` each, ``rate``, ``copies``.
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", domain_col: str = "domain", grow: bool = True) -> DataFrame:
+    """Per document id: ``doc_id``, ``n_tokens``, one ``p_<domain>`` each, ``rate``, ``copies``, ``gap``.
 
-    ``copies`` rounds the rate up or down by a hash of the id, so that its mean is the rate.  Defined
-    cases: a null or wordless text has no tokens, the prior posteriors and rate 1; rows that share an id
+    ``copies`` rounds the rate up or down by a hash of the id, so that its mean is the rate.  ``gap``, the
+    same in every row, is how far the rates stay from the targets (see :func:`fit_rates`); a warning is given
+    when that is more than the tolerance.  Defined cases: a null or wordless text has no tokens, the prior posteriors and rate 1; rows that share an id
     are one document with all their words; a null id is one document; domains without a target keep the
     share that the labelled rows leave them (target 0 only if given); without labelled rows there is one
     domain ``all`` and every rate is 1; empty tables give an empty result; other columns are ignored.
@@ -141,15 +203,18 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: s
     model = learn(docs, labels, id_col, text_col, label_id_col, domain_col)
     if model is None:
         rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.size(_words(F.col(quoted(text_col)))).alias("n"))
-        return rows.groupBy("doc_id").agg(F.sum("n").alias("n_tokens")).select("doc_id", "n_tokens", F.lit(1.0).alias("p_all"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"))
+        return rows.groupBy("doc_id").agg(F.sum("n").alias("n_tokens")).select("doc_id", "n_tokens", F.lit(1.0).alias("p_all"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"), F.lit(0.0).alias("gap"))
     domains, _, priors = model
     given = {d: targets[d] for d in domains if d in targets}
     left = max(0.0, 1 - sum(given.values()))
     rest = {d: math.exp(priors[i]) for i, d in enumerate(domains) if d not in given}
     shares = [given[d] if d in given else left * rest[d] / sum(rest.values()) for d in domains]
-    rated, _ = fit_rates(posteriors(docs, model, id_col, text_col), shares if sum(shares) > 0 else [1.0] * len(domains), steps, grow=grow)
+    rated, history = fit_rates(posteriors(docs, model, id_col, text_col), shares if sum(shares) > 0 else [1.0] * len(domains), grow=grow)
+    end = history[-1]
+    if end["status"] != "met":
+        warnings.warn(f"mixture targets not met ({end['status']}): largest gap {end['gap']:.4f} of the epoch's tokens, totals {dict(zip(domains, end['totals']))}", stacklevel=2)
     u = F.pmod(F.xxhash64("__id", F.lit(31)), F.lit(1 << 40)) / float(1 << 40)
     return rated.select(
         F.col("__id").alias("doc_id"), F.col("tokens").alias("n_tokens"), *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)],
-        "rate", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("long")).cast("long").alias("copies"),
+        "rate", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("long")).cast("long").alias("copies"), F.lit(end["gap"]).alias("gap"),
     )
