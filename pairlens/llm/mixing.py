@@ -74,24 +74,26 @@ def posteriors(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "
     )
 
 
-def _rate(slope: list[float], drift: float) -> Column:
+def _rate(slope: list[float], drift: float, least: float) -> Column:
     """A document's rate for the multipliers ``slope`` of the domains; 1 without tokens."""
-    return F.when(F.col("tokens") > 0, F.greatest(F.lit(0.0), 1 - _slope(slope, drift))).otherwise(1.0)
+    return F.when(F.col("tokens") > 0, F.greatest(F.lit(least), 1 - _slope(slope, drift))).otherwise(1.0)
 
 
 def _slope(slope: list[float], drift: float) -> Column:
     return sum((F.col("p")[i] * x for i, x in enumerate(slope)), F.lit(-drift))
 
 
-def fit_rates(soft: DataFrame, targets: list[float], tolerance: float = 1e-4, grow: bool = True) -> tuple[DataFrame, list[dict]]:
+def fit_rates(soft: DataFrame, targets: list[float], tolerance: float = 1e-4, grow: bool = True, least: float = 0.0) -> tuple[DataFrame, list[dict]]:
     """Rates for the posteriors ``soft``; returns them with the history of totals.
 
     ``targets`` are the wanted shares of tokens by domain.  With ``grow`` the epoch becomes as long as
     needed for no domain to shrink (documents are repeated rather than dropped), else it keeps its
-    length.  Of all rates that meet the targets those with the least Σ t_d·(r_d - 1)² are taken: r_d is
-    max(0, 1 - p_d·λ) with a multiplier λ per domain, found by Newton steps with line search on the
-    dual.  A step's matrix is that of the documents whose rate is above 0 at that step; a small
-    penalty on λ, lowered until the targets are met, keeps it solvable.
+    length.  No rate is below ``least``; where that is above 0, an epoch that may grow has the length that
+    the rates give it, only its shares are fitted.  Of all rates that meet the targets those with the
+    least Σ t_d·(r_d - 1)² are taken: r_d is max(least, 1 - v_d·λ) with a multiplier λ per domain, v_d the
+    posteriors (less the wanted shares where the length is free).  Newton steps with line search on the
+    dual find λ.  A step's matrix is that of the documents whose rate is above the bound at that step;
+    a small penalty on λ, lowered until the targets are met, keeps it solvable.
 
     The last entry of the history has ``gap``, the largest difference from a wanted total as a share of
     the epoch, and ``status``: ``met`` (gap within ``tolerance``), ``infeasible`` (a plane through the
@@ -104,23 +106,25 @@ def fit_rates(soft: DataFrame, targets: list[float], tolerance: float = 1e-4, gr
     total = sum(have)
     shares = [t / sum(targets) for t in targets]
     length = max([total, *(have[i] / shares[i] for i in range(k) if shares[i] > 0 and have[i] > 0)]) if grow else total
-    wanted = [s * length for s in shares]
+    free = grow and least > 0
+    middle = shares if free else [0.0] * k
 
     def drift(at: list[float]) -> float:
-        return 0.0
+        return _dot(at, middle)
 
     def look(at: list[float]) -> dict:
         """Totals, dual value and curvature at the multipliers ``at``, in one pass."""
         x, tokens = _slope(at, drift(at)), F.col("tokens")
-        rate = F.greatest(F.lit(0.0), 1 - x)
-        moving = F.when(1 - x > 0, tokens).otherwise(0.0)
+        rate, v = F.greatest(F.lit(least), 1 - x), [F.col("p")[i] - middle[i] for i in range(k)]
+        moving = F.when(1 - x >= least, tokens).otherwise(0.0)
         row = soft.agg(
-            F.sum(tokens * F.when(1 - x > 0, (1 - x) * (1 - x) / 2).otherwise(0.0)).alias("value"), *[F.sum(rate * tokens * F.col("p")[i]).alias(f"a{i}") for i in range(k)],
-            *[F.sum(moving * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)],
+            F.sum(tokens * F.when(1 - x >= least, (1 - x) * (1 - x) / 2).otherwise(least * (1 - x) - least * least / 2)).alias("value"), *[F.sum(rate * tokens * F.col("p")[i]).alias(f"a{i}") for i in range(k)],
+            *[F.sum(moving * v[i] * v[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)],
         ).first()
         totals = [row[f"a{i}"] for i in range(k)]
+        size = sum(totals) if free else length
         return {
-            "at": at, "totals": totals, "gap": [totals[i] - wanted[i] for i in range(k)], "value": row["value"] + _dot(at, wanted),
+            "at": at, "totals": totals, "length": size, "gap": [totals[i] - shares[i] * size for i in range(k)], "value": row["value"] + (0.0 if free else length * _dot(at, shares)),
             "gram": [[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)],
         }
 
@@ -136,20 +140,20 @@ def fit_rates(soft: DataFrame, targets: list[float], tolerance: float = 1e-4, gr
     penalty, status = 1e-3 * total, "open"
     while True:
         worst = max(map(abs, now["gap"]))
-        if worst <= tolerance * length:
+        if worst <= tolerance * now["length"]:
             status = "met"
             break
-        now = _descend(look, now, penalty, 0.1 * tolerance * length, history)
+        now = _descend(look, now, penalty, 0.1 * tolerance * total, history)
         worst = max(map(abs, now["gap"]))
-        if worst > tolerance * length:
+        if worst > tolerance * now["length"]:
             if separated(now["gap"]):
                 status = "infeasible"
                 break
             if penalty < 1e-14 * total:
                 break
-            penalty *= max(1e-3, min(0.1, 0.3 * tolerance * length / worst))
-    history[-1] |= {"gap": max(map(abs, now["gap"])) / length, "status": status}
-    return soft.withColumn("rate", _rate(now["at"], drift(now["at"]))), history
+            penalty *= max(1e-3, min(0.1, 0.3 * tolerance * now["length"] / worst))
+    history[-1] |= {"gap": max(map(abs, now["gap"])) / now["length"], "status": status}
+    return soft.withColumn("rate", _rate(now["at"], drift(now["at"]), least)), history
 
 
 def _descend(look, now: dict, penalty: float, enough: float, history: list[dict]) -> dict:
@@ -190,10 +194,11 @@ def _solve(gram: list[list[float]], gap: list[float], ridge: float) -> list[floa
     return [a[i][n] / a[i][i] for i in range(n)]
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", domain_col: str = "domain", grow: bool = True) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", domain_col: str = "domain", grow: bool = True, least: float = 0.0) -> DataFrame:
     """Per document id: ``doc_id``, ``n_tokens``, one ``p_<domain>`` each, ``rate``, ``copies``, ``gap``.
 
-    ``copies`` rounds the rate up or down by a hash of the id, so that its mean is the rate.  ``gap``, the
+    ``copies`` rounds the rate up or down by a hash of the id, so that its mean is the rate; with
+    ``least`` 1 every document has a copy.  ``gap``, the
     same in every row, is how far the rates stay from the targets (see :func:`fit_rates`); a warning is given
     when that is more than the tolerance.  Defined cases: a null or wordless text has no tokens, the prior posteriors and rate 1; rows that share an id
     are one document with all their words; a null id is one document; domains without a target keep the
@@ -209,7 +214,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: s
     left = max(0.0, 1 - sum(given.values()))
     rest = {d: math.exp(priors[i]) for i, d in enumerate(domains) if d not in given}
     shares = [given[d] if d in given else left * rest[d] / sum(rest.values()) for d in domains]
-    rated, history = fit_rates(posteriors(docs, model, id_col, text_col), shares if sum(shares) > 0 else [1.0] * len(domains), grow=grow)
+    rated, history = fit_rates(posteriors(docs, model, id_col, text_col), shares if sum(shares) > 0 else [1.0] * len(domains), grow=grow, least=least)
     end = history[-1]
     if end["status"] != "met":
         warnings.warn(f"mixture targets not met ({end['status']}): largest gap {end['gap']:.4f} of the epoch's tokens, totals {dict(zip(domains, end['totals']))}", stacklevel=2)

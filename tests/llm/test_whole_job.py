@@ -33,3 +33,11 @@ def test_targets_beyond_all_posteriors_are_reported(spark):
     flat = spark.createDataFrame([(i, 10 + i, [0.7 + 0.001 * i, 0.2 - 0.001 * i, 0.1]) for i in range(50)], "__id long, tokens long, p array<double>")
     end = mixing.fit_rates(flat, [0.1, 0.1, 0.8])[1][-1]
     assert end["status"] == "infeasible" and end["gap"] > 0.1
+
+
+def test_keep_all_mixture_meets_targets_without_a_clamp(spark):
+    targets = list(queries.TARGETS.values())
+    rated, history = mixing.fit_rates(soft_rows(spark), targets, least=1.0)
+    rows = rated.collect()
+    assert min(r.rate for r in rows) >= 1 and history[-1]["status"] == "met"
+    assert np.abs(shares_of(rows) - targets).max() < 2e-4
