@@ -7,8 +7,8 @@ r_d (how often d is read in an epoch) so that the expected totals Σ r_d·t_d·p
 targets.  A step needs a few sums over all documents; a rate follows from one multiplier per
 domain, so no rate vector is gathered or rewritten.
 
-The classifier is naive Bayes over hashed word forms, its per-bucket scores a table of
-``buckets`` rows.  Everything is DataFrame and SQL functions.
+The classifier is naive Bayes over hashed lower-cased words, its per-bucket scores a table of
+``buckets`` rows, softened by a temperature that held-out labelled rows choose.  Everything is DataFrame and SQL functions.
 """
 
 from __future__ import annotations
@@ -22,54 +22,102 @@ from pyspark.sql import functions as F
 from pairlens.llm.components import stored
 from pairlens.llm.textbatch import quoted
 
-BUCKETS = 4096
+BUCKETS = 65_536
+#: One labelled text in so many, by a hash of the text, is held out to fit the temperature.
+HELD_OUT = 5
+#: Temperatures tried: words of evidence taken from a text's mean word score, factor of its telling words, and from how many
+#: standard deviations above its expected document count in some domain a word is telling.
+TEMPERATURES = [(mean, factor, least) for mean in (0.0, 0.5, 1.0, 2.0, 4.0, 8.0) for factor in (0.0, 0.06, 0.12, 0.25, 0.5, 1.0) for least in (6.0, 10.0, 14.0)]
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
 
 
 def _bucket(word: Column, buckets: int) -> Column:
-    """Of a word: its shape (letters folded to case and symbols) together with its last letters."""
-    shape = F.concat(F.regexp_replace(F.substring(word, -3, 3), "[0-9]", "0"), F.least(F.length(word), F.lit(12)).cast("string"))
-    return F.pmod(F.xxhash64(shape), F.lit(buckets)).cast("int")
+    return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", domain_col: str = "domain", buckets: int = BUCKETS) -> tuple[list[str], DataFrame, list[float]] | None:
-    """(domains, per-bucket log scores, log priors) from all labelled rows; None without any.
+def _exploded(rows: DataFrame, buckets: int, keys: list[str]) -> DataFrame:
+    """A row per word of ``__text`` (``kind`` 0) and per distinct word of it (1), one with a null word at least."""
+    lists = rows.select(*keys, _words(F.col("__text")).alias("ws")).select(*keys, F.posexplode(F.array("ws", F.array_distinct("ws"))).alias("kind", "ws"))
+    return lists.select(*keys, "kind", F.explode_outer("ws").alias("w")).withColumn("bucket", _bucket(F.col("w"), buckets))
 
-    ``labels`` has an id and a domain; a document with several labels counts for the smallest.
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", domain_col: str = "domain", buckets: int = BUCKETS) -> tuple | None:
+    """(domains, per-bucket scores, log priors, temperature) from all labelled rows; None without any.
+
+    ``labels`` has an id and a domain; a document with several labels counts for the smallest.  The
+    temperature has the best likelihood on held-out labelled texts, scored by the others' counts; equal
+    texts are on one side.  When either side is empty it is fitted on all labelled rows.
     """
     marks = labels.select(F.col(quoted(label_id_col)).alias("__id"), F.col(quoted(domain_col)).cast("string").alias("__domain")).dropna().groupBy("__id").agg(F.min("__domain").alias("__domain"))
-    rows = docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).alias("__text")).join(marks, "__id")
-    counts = rows.select("__domain", F.explode(_words(F.col("__text"))).alias("w")).groupBy("__domain", _bucket(F.col("w"), buckets).alias("bucket")).agg(F.count("*").alias("n"))
-    counts = stored(counts, "mixing-counts")
-    sizes = {r["__domain"]: r["n"] for r in rows.groupBy("__domain").agg(F.count("*").alias("n")).collect()}  # one row per domain
-    if not sizes:
+    text = F.col(quoted(text_col))
+    held = F.pmod(F.xxhash64(text, F.lit(41)), F.lit(HELD_OUT)) == 0
+    rows = docs.select(F.col(quoted(id_col)).alias("__id"), text.alias("__text"), held.alias("__held")).join(marks, "__id")
+    counts = stored(_exploded(rows, buckets, ["__domain", "__held"]).filter("w IS NOT NULL").groupBy("__domain", "__held", "kind", "bucket").agg(F.count("*").alias("n")), "mixing-counts")
+    groups = {(r["__domain"], r["__held"]): r["n"] for r in rows.groupBy("__domain", "__held").agg(F.count("*").alias("n")).collect()}  # two rows per domain
+    if not groups:
         return None
-    domains = sorted(sizes)
-    totals = {r["__domain"]: r["n"] for r in counts.groupBy("__domain").agg(F.sum("n").alias("n")).collect()}
-    wide = counts.groupBy("bucket").agg(*[F.coalesce(F.sum(F.when(F.col("__domain") == d, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, d in enumerate(domains)])
-    scores = wide.select("bucket", *[F.log((F.col(f"n{i}") + 1) / F.lit(float(totals.get(d, 0) + buckets))).alias(f"s{i}") for i, d in enumerate(domains)])
-    # a bucket that no labelled row has says nothing; the floor row is used for it
-    return domains, stored(scores, "mixing-scores"), [math.log(sizes[d] / sum(sizes.values())) for d in domains]
+    domains = sorted({d for d, _ in groups})
+    sizes = {d: sum(groups.get((d, h), 0) for h in (False, True)) for d in domains}
+    priors = [math.log(sizes[d] / sum(sizes.values())) for d in domains]
+    split = len({h for _, h in groups}) == 2
+    telling = sorted({t for _, _, t in TEMPERATURES})
+    tried = _scores(counts.filter("NOT __held"), {d: groups.get((d, False), 0) for d in domains}, buckets, telling[0]) if split else _scores(counts, sizes, buckets, telling[0])
+    sums = _sums(rows.filter("__held") if split else rows, stored(tried, "mixing-tried"), len(domains), buckets, telling)
+    temperature = _temperature(sums.join(marks, "__id"), domains, priors, telling)
+    return domains, stored(_scores(counts, sizes, buckets, temperature[2]), "mixing-scores"), priors, temperature
+
+
+def _scores(counts: DataFrame, sizes: dict[str, int], buckets: int, least: float) -> DataFrame:
+    """``kind``, ``bucket``, a score per domain and ``z``: the log likelihood of a word (``kind`` 0), or how much more documents of the domain have it than its share (1)."""
+    totals = {r["__domain"]: r["n"] for r in counts.filter("kind = 0").groupBy("__domain").agg(F.sum("n").alias("n")).collect()}
+    k, all_rows = range(len(sizes)), sum(sizes.values())
+    part = [n / all_rows for n in sizes.values()]
+    wide = counts.groupBy("kind", "bucket").agg(*[F.coalesce(F.sum(F.when(F.col("__domain") == d, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, d in enumerate(sizes)])
+    whole = sum((F.col(f"n{i}") for i in k), F.lit(0))
+    z = F.array_max(F.array(*[(F.col(f"n{i}") - whole * part[i]) / F.sqrt(whole * part[i] * (1 - part[i]) + 1e-9) for i in k]))
+    # a bucket that no labelled row has says nothing
+    scores = [F.when(F.col("kind") == 0, F.log((F.col(f"n{i}") + 1) / F.lit(float(totals.get(d, 0) + buckets)))).otherwise(F.log((F.col(f"n{i}") + 1) / (whole * part[i] + 1))).alias(f"s{i}") for i, d in enumerate(sizes)]
+    return wide.select("kind", "bucket", *scores, z.alias("z")).filter(f"kind = 0 OR z >= {least}")
+
+
+def _sums(rows: DataFrame, scores: DataFrame, k: int, buckets: int, telling: list[float]) -> DataFrame:
+    """``__id``, ``tokens``, ``hits`` (words with scores), score sums ``t0``... and per bound of ``telling`` those of telling words, of texts ``__text``."""
+    known = _exploded(rows, buckets, ["__id"]).join(scores, ["kind", "bucket"], "left")
+    one, zero = F.col("kind") == 0, F.lit(0.0)
+    return known.groupBy("__id").agg(
+        F.count(F.when(one, F.col("w"))).alias("tokens"), F.count(F.when(one, F.col("s0"))).alias("hits"), *[F.coalesce(F.sum(F.when(one, F.col(f"s{i}"))), zero).alias(f"t{i}") for i in range(k)],
+        *[F.coalesce(F.sum(F.when(~one & (F.col("z") >= least), F.col(f"s{i}"))), zero).alias(f"u{j}_{i}") for j, least in enumerate(telling) for i in range(k)],
+    )
+
+
+def _logit(i: int, prior: float, mean, factor, telling: Column) -> Column:
+    return F.col(f"t{i}") * F.least(F.col("hits"), mean) / F.greatest(F.col("hits"), F.lit(1)) + telling * factor + F.lit(prior)
+
+
+def _temperature(sums: DataFrame, domains: list[str], priors: list[float], telling: list[float]) -> tuple[float, float, float]:
+    """The one of :data:`TEMPERATURES` with the least log loss on ``sums`` with their ``__domain``."""
+    tried = sums.withColumn("c", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("m"), F.lit(f).alias("f"), F.lit(telling.index(t)).alias("j")) for i, (m, f, t) in enumerate(TEMPERATURES)])))
+    logits = [_logit(i, x, F.col("c.m"), F.col("c.f"), F.array(*[F.col(f"u{j}_{i}") for j in range(len(telling))])[F.col("c.j")]) for i, x in enumerate(priors)]
+    own = F.coalesce(*[F.when(F.col("__domain") == d, F.col("l")[i]) for i, d in enumerate(domains)])
+    whole = F.array_max("l") + F.log(F.aggregate(F.transform("l", lambda x: F.exp(x - F.array_max("l"))), F.lit(0.0), lambda a, b: a + b))
+    losses = tried.withColumn("l", F.array(*logits)).groupBy("c.i").agg(F.sum(whole - own).alias("loss")).collect()  # one row per temperature
+    return TEMPERATURES[min((r["loss"], r["i"]) for r in losses)[1]]
 
 
-def posteriors(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, sharpness: float = 3.0) -> DataFrame:
+def posteriors(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """``__id``, ``tokens`` and ``p`` (posterior per domain) per document id.
 
-    Scores are means over a document's words, scaled by ``sharpness`` at most, so that long texts keep
-    soft posteriors.  A text without words has the priors.
+    Two sums are softened by the model's temperature: the mean score of all words, and the scores of the
+    text's distinct telling words.  A text without words has the priors.
     """
-    domains, scores, priors = model
+    domains, scores, priors, (mean, factor, least) = model
     rows = docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).alias("__text"))
-    words = rows.select("__id", F.explode_outer(_words(F.col("__text"))).alias("w")).withColumn("bucket", _bucket(F.col("w"), buckets))
-    known = words.join(F.broadcast(scores), "bucket", "left")  # at most `buckets` rows
-    sums = known.groupBy("__id").agg(F.count("w").alias("tokens"), F.count("s0").alias("hits"), *[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)).alias(f"t{i}") for i in range(len(domains))])
-    scale = F.least(F.col("hits"), F.lit(sharpness)) / F.greatest(F.col("hits"), F.lit(1))
-    logits = F.array(*[F.col(f"t{i}") * scale + F.lit(priors[i]) for i in range(len(domains))])
+    logits = F.array(*[_logit(i, x, F.lit(mean), F.lit(factor), F.col(f"u0_{i}")) for i, x in enumerate(priors)])
     exps = F.transform("l", lambda x: F.exp(x - F.array_max("l")))
-    return sums.withColumn("l", logits).withColumn("e", exps).select(
+    return _sums(rows, scores, len(domains), buckets, [least]).withColumn("l", logits).withColumn("e", exps).select(
         "__id", "tokens", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).alias("p")
     )
 
@@ -209,7 +257,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: s
     if model is None:
         rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.size(_words(F.col(quoted(text_col)))).alias("n"))
         return rows.groupBy("doc_id").agg(F.sum("n").alias("n_tokens")).select("doc_id", "n_tokens", F.lit(1.0).alias("p_all"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"), F.lit(0.0).alias("gap"))
-    domains, _, priors = model
+    domains, _, priors, _ = model
     given = {d: targets[d] for d in domains if d in targets}
     left = max(0.0, 1 - sum(given.values()))
     rest = {d: math.exp(priors[i]) for i, d in enumerate(domains) if d not in given}

@@ -1,6 +1,7 @@
 """Targets that are met or reported, and nothing left out: a case for each operator that once did less than the whole job."""
 
 import numpy as np
+import pytest
 
 from pairlens.llm import mixing, queries
 
@@ -41,3 +42,22 @@ def test_keep_all_mixture_meets_targets_without_a_clamp(spark):
     rows = rated.collect()
     assert min(r.rate for r in rows) >= 1 and history[-1]["status"] == "met"
     assert np.abs(shares_of(rows) - targets).max() < 2e-4
+
+
+def test_a_few_telling_words_in_a_long_text_are_recognised(spark):
+    rng = np.random.default_rng(2)
+    common, marked = [f"word{i}ing" for i in range(300)], ["grulk", "Vorst", "mibble"]
+
+    def text(domain):
+        words = list(rng.choice(common, int(rng.integers(40, 400))))
+        if domain == "rare":
+            for at in rng.integers(0, len(words), 8):
+                words[at] = str(rng.choice(marked))
+        return " ".join(words)
+
+    domains = ["rare" if i % 8 == 0 else "plain" for i in range(400)]
+    docs = spark.createDataFrame([(i, text(d)) for i, d in enumerate(domains)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, d) for i, d in enumerate(domains) if i < 240], "doc_id long, domain string")
+    got = mixing.posteriors(docs.filter("doc_id >= 240"), mixing.learn(docs, marks)).collect()
+    rare = [r.p[1] for r in got if domains[r["__id"]] == "rare"]
+    assert np.mean(np.array(rare) > 0.5) > 0.9 and np.mean([r.p[1] for r in got]) == pytest.approx(1 / 8, abs=0.05)
