@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from pairlens.llm import mixing, queries
 
 
@@ -61,3 +62,8 @@ def test_a_few_telling_words_in_a_long_text_are_recognised(spark):
     got = mixing.posteriors(docs.filter("doc_id >= 240"), mixing.learn(docs, marks)).collect()
     rare = [r.p[1] for r in got if domains[r["__id"]] == "rare"]
     assert np.mean(np.array(rare) > 0.5) > 0.9 and np.mean([r.p[1] for r in got]) == pytest.approx(1 / 8, abs=0.05)
+
+
+def test_language_stage_keeps_texts_with_letters_when_nothing_is_labelled(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, "12 !", None), (3, None, None), (4, "é", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()) == [1, 4]
