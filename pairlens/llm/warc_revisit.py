@@ -90,9 +90,9 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
     """Capture records of a table of pages (``page_id``, ``url``, ``html``).
 
     Every page is a full response at second 10·page_id with the hash of its content as entity tag, and
-    is revisited 7 seconds after a later capture's time: every page whose id is no multiple of 3 sends a
-    revisit at second 10·page_id + 10007.  Its entity tag is the page's own, so a page that changed in
-    between comes out stale; ids divisible by 5 send no entity tag but the modification time.
+    is revisited 7 seconds after a later capture's time: every page sends a revisit at second
+    10·page_id + 10007.  Its entity tag is the page's own, so a page that changed in between comes out
+    stale; ids divisible by 5 send no entity tag but the modification time, others divisible by 3 send both.
     """
     tag = F.md5(F.coalesce("html", F.lit("")).cast("binary"))
     page = F.col("page_id")
@@ -101,11 +101,12 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
         (page * 2).alias("record_id"), F.lit("response").alias("kind"), "url", (page * 10).alias("ts"),
         F.concat(F.lit("Content-Type: text/html\nContent-Length: "), F.col("n"), F.lit("\nETag: "), F.col("tag"), F.lit("\nLast-Modified: "), F.floor(page / 1000), F.lit("\nDate: "), page * 10).alias("headers"),
     )
-    revisit = base.filter(page % 3 != 0).select(
+    revisit = base.select(
         (page * 2 + 1).alias("record_id"), F.lit("revisit").alias("kind"), "url", (page * 10 + 10007).alias("ts"),
         F.concat(
             F.lit("Content-Length: 0\nDate: "), page * 10 + 10007, F.lit("\nCache-Control: max-age="), page % 7,
-            F.when(page % 5 == 0, F.concat(F.lit("\nLast-Modified: "), F.floor(page / 1000))).otherwise(F.concat(F.lit("\nETag: "), F.col("tag"))),
+            F.when((page % 5 == 0) | (page % 3 == 0), F.concat(F.lit("\nLast-Modified: "), F.floor(page / 1000))).otherwise(""),
+            F.when(page % 5 != 0, F.concat(F.lit("\nETag: "), F.col("tag"))).otherwise(""),
         ).alias("headers"),
     )
     return response.unionByName(revisit)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from pairlens.llm import mixing, queries
+from pairlens.llm import mixing, queries, warc_revisit
 
 
 def soft_rows(spark, n=400, seed=4):
@@ -67,3 +67,9 @@ def test_a_few_telling_words_in_a_long_text_are_recognised(spark):
 def test_language_stage_keeps_texts_with_letters_when_nothing_is_labelled(spark):
     docs = spark.createDataFrame([(1, "some text", None), (2, "12 !", None), (3, None, None), (4, "é", None)], "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()) == [1, 4]
+
+
+def test_every_page_sends_a_revisit(spark):
+    pages = spark.createDataFrame([(i, f"http://a.org/{i}", "x") for i in range(30)], "page_id long, url string, html string")
+    got = warc_revisit.resolve(warc_revisit.records_of_pages(pages)).collect()
+    assert sorted(r.record_id for r in got) == [2 * i + 1 for i in range(30)] and {r.status for r in got} == {"resolved"}
