@@ -23,6 +23,8 @@ from pairlens.llm.components import stored
 from pairlens.llm.textbatch import quoted
 
 BUCKETS = 65_536
+#: Score tables up to this size are broadcast, larger ones joined by bucket.
+BROADCAST_BYTES = 32 << 20
 #: One labelled text in so many, by a hash of the text, is held out to fit the temperature.
 HELD_OUT = 5
 #: Temperatures tried: words of evidence taken from a text's mean word score, factor of its telling words, and from how many
@@ -85,7 +87,8 @@ def _scores(counts: DataFrame, sizes: dict[str, int], buckets: int, least: float
 
 def _sums(rows: DataFrame, scores: DataFrame, k: int, buckets: int, telling: list[float]) -> DataFrame:
     """``__id``, ``tokens``, ``hits`` (words with scores), score sums ``t0``... and per bound of ``telling`` those of telling words, of texts ``__text``."""
-    known = _exploded(rows, buckets, ["__id"]).join(scores, ["kind", "bucket"], "left")
+    small = 2 * buckets * (k + 3) * 8 <= BROADCAST_BYTES  # the most that ``scores`` can hold
+    known = _exploded(rows, buckets, ["__id"]).join(F.broadcast(scores) if small else scores, ["kind", "bucket"], "left")
     one, zero = F.col("kind") == 0, F.lit(0.0)
     return known.groupBy("__id").agg(
         F.count(F.when(one, F.col("w"))).alias("tokens"), F.count(F.when(one, F.col("s0"))).alias("hits"), *[F.coalesce(F.sum(F.when(one, F.col(f"s{i}"))), zero).alias(f"t{i}") for i in range(k)],
