@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import decontamination, embedding_dedup, gru_lm, language_id, minhash_dedup, mixing, quality_cnn, secret_ledger, token_files, warc_revisit
+from pairlens.llm import decontamination, embedding_dedup, gru_lm, language_id, minhash_dedup, mixing, quality_cnn, secret_ledger, token_files, tokenizer_alignment, warc_revisit
 from pairlens.llm.components import stored
 from pairlens.llm.textbatch import fold
 from pairlens.session import fresh_path
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 END_ID = 2
 #: Wanted shares of tokens by domain of the labelled table; other domains keep what is left.
 TARGETS = {"high": 0.9, "low": 0.06, "toxic": 0.04}
@@ -82,10 +83,15 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES), passing=["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         op1_minhash_dedup, op2_soft_mixing, op3_decontamination, op4_token_files, op5_language_id,
         op6_secret_scan, op7_gru_lm, op8_warc_revisit, op9_quality_cnn, op10_embedding_dedup,
+        op12_tokenizer_alignment,
     )
     return {f.__name__: f for f in made}
 
