@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import decontamination, embedding_dedup, gru_lm, language_id, minhash_dedup, mixing, quality_cnn, secret_ledger, token_files, tokenizer_alignment, warc_revisit
+from pairlens.llm import conversation_trie, decontamination, embedding_dedup, gru_lm, language_id, minhash_dedup, mixing, quality_cnn, secret_ledger, token_files, tokenizer_alignment, warc_revisit
 from pairlens.llm.components import stored
 from pairlens.llm.textbatch import fold
 from pairlens.session import fresh_path
@@ -83,6 +83,11 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = conversation_trie.turn_codes(table(spark, sf_dir, "conversations"))
+    return conversation_trie.prefix_trie(*conversation_trie.with_shared_heads(codes))
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES), passing=["doc_id"])
 
@@ -91,7 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         op1_minhash_dedup, op2_soft_mixing, op3_decontamination, op4_token_files, op5_language_id,
         op6_secret_scan, op7_gru_lm, op8_warc_revisit, op9_quality_cnn, op10_embedding_dedup,
-        op12_tokenizer_alignment,
+        op11_conversation_trie, op12_tokenizer_alignment,
     )
     return {f.__name__: f for f in made}
 
@@ -193,7 +198,38 @@ FROM embeddings JOIN least USING (vec_id) LEFT JOIN counted USING (vec_id)
 """
 
 
+_OP11 = """
+WITH own AS (
+    SELECT conv_id, list({'r': coalesce(role, ''), 'x': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS s
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), bits AS (
+    -- the checksum takes in a byte, then shifts eight times (-1)
+    SELECT conv_id, list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: list_concat([CAST(ascii(c) AS BIGINT)], list_transform(range(8), lambda i: CAST(-1 AS BIGINT)))))) AS b
+    FROM own
+), heads AS (
+    SELECT conv_id, xor(list_reduce(b, lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END), CAST(4294967295 AS BIGINT)) % 6 AS h
+    FROM bits
+), sequences AS (
+    SELECT o.conv_id, list_concat(coalesce(list_slice(b.s, 1, h), []), list_slice(o.s, h + 1, len(o.s))) AS s
+    FROM own o JOIN heads USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100
+), prefixes AS (
+    SELECT conv_id, d, list_slice(s, 1, d) AS p, d = len(s) AS ends FROM (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM sequences)
+), nodes AS (
+    SELECT p, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM prefixes GROUP BY p, d
+), counted AS (
+    SELECT n.*, coalesce(k, 0) AS n_children FROM nodes n
+    LEFT JOIN (SELECT list_slice(p, 1, depth - 1) AS q, count(*) AS k FROM nodes WHERE depth > 0 GROUP BY q) c ON c.q = n.p
+), sums AS (
+    SELECT a.p, count(*) FILTER (b.n_children = 0) AS n_leaves, CAST(sum((b.n_convs - 1) * coalesce(length(b.p[b.depth].x), 0)) AS BIGINT) AS saved_tokens
+    FROM counted a JOIN counted b ON b.depth >= a.depth AND list_slice(b.p, 1, a.depth) = a.p GROUP BY a.p
+)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM counted n JOIN sums s ON s.p = n.p LEFT JOIN nodes u ON n.depth > 0 AND u.p = list_slice(n.p, 1, n.depth - 1)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_minhash_dedup": _OP1, "op3_decontamination": _OP3, "op6_secret_scan": _op6(), "op10_embedding_dedup": _OP10,
+        "op1_minhash_dedup": _OP1, "op3_decontamination": _OP3, "op6_secret_scan": _op6(), "op10_embedding_dedup": _OP10, "op11_conversation_trie": _OP11,
     }

@@ -245,10 +245,10 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _aligned(docs: DataFrame, a_path: str, b_path: str, text_col: str, passing: list[str], with_groups: bool) -> DataFrame:
-    """One row per text, with its ``links``, and one row per task and pair with ``pair`` and its ``n``."""
+    """One row per text, with its ``__links``, and one row per task and pair with ``__pair`` and its ``__n``; passing columns by place."""
     fields = FIELDS + [("groups", "string")] * with_groups
-    keep = [c for c in passing if c not in {n for n, _ in FIELDS + COUNTED + [("groups", "")]}]
-    sent = docs.select(*map(quoted, keep), F.col(quoted(text_col)).alias("__text"))
+    keep = [f"__{i}" for i in range(len(passing))]  # any name can pass
+    sent = docs.select(*[F.col(quoted(c)).alias(k) for c, k in zip(passing, keep)], F.col(quoted(text_col)).alias("__text"))
     given = {f.name: f.dataType for f in sent.schema.fields}
     added = [T.StructField(n, T._parse_datatype_string(t)) for n, t in [*fields, ("__links", "array<long>"), ("__pair", "long"), ("__n", "long")]]
     schema = T.StructType([T.StructField(c, given[c]) for c in keep] + added)
@@ -300,6 +300,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text", pas
     an empty result; a column that has the name of a new one is replaced by it.
     """
     passing = [c for c in docs.columns if c != text_col] if passing is None else passing
+    passing = [c for c in passing if c not in {n for n, _ in FIELDS + COUNTED + [("groups", "")]}]
     made = _aligned(docs, a_path, b_path, text_col, passing, with_groups)
     table = stored(made, "alignment")
     known = table.filter("__pair IS NOT NULL").groupBy("__pair").agg(F.sum("__n").alias("n"))
@@ -320,7 +321,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text", pas
             columns = [pa.array(_sums(x[place], at).astype(np.int64)) for x in (best, counts)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + columns, names=keep + [n for n, _ in COUNTED])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(passing)], *[c for c in schema.names if not c.startswith("__")])
 
 
 def _counted(frame, size_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
