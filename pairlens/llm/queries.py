@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import conversation_trie, decontamination, embedding_dedup, gru_lm, language_id, minhash_dedup, mixing, quality_cnn, secret_ledger, token_files, tokenizer_alignment, warc_revisit
+from pairlens.llm import conversation_trie, decontamination, embedding_dedup, gru_lm, language_id, minhash_dedup, mixing, personal_data, quality_cnn, secret_ledger, token_files, tokenizer_alignment, warc_revisit
 from pairlens.llm.components import stored
 from pairlens.llm.textbatch import fold
 from pairlens.session import fresh_path
@@ -92,11 +92,16 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES), passing=["doc_id"])
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return personal_data.digest(personal_data.find(docs, personal_data.fit(docs), passing=["doc_id"]))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         op1_minhash_dedup, op2_soft_mixing, op3_decontamination, op4_token_files, op5_language_id,
         op6_secret_scan, op7_gru_lm, op8_warc_revisit, op9_quality_cnn, op10_embedding_dedup,
-        op11_conversation_trie, op12_tokenizer_alignment,
+        op11_conversation_trie, op12_tokenizer_alignment, op13_personal_data,
     )
     return {f.__name__: f for f in made}
 

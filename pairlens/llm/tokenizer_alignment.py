@@ -32,9 +32,9 @@ from tokenizers import Tokenizer
 from pairlens.llm.components import stored
 from pairlens.llm.textbatch import Texts, quoted, slices
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Distinct words a task remembers between slices; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: New words aligned at a time.
 ALIGNED = 8_000
 SPACE = "▁"
@@ -315,11 +315,12 @@ def align(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text", pas
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            links = batch.column("__links")
-            at = np.concatenate([[0], np.cumsum(links.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
-            place = np.searchsorted(pairs, links.flatten().to_numpy())
-            columns = [pa.array(_sums(x[place], at).astype(np.int64)) for x in (best, counts)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + columns, names=keep + [n for n, _ in COUNTED])
+            for part in (batch.slice(lo, 256) for lo in range(0, batch.num_rows, 256)):
+                links = part.column("__links")
+                at = np.concatenate([[0], np.cumsum(links.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
+                place = np.searchsorted(pairs, links.flatten().to_numpy())
+                columns = [pa.array(_sums(x[place], at).astype(np.int64)) for x in (best, counts)]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + columns, names=keep + [n for n, _ in COUNTED])
 
     return rows.mapInArrow(run, schema).select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(passing)], *[c for c in schema.names if not c.startswith("__")])
 
