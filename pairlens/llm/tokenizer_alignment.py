@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import sys
+import types
 from collections.abc import Iterator
 from itertools import chain
 
@@ -34,7 +36,7 @@ from pairlens.llm.textbatch import Texts, quoted, slices
 
 SLICE = 1 << 20
 #: Distinct words a task remembers between slices; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: New words aligned at a time.
 ALIGNED = 8_000
 SPACE = "▁"
@@ -240,21 +242,30 @@ class WordAligner:
         return self.keys[np.arange(size.sum()) + np.repeat(self.key_start[numbers] - before, size)]
 
 
+def worker_aligner(a_path: str, b_path: str) -> WordAligner:
+    """The aligner of this Python worker; it outlives a task, so words are not learned anew in each."""
+    held = sys.modules.setdefault("pairlens_worker_aligners", types.ModuleType("pairlens_worker_aligners")).__dict__
+    if (a_path, b_path) not in held:
+        held[(a_path, b_path)] = WordAligner(a_path, b_path)
+    return held[(a_path, b_path)]
+
+
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(values)])[bounds])
 
 
-def _aligned(docs: DataFrame, a_path: str, b_path: str, text_col: str, passing: list[str], with_groups: bool) -> DataFrame:
+def _aligned(docs: DataFrame, a_path: str, b_path: str, text_col: str, passing: list[str], with_groups: bool, short: bool) -> DataFrame:
     """One row per text, with its ``__links``, and one row per task and pair with ``__pair`` and its ``__n``; passing columns by place."""
     fields = FIELDS + [("groups", "string")] * with_groups
     keep = [f"__{i}" for i in range(len(passing))]  # any name can pass
     sent = docs.select(*[F.col(quoted(c)).alias(k) for c, k in zip(passing, keep)], F.col(quoted(text_col)).alias("__text"))
     given = {f.name: f.dataType for f in sent.schema.fields}
-    added = [T.StructField(n, T._parse_datatype_string(t)) for n, t in [*fields, ("__links", "array<long>"), ("__pair", "long"), ("__n", "long")]]
+    added = [T.StructField(n, T._parse_datatype_string(t)) for n, t in [*fields, ("__links", "array<int>" if short else "array<long>"), ("__pair", "int" if short else "long"), ("__n", "long")]]
+    key = pa.int32() if short else pa.int64()
     schema = T.StructType([T.StructField(c, given[c]) for c in keep] + added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = WordAligner(a_path, b_path)
+        aligner = worker_aligner(a_path, b_path)
         names = keep + [f.name for f in added]
         pairs, counts, kinds = np.empty(0, np.int64), np.empty(0, np.int64), {}
         for batch in batches:
@@ -277,14 +288,14 @@ def _aligned(docs: DataFrame, a_path: str, b_path: str, text_col: str, passing:
                 bounds = np.concatenate([[0], np.cumsum(n_links)])
                 for lo in range(0, rows, 256):  # lists of links in small batches
                     hi = min(lo + 256, rows)
-                    links = pa.ListArray.from_arrays(pa.array((bounds[lo:hi + 1] - bounds[lo]).astype(np.int32)), pa.array(keys[bounds[lo]:bounds[hi]]))
+                    links = pa.ListArray.from_arrays(pa.array((bounds[lo:hi + 1] - bounds[lo]).astype(np.int32)), pa.array(keys[bounds[lo]:bounds[hi]], key))
                     columns = [part.column(c).slice(lo, hi - lo) for c in keep]
                     columns += [pa.array(x[lo:hi]) for x in (n_a, n_b, n_links, n_links)] + [pa.array(digests[lo:hi], pa.string())]
-                    columns += [pa.array(groups[lo:hi], pa.string())] * with_groups + [links, pa.nulls(hi - lo, pa.int64()), pa.nulls(hi - lo, pa.int64())]
+                    columns += [pa.array(groups[lo:hi], pa.string())] * with_groups + [links, pa.nulls(hi - lo, key), pa.nulls(hi - lo, pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
         if len(pairs):
-            empty = [pa.nulls(len(pairs), kinds[c]) for c in keep] + [pa.nulls(len(pairs), t) for t in [pa.int64()] * 4 + [pa.string()] * (1 + with_groups) + [pa.list_(pa.int64())]]
-            yield pa.RecordBatch.from_arrays([*empty, pa.array(pairs), pa.array(counts)], names=names)
+            empty = [pa.nulls(len(pairs), kinds[c]) for c in keep] + [pa.nulls(len(pairs), t) for t in [pa.int64()] * 4 + [pa.string()] * (1 + with_groups) + [pa.list_(key)]]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array(pairs, key), pa.array(counts)], names=names)
 
     return sent.mapInArrow(run, schema)
 
@@ -301,11 +312,11 @@ def align(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text", pas
     """
     passing = [c for c in docs.columns if c != text_col] if passing is None else passing
     passing = [c for c in passing if c not in {n for n, _ in FIELDS + COUNTED + [("groups", "")]}]
-    made = _aligned(docs, a_path, b_path, text_col, passing, with_groups)
-    table = stored(made, "alignment")
-    known = table.filter("__pair IS NOT NULL").groupBy("__pair").agg(F.sum("__n").alias("n"))
     a, b = tokens_of_a(a_path), tokens_of_b(b_path)
     bound, size_b = pair_bound(a, b), len(b)
+    made = _aligned(docs, a_path, b_path, text_col, passing, with_groups, len(a) * size_b < 1 << 31)
+    table = stored(made, "alignment")
+    known = table.filter("__pair IS NOT NULL").groupBy("__pair").agg(F.sum("__n").alias("n"))
     pairs, counts, best = _counted(known.limit(bound + 1).toPandas(), size_b)
     if len(pairs) > bound:
         raise ValueError(f"{len(pairs)} pairs where the vocabularies allow {bound}")
