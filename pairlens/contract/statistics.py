@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairlens.contract.effects import (
@@ -16,7 +16,7 @@ from pairlens.operators import quality as q
 from pairlens.operators import resampling as rs
 from pairlens.sources import fixtures as fix
 
-SEED, DRAWS = 20260917, 200
+SEED, DRAWS = 20260917, 10_000
 
 # -- ranks ---------------------------------------------------------------------------------
 
@@ -400,7 +400,7 @@ CI = """round(quantile_cont(estimate, 0.025), 9) + 0.0 AS ci_95_lo, round(quanti
 @query("bootstrap_draws", f"SELECT contrast_id, instruction_condition, draw, {r9('estimate')} FROM v_draws")
 def _(spark, sf):
     pairs = d_pairs(spark, sf).persist()
-    return present(rs.resampled_means(pairs, rs.items_of(pairs), V2, "d_pair", DRAWS, SEED, path="join"))
+    return present(rs.resampled_means(pairs, rs.items_of(pairs), V2, "d_pair", DRAWS, SEED))
 
 
 @query("bootstrap_ate_ci", f"SELECT contrast_id, instruction_condition, count(*) AS n_draws, {CI} FROM v_draws GROUP BY ALL")
@@ -455,3 +455,36 @@ def _(spark, sf):
 def _(spark, sf):
     rows = ambiguity_rows(spark, sf).persist()
     return present(rs.slope_intervals(rows, rs.items_of(rows), V2, DRAWS, SEED))
+
+
+# -- bootstrap over many items: consecutive orders of a customer ------------------------------
+
+LARGE_DRAWS = 400
+PRICES = """SELECT CAST(o_orderkey AS VARCHAR) AS item, o_custkey, o_orderpriority, o_totalprice,
+                   lead(CAST(o_orderkey AS VARCHAR)) OVER w AS other, lead(o_totalprice) OVER w AS other_price
+            FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)"""
+
+
+@query(
+    "bootstrap_orders_ci",
+    f"""WITH pairs AS MATERIALIZED (SELECT o_orderpriority, item, other, (other_price - o_totalprice) / 1000 AS d FROM ({PRICES}) WHERE other IS NOT NULL),
+          items AS MATERIALIZED (SELECT item, row_number() OVER (ORDER BY item) - 1 AS idx FROM (SELECT DISTINCT unnest([item, other]) AS item FROM pairs)),
+          mult AS MATERIALIZED (SELECT draw, idx, count(*) AS m FROM (
+              SELECT draw, CAST('0x' || substr(md5('{SEED}:' || draw || ':' || idx), 1, 15) AS BIGINT) % n AS idx
+              FROM (SELECT unnest(range({LARGE_DRAWS})) AS draw), (SELECT idx, count(*) OVER () AS n FROM items)) GROUP BY ALL),
+          placed AS MATERIALIZED (SELECT o_orderpriority, d, a.idx AS i, b.idx AS j FROM pairs JOIN items a USING (item) JOIN items b ON b.item = other),
+          half AS MATERIALIZED (SELECT o_orderpriority, d, j, draw, m FROM placed JOIN mult ON idx = i),
+          drawn AS (SELECT o_orderpriority, a.draw, sum(a.m * b.m * d) / sum(a.m * b.m) AS estimate
+                    FROM half a JOIN mult b ON b.idx = j AND b.draw = a.draw GROUP BY ALL)
+        SELECT o_orderpriority, count(*) AS n_draws, {CI} FROM drawn GROUP BY ALL""",
+)
+def _(spark, sf):
+    """As many items as orders, thousands at the smallest scale that has enough."""
+    nearby = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    orders = fix.table(spark, sf, "orders").select("o_orderpriority", "o_custkey", "o_orderkey", "o_totalprice")
+    rows = orders.select(
+        "o_orderpriority", F.col("o_orderkey").cast("string").alias("story_1_id"), F.lead(F.col("o_orderkey").cast("string")).over(nearby).alias("story_2_id"),
+        ((F.lead("o_totalprice").over(nearby) - F.col("o_totalprice")) / 1000).alias("d_pair"),
+    )
+    pairs = rows.where("story_2_id IS NOT NULL").persist()
+    return present(rs.ate_intervals(pairs, rs.items_of(pairs), ("o_orderpriority",), LARGE_DRAWS, SEED))

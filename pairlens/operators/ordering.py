@@ -10,7 +10,7 @@ the buckets only decide how evenly the work spreads.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -163,3 +163,47 @@ def indexed_by_hash(df: DataFrame, hash_column: str, then: Sequence[str | Column
     """
     bucket = F.substring(F.col(hash_column), 1, 3)
     return numbered(df, [], [hash_column, *then], bucket, out)
+
+
+#: Rank error of the sketches that bracket a quantile, as a share of the group, and the size up to which a group is its own bracket.
+SKETCH_ERROR, SMALL_GROUP = 1e-4, 40_000
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float]) -> DataFrame:
+    """Exact quantiles of a numeric column per key, interpolated linearly between neighbours; NULLs do not count.
+
+    A mergeable sketch gives each quantile a bracket that holds its order statistics for certain: twice the
+    sketch's rank error on both sides.  A second pass counts the rows below each bracket and numbers the few
+    inside it, so neither all values of a group nor all distinct ones are ever a task's state.
+    """
+    keys, names = list(keys), list(wanted)
+    rows = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL")
+    margin = 2 * SKETCH_ERROR
+    ends = [e for p in wanted.values() for e in (max(0.0, p - margin), min(1.0, p + margin))]
+    sketch = rows.groupBy(*keys).agg(
+        F.count("*").alias("__n"), F.min("__v").alias("__least"), F.max("__v").alias("__most"),
+        F.percentile_approx("__v", ends, round(1 / SKETCH_ERROR)).alias("__ends"),
+    )
+    small = F.col("__n") <= SMALL_GROUP
+
+    def bracket(k: int) -> Column:
+        at = F.lit(wanted[names[k]]) * (F.col("__n") - 1)
+        low = F.when(small, F.col("__least")).otherwise(F.col("__ends")[2 * k])
+        high = F.when(small, F.col("__most")).otherwise(F.col("__ends")[2 * k + 1])
+        return F.struct(F.lit(k).alias("k"), at.alias("at"), low.alias("low"), high.alias("high"))
+
+    bounds = sketch.select(*keys, F.array(*map(bracket, range(len(names)))).alias("__b"))
+    met = null_safe_join(rows, bounds, keys) if keys else rows.crossJoin(F.broadcast(bounds))  # one row
+    below = F.explode(F.transform("__b", lambda b: F.struct(b["k"].alias("k"), b["at"].alias("at"), (F.col("__v") < b["low"]).alias("under"), F.col("__v").between(b["low"], b["high"]).alias("inside"))))
+    each = met.select(*keys, "__v", below.alias("b"))
+    # equal values are one row, so a value that half of a group has is no load either
+    inside = each.where("b.inside").groupBy(*keys, F.col("b.k").alias("__k"), F.col("b.at").alias("__at"), "__v").agg(F.count("*").alias("__c"))
+    under = each.groupBy(*keys, F.col("b.k").alias("__k")).agg(F.sum(F.col("b.under").cast("long")).alias("__under"))
+    upto = Window.partitionBy(*keys, "__k").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = null_safe_join(inside.withColumn("__upto", F.sum("__c").over(upto)), under, [*keys, "__k"])
+    last = F.col("__upto") + F.col("__under")  # ranks of a value: from last - count to last - 1
+    holds = lambda rank: (rank < last) & (rank >= last - F.col("__c"))
+    low, high = F.floor("__at"), F.ceil("__at")
+    pair = ranked.where(holds(low) | holds(high)).groupBy(*keys, "__k", "__at").agg(F.max(F.when(holds(low), F.col("__v"))).alias("__low"), F.max(F.when(holds(high), F.col("__v"))).alias("__high"))
+    cut = pair.select(*keys, "__k", (F.col("__low") + (F.col("__high") - F.col("__low")) * (F.col("__at") - low)).alias("__q"))
+    return cut.groupBy(*keys).agg(*[F.max(F.when(F.col("__k") == k, F.col("__q"))).alias(name) for k, name in enumerate(names)])

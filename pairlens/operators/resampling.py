@@ -2,28 +2,28 @@
 
 Pairs share items, so items are resampled, not pairs: a draw takes n items with
 replacement and weighs pair (i, j) by multiplicity(i) * multiplicity(j).  Draws are
-counter-based (a hash of seed, draw and slot), identical for every group, and can be
-recomputed anywhere.
+counter-based (a hash of seed, draw and slot), identical for every group, and are
+recomputed by the task that needs them.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlens.functions.common import counter_draw, null_safe_join, ratio
+from pairlens.functions.common import null_safe_join, ratio
 from pairlens.functions.stats import slope_intercept
 from pairlens.operators.effects import CONTROL, PAIR, TEXT_ONLY, controllability_measures
-from pairlens.operators.ordering import indexed_by_text
+from pairlens.operators.ordering import exact_quantiles, indexed_by_text
 
-# Largest multiplicity matrix (items x draws) that may be broadcast: 4 bytes a cell.
-MAX_BROADCAST_CELLS = 16_000_000
-_CELLS_PER_SLICE = 1_000_000
+#: Multiplicities and weights that a task holds at a time, 4 and 8 bytes each.
+CELLS = 1_000_000
 
 
 def item_index(items: DataFrame, item: str = "story_id") -> DataFrame:
@@ -37,110 +37,100 @@ def items_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array(*PAIR)).alias("story_id"))
 
 
-def multiplicities(index: DataFrame, n_items: int, draws: int, seed: int) -> DataFrame:
-    """(draw, story_id, m): how often each draw took each item, zero rows left out."""
-    spark = index.sparkSession
-    slots = spark.range(draws).withColumnRenamed("id", "draw").withColumn(
-        "slot", F.explode(F.sequence(F.lit(0), F.lit(n_items - 1)))
-    )
-    taken = slots.select("draw", (counter_draw(seed, F.col("draw"), F.col("slot")) % n_items).alias("idx"))
-    return taken.groupBy("draw", "idx").agg(F.count("*").alias("m")).join(index, "idx").select("draw", "idx", "story_id", "m")
-
-
-def _joined_sums(pairs: DataFrame, mult: DataFrame, group: Sequence[str], terms: Sequence[str]) -> DataFrame:
-    """Relational path: pairs meet the multiplicities of both items, then sum per draw."""
-    first = mult.select("draw", F.col("story_id").alias("story_1_id"), F.col("m").alias("__m1"))
-    second = mult.select("draw", F.col("story_id").alias("story_2_id"), F.col("m").alias("__m2"))
-    weighted = pairs.join(first, "story_1_id").join(second, ["story_2_id", "draw"])
-    w = F.col("__m1") * F.col("__m2")
-    return weighted.groupBy(*group, "draw").agg(
-        F.sum(w).cast("double").alias("w"), *[F.sum(w * F.col(t)).alias(t) for t in terms]
-    )
+def multiplicities(n_items: int, draws: range, seed: int) -> np.ndarray:
+    """How often each of ``n_items`` was taken in each of ``draws``, as ``n_items`` x ``draws``.
 
+    The numbers are those of :func:`pairlens.functions.common.counter_draw` for (seed, draw, slot).
+    """
+    slots = [str(slot).encode() for slot in range(n_items)]
+    taken = np.empty((n_items, len(draws)), dtype=np.int32)
+    for column, draw in enumerate(draws):
+        start = hashlib.md5(f"{seed}:{draw}:".encode())
+        heads = bytearray()
+        for slot in slots:
+            digest = start.copy()
+            digest.update(slot)
+            heads += digest.digest()[:8]
+        numbers = np.frombuffer(heads, dtype=">u8") >> np.uint64(4)
+        taken[:, column] = np.bincount((numbers % np.uint64(n_items)).astype(np.int64), minlength=n_items)
+    return taken
+
+
+def draws_per_slice(n_items: int, draws: int, partitions: int) -> int:
+    """Draws that one task holds: within the cell bound, and enough slices to use all partitions."""
+    return max(1, min(CELLS // n_items, draws // (4 * partitions)))
+
+
+def resampled_sums(pairs: DataFrame, items: DataFrame, group: Sequence[str], terms: Mapping[str, Column], draws: int, seed: int) -> DataFrame:
+    """Weighted sums of ``terms`` per (group, draw), draws without weight dropped.
 
-def _matrix_sums(
-    pairs: DataFrame, index: DataFrame, mult: DataFrame, n_items: int, draws: int, group: Sequence[str], terms: Sequence[str]
-) -> DataFrame:
-    """Arrow path: a broadcast matrix, partial sums per task, one small shuffle.
-
-    The shuffle carries draws x groups x tasks rows instead of draws x pairs.
+    The draws are cut into slices; a task computes the multiplicities m of its slice from the counter
+    hash, each once in the whole job, and adds up the quadratic form m(i) m(j) value over the pairs, which
+    it reads in order of the group.  A slice holds at most :data:`CELLS` multiplicities (one draw if
+    there are more items than that), whatever the number of draws, pairs and groups.  All pairs of a
+    slice meet in one task, so its sums are final and only pairs x slices rows are shuffled.
     """
-    matrix = np.zeros((n_items, draws), dtype=np.int32)
-    table = mult.select("idx", "draw", "m").toPandas()  # at most MAX_BROADCAST_CELLS rows
-    matrix[table["idx"].to_numpy(), table["draw"].to_numpy()] = table["m"].to_numpy()
-    shared = pairs.sparkSession.sparkContext.broadcast(matrix)
+    index = item_index(items).persist()
+    n_items = index.count()
+    values = pairs.select(*group, *PAIR, *[c.cast("double").alias(n) for n, c in terms.items()])
+    if n_items < 2:
+        empty = values.limit(0).withColumns({"draw": F.lit(0).cast("bigint"), "w": F.lit(0.0)})
+        return empty.select(*group, "draw", "w", *terms)
     first = index.select(F.col("story_id").alias("story_1_id"), F.col("idx").alias("__i"))
     second = index.select(F.col("story_id").alias("story_2_id"), F.col("idx").alias("__j"))
-    located = pairs.join(first, "story_1_id").join(second, "story_2_id").select(*group, "__i", "__j", *terms)
+    located = values.join(first, "story_1_id").join(second, "story_2_id").select(*group, "__i", "__j", *terms)
+    per_slice = draws_per_slice(n_items, draws, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    slices = -(-draws // per_slice)
+    sliced = located.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    ordered = sliced.repartition("__slice").sortWithinPartitions("__slice", *group)
     keys, names = list(group), list(terms)
     fields = [located.schema[c] for c in keys] + [T.StructField("draw", T.LongType())]
     fields += [T.StructField(c, T.DoubleType()) for c in ("w", *names)]
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        rows_per_slice = max(1, _CELLS_PER_SLICE // m.shape[1])
-        sums: dict[tuple, np.ndarray] = {}
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at, m, total, types = None, None, None, None, None
+
+        def finished() -> pa.RecordBatch:
+            numbers = np.arange(at * per_slice, at * per_slice + m.shape[1])
+            columns = [pa.array([v] * len(numbers), t) for v, t in zip(held, types)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(numbers), *map(pa.array, total)], names=[f.name for f in fields])
+
         for batch in batches:
-            groups = batch.groupby(keys, dropna=False, sort=False) if keys else [((), batch)]
-            for key, part in groups:
-                key = key if isinstance(key, tuple) else (key,)
-                total = sums.setdefault(key, np.zeros((1 + len(names), m.shape[1])))
-                values = part[names].to_numpy(dtype=float)
-                i, j = part["__i"].to_numpy(), part["__j"].to_numpy()
-                for start in range(0, len(part), rows_per_slice):
-                    cut = slice(start, start + rows_per_slice)
+            types = [batch.column(c).type for c in keys]
+            slice_of = batch.column("__slice").to_numpy()
+            codes = [c.dictionary_encode(null_encoding="encode").indices.to_numpy() for c in map(batch.column, keys)]
+            new = np.ones(batch.num_rows, dtype=bool)
+            new[1:] = np.any([c[1:] != c[:-1] for c in (slice_of, *codes)], axis=0)
+            starts = np.flatnonzero(new)
+            i, j = batch.column("__i").to_numpy(), batch.column("__j").to_numpy()
+            data = np.array([batch.column(c).to_numpy(zero_copy_only=False) for c in names], dtype=float)
+            for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
+                key = tuple(batch.column(c)[int(lo)].as_py() for c in keys)
+                if at != slice_of[lo] or key != held:
+                    if held is not None:
+                        yield finished()
+                    if at != slice_of[lo]:
+                        at = int(slice_of[lo])
+                        m = multiplicities(n_items, range(at * per_slice, min(draws, (at + 1) * per_slice)), seed)
+                    held, total = key, np.zeros((1 + len(names), m.shape[1]))
+                step = max(1, CELLS // m.shape[1])
+                for cut in (slice(k, min(k + step, hi)) for k in range(lo, hi, step)):
                     weights = m[i[cut]].astype(float) * m[j[cut]]
                     total[0] += weights.sum(axis=0)
-                    total[1:] += values[cut].T @ weights
-        for key, total in sums.items():
-            out = pd.DataFrame({"draw": np.arange(m.shape[1]), "w": total[0]})
-            for position, name in enumerate(names, start=1):
-                out[name] = total[position]
-            for column, value in zip(keys, key):
-                out[column] = None if pd.isna(value) else value
-            yield out[[f.name for f in fields]]
-
-    partials = located.mapInPandas(partial, T.StructType(fields))
-    return partials.groupBy(*group, "draw").agg(*[F.sum(c).alias(c) for c in ("w", *names)])
-
+                    total[1:] += data[:, cut] @ weights
+        if held is not None:
+            yield finished()
 
-def resampled_sums(
-    pairs: DataFrame,
-    items: DataFrame,
-    group: Sequence[str],
-    terms: Mapping[str, Column],
-    draws: int,
-    seed: int,
-    path: str = "auto",
-) -> DataFrame:
-    """Weighted sums of ``terms`` per (group, draw), draws without weight dropped.
-
-    ``path`` is ``matrix`` (Arrow, needs the matrix to fit the broadcast bound),
-    ``join`` (relational, no bound) or ``auto``, which checks the size.
-    """
-    index = item_index(items).persist()
-    n_items = index.count()
-    values = pairs.select(*group, *PAIR, *[c.cast("double").alias(n) for n, c in terms.items()])
-    if n_items < 2:
-        empty = values.limit(0).withColumns({"draw": F.lit(0).cast("bigint"), "w": F.lit(0.0)})
-        return empty.select(*group, "draw", "w", *terms)
-    mult = multiplicities(index, n_items, draws, seed)
-    fits = n_items * draws <= MAX_BROADCAST_CELLS
-    if path == "matrix" and not fits:
-        raise ValueError(f"{n_items} items x {draws} draws exceed the broadcast bound of {MAX_BROADCAST_CELLS} cells")
-    if path == "matrix" or (path == "auto" and fits):
-        sums = _matrix_sums(values, index, mult, n_items, draws, group, list(terms))
-    else:
-        sums = _joined_sums(values, mult, group, list(terms))
+    sums = ordered.mapInArrow(summed, T.StructType(fields))
     return sums.where("w > 0").select(*group, "draw", "w", *terms)
 
 
 def resampled_means(
-    pairs: DataFrame, items: DataFrame, group: Sequence[str], value: str, draws: int, seed: int, path: str = "auto"
+    pairs: DataFrame, items: DataFrame, group: Sequence[str], value: str, draws: int, seed: int
 ) -> DataFrame:
     """Weighted mean of a pair value per (group, draw)."""
     rows = pairs.where(F.col(value).isNotNull())
-    sums = resampled_sums(rows, items, group, {"wv": F.col(value)}, draws, seed, path)
+    sums = resampled_sums(rows, items, group, {"wv": F.col(value)}, draws, seed)
     return sums.select(*group, "draw", ratio(F.col("wv"), F.col("w")).alias("estimate"))
 
 
@@ -167,18 +157,18 @@ def percentile_intervals(estimates: DataFrame, group: Sequence[str], value: str
 
 
 def ate_intervals(
-    pairs: DataFrame, items: DataFrame, group: Sequence[str], draws: int, seed: int, path: str = "auto"
+    pairs: DataFrame, items: DataFrame, group: Sequence[str], draws: int, seed: int
 ) -> DataFrame:
     """Interval of the average effect of each group."""
-    return percentile_intervals(resampled_means(pairs, items, group, "d_pair", draws, seed, path), group)
+    return percentile_intervals(resampled_means(pairs, items, group, "d_pair", draws, seed), group)
 
 
 def controllability_draws(
-    pairs: DataFrame, items: DataFrame, group: Sequence[str], draws: int, seed: int, path: str = "auto"
+    pairs: DataFrame, items: DataFrame, group: Sequence[str], draws: int, seed: int
 ) -> DataFrame:
     """Derived measures per draw; both conditions share the resample."""
     keys = [*group, "instruction_condition"]
-    means = resampled_means(pairs, items, keys, "d_pair", draws, seed, path)
+    means = resampled_means(pairs, items, keys, "d_pair", draws, seed)
 
     def under(condition: str) -> Column:
         return F.max(F.when(F.col("instruction_condition") == condition, F.col("estimate")))
@@ -223,17 +213,12 @@ def ambiguity_fit(rows: DataFrame, group: Sequence[str], x: str = "baseline_stre
     """Unweighted least squares of the effect on baseline strength; at least two pairs."""
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     fit = both.groupBy(*group).agg(
-        F.count("*").alias("n_pairs"),
-        F.regr_intercept(y, x).alias("intercept"),
-        F.regr_slope(y, x).alias("beta"),
-        F.percentile(F.col(x), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__p"),
+        F.count("*").alias("n_pairs"), F.regr_intercept(y, x).alias("intercept"), F.regr_slope(y, x).alias("beta"),
     )
-    return fit.where("n_pairs >= 2 AND beta IS NOT NULL").withColumns(
-        {
-            f"predicted_at_p{p}": F.col("intercept") + F.col("beta") * F.col("__p")[i]
-            for i, p in enumerate((25, 50, 75))
-        }
-    ).drop("__p")
+    cuts = exact_quantiles(both, group, x, {f"__p{p}": p / 100 for p in (25, 50, 75)})
+    placed = null_safe_join(fit.where("n_pairs >= 2 AND beta IS NOT NULL"), cuts, group)
+    predicted = {f"predicted_at_p{p}": F.col("intercept") + F.col("beta") * F.col(f"__p{p}") for p in (25, 50, 75)}
+    return placed.withColumns(predicted).drop("__p25", "__p50", "__p75")
 
 
 def slope_draws(
@@ -244,7 +229,6 @@ def slope_draws(
     seed: int,
     x: str = "baseline_strength",
     y: str = "d_pair",
-    path: str = "auto",
 ) -> DataFrame:
     """Refitted slope per (group, draw).
 
@@ -255,10 +239,10 @@ def slope_draws(
     centred = null_safe_join(both, means, group)
     cx, cy = F.col(x) - F.col("__mx"), F.col(y)
     terms = {"wx": cx, "wy": cy, "wxx": cx * cx, "wxy": cx * cy}
-    sums = resampled_sums(centred, items, group, terms, draws, seed, path)
+    sums = resampled_sums(centred, items, group, terms, draws, seed)
     slope, _ = slope_intercept(*[F.col(c) for c in ("w", "wx", "wy", "wxx", "wxy")])
     return sums.select(*group, "draw", slope.alias("estimate")).where("estimate IS NOT NULL")
 
 
-def slope_intervals(rows: DataFrame, items: DataFrame, group: Sequence[str], draws: int, seed: int, path: str = "auto") -> DataFrame:
-    return percentile_intervals(slope_draws(rows, items, group, draws, seed, path=path), group)
+def slope_intervals(rows: DataFrame, items: DataFrame, group: Sequence[str], draws: int, seed: int) -> DataFrame:
+    return percentile_intervals(slope_draws(rows, items, group, draws, seed), group)

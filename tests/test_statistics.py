@@ -93,28 +93,52 @@ def brute_bootstrap(values, items, draws, seed):
     return out
 
 
-def test_bootstrap_paths_agree_with_brute_force(spark):
+@pytest.mark.parametrize("cells, partitions", [(1_000_000, 8), (40, 8), (1, 2)])
+def test_bootstrap_against_brute_force(spark, monkeypatch, cells, partitions):
+    """Any cut of the draws gives the same sums, down to one draw in a slice and one pair at a time."""
     from itertools import combinations
 
+    monkeypatch.setattr(rs, "CELLS", cells)
     rng = random.Random(5)
     items = [f"s{i}" for i in range(6)]
     values = {p: rng.uniform(-1, 1) for p in combinations(items, 2)}
-    df = pair_values(spark, values).unionByName(pair_values(spark, {p: 2 * v for p, v in values.items()}, "h"))
+    df = pair_values(spark, values).unionByName(pair_values(spark, {p: 2 * v for p, v in values.items()}, "h")).unionByName(pair_values(spark, {p: 3 * v for p, v in values.items()}, None))
     want = sorted(brute_bootstrap(values, items, 50, 7))
-    for path in ("matrix", "join"):
-        got = rs.resampled_means(df, rs.items_of(df), ("g",), "d_pair", 50, 7, path).collect()
-        for g, factor in (("g", 1), ("h", 2)):
-            assert sorted(r["estimate"] for r in got if r["g"] == g) == pytest.approx([factor * v for v in want])
+    got = rs.resampled_means(df.repartition(partitions), rs.items_of(df), ("g",), "d_pair", 50, 7).collect()
+    for g, factor in (("g", 1), ("h", 2), (None, 3)):
+        assert sorted(r["estimate"] for r in got if r["g"] == g) == pytest.approx([factor * v for v in want])
     ci = one(rs.ate_intervals(df, rs.items_of(df), ("g",), 50, 7).where("g = 'g'"))
     assert ci["ci_95_lo"] == pytest.approx(np.percentile(want, 2.5)) and ci["ci_90_hi"] == pytest.approx(np.percentile(want, 95))
 
 
-def test_broadcast_bound_is_checked(spark, monkeypatch):
-    df = pair_values(spark, {("a", "b"): 1.0, ("a", "c"): 2.0})
-    monkeypatch.setattr(rs, "MAX_BROADCAST_CELLS", 10)
-    with pytest.raises(ValueError):
-        rs.resampled_means(df, rs.items_of(df), ("g",), "d_pair", 20, 1, "matrix")
-    assert rs.resampled_means(df, rs.items_of(df), ("g",), "d_pair", 20, 1).count() > 0
+def test_bootstrap_slices_stay_within_the_bound():
+    for n, draws in ((12, 10_000), (5_000, 10_000), (3_000_000, 10_000), (7, 1)):
+        per = rs.draws_per_slice(n, draws, 200)
+        assert per >= 1 and (per == 1 or per * n <= rs.CELLS)
+    m = rs.multiplicities(5, range(3, 9), 7)
+    assert m.shape == (5, 6) and (m.sum(axis=0) == 5).all()
+    assert (m == np.hstack([rs.multiplicities(5, range(k, k + 1), 7) for k in range(3, 9)])).all()
+
+
+@pytest.mark.parametrize("small", [0, 40_000])
+def test_exact_quantiles(spark, monkeypatch, small):
+    """Brackets and whole groups give the same values, with ties, one value, NULLs and a NULL key."""
+    monkeypatch.setattr(od, "SMALL_GROUP", small)
+    monkeypatch.setattr(od, "SKETCH_ERROR", 0.01)
+    rng = random.Random(3)
+    groups = {"even": [rng.gauss(0, 5) for _ in range(3000)], "ties": [float(rng.randrange(4)) for _ in range(2500)], "flat": [1.5] * 900, None: [10.0 ** rng.randrange(-200, 200) for _ in range(2001)]}
+    if small:
+        groups |= {"one": [4.0], "two": [1.0, 2.0], "none": []}
+    rows = [(g, v) for g, vs in groups.items() for v in [*vs, None]]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}
+    quantiles = od.exact_quantiles(df, ["g"], "v", probs)
+    got = {r["g"]: [r[k] for k in probs] for r in quantiles.collect()}
+    assert got == {g: pytest.approx([np.percentile(vs, 100 * p) for p in probs.values()]) for g, vs in groups.items() if vs}
+    whole = one(od.exact_quantiles(df.where("g = 'even'"), [], "v", probs))
+    assert [whole[k] for k in probs] == pytest.approx(got["even"])
+    plan = quantiles._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan and "collect_" not in plan
 
 
 def test_constant_effect_is_equivalent_only_when_frozen(spark):
