@@ -10,6 +10,7 @@ from pairlens.contract.registry import query, view
 from pairlens.functions import answers as ans
 from pairlens.functions import scalars as sc
 from pairlens.operators import collapse as col
+from pairlens.operators import gates
 from pairlens.operators import recovery as rec
 from pairlens.operators import usage as use
 from pairlens.operators.quality import duplicate_ids
@@ -23,6 +24,11 @@ WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) |
 EM = "'*_`''\"' || chr(8220) || chr(8221) || chr(8216) || chr(8217) || chr(32) || chr(9) || chr(13) || chr(10)"
 
 
+def LAST_OF(key: str) -> str:  # noqa: N802
+    """The value of a key of the object ``j``; of a repeated key the last one counts."""
+    return f"(list_filter(list_zip(json_keys(j), json_extract(j, '$.*')), lambda kv: kv[1] = '{key}')[-1][2])"
+
+
 def parser_sql(source: str) -> str:
     """SQL of the plain-choice parser over ``source`` with columns id, txt."""
     return f"""
@@ -36,8 +42,8 @@ FROM (SELECT *, ({MARKERS}) AS hedged,
              regexp_extract(clean, '(?is)^(?:i\\s+prefer\\s+(?:passage\\s+)?|passage\\s+)?([ab])(?:$|[^\\p{{L}}\\p{{N}}_])', 1) AS letter,
              CASE WHEN json_type(j) = 'OBJECT' THEN
                CASE WHEN json_exists(j, '$.overall_quality')
-                    THEN CASE WHEN json_type(j, '$.overall_quality') = 'VARCHAR' THEN upper(trim(j->>'$.overall_quality')) END
-                    WHEN json_type(j, '$.choice') = 'VARCHAR' THEN upper(trim(j->>'$.choice')) END END AS letter_json
+                    THEN CASE WHEN json_type({LAST_OF('overall_quality')}) = 'VARCHAR' THEN upper(trim({LAST_OF('overall_quality')}->>'$')) END
+                    WHEN json_type({LAST_OF('choice')}) = 'VARCHAR' THEN upper(trim({LAST_OF('choice')}->>'$')) END END AS letter_json
       FROM (SELECT *, lower(clean) AS low, coalesce(json_type(j) <> 'NULL', false) AS is_json
             FROM (SELECT *, CASE WHEN json_valid(clean) THEN clean END AS j FROM (SELECT id, txt, trim(CASE WHEN starts_with(bare, '```') THEN trim(
                          CASE WHEN ends_with(rtrim(opened, {WS}), '```')
@@ -55,8 +61,9 @@ def _(spark, sf):
 # Whole document and conversation texts, as they are and behind an answer, a fence or a JSON wrapper.
 TEXTS = """SELECT 'd' || CAST(doc_id AS VARCHAR) || '_' || CAST(v AS VARCHAR) AS id,
   CASE v WHEN 0 THEN text WHEN 1 THEN 'Passage B. ' || text WHEN 2 THEN '```json' || chr(10) || '{"choice": "a"}' || chr(10) || '```'
-         WHEN 3 THEN '**A** ' || text WHEN 4 THEN '{"overall_quality": "' || lang || '", "choice": "A"}' ELSE '{"choice": ' || text END AS txt
-  FROM documents CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4, 5]) AS v)
+         WHEN 3 THEN '**A** ' || text WHEN 4 THEN '{"overall_quality": "' || lang || '", "choice": "A"}' WHEN 5 THEN '{"choice": ' || text
+         ELSE '{"choice": "A", "lang": "' || lang || '", "choice": "' || CASE WHEN doc_id % 3 = 0 THEN 'b' ELSE lang END || '"}' END AS txt
+  FROM documents CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS v)
   UNION ALL SELECT 't' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR), text FROM conversations"""
 
 
@@ -70,6 +77,7 @@ def _(spark, sf):
         F.concat(F.lit("**A** "), text),
         F.concat(F.lit('{"overall_quality": "'), F.col("lang"), F.lit('", "choice": "A"}')),
         F.concat(F.lit('{"choice": '), text),
+        F.concat(F.lit('{"choice": "A", "lang": "'), F.col("lang"), F.lit('", "choice": "'), F.when(F.col("doc_id") % 3 == 0, "b").otherwise(F.col("lang")), F.lit('"}')),
     )
     docs = fix.spread(fix.table(spark, sf, "documents"), "doc_id").select("doc_id", F.posexplode(variants).alias("v", "txt"))
     docs = docs.select(F.concat(F.lit("d"), F.col("doc_id"), F.lit("_"), F.col("v")).alias("id"), "txt")
@@ -423,6 +431,108 @@ def _(spark, sf):
     return present(rec.merge_diagnostics(planned_ids(spark, sf), recovery, merged(spark, sf)))
 
 
+# -- gates ---------------------------------------------------------------------------------
+
+view(
+    "v_identity",
+    """
+SELECT 'x::e::o' || CAST(trial_id AS VARCHAR) || '::r' || CAST(replicate_id AS VARCHAR) AS observation_id, CAST(trial_id AS VARCHAR) AS trial_id,
+       CAST(replicate_id AS BIGINT) AS replicate_number FROM v_planned
+""",
+)
+# Damage: some plan rows twice, some with the next replicate, some under an id that was never planned.
+view(
+    "v_damaged",
+    """
+SELECT CASE WHEN n % 11 = 0 THEN observation_id || 'x' ELSE observation_id END AS observation_id, trial_id,
+       replicate_number + CASE WHEN n % 7 = 0 THEN 1 ELSE 0 END AS replicate_number
+FROM (SELECT *, CAST(trial_id AS BIGINT) AS n, unnest(range(CASE WHEN CAST(trial_id AS BIGINT) % 5 = 0 THEN 2 ELSE 1 END)) AS again FROM v_identity)
+""",
+)
+view(
+    "v_plan_violations",
+    """
+SELECT DISTINCT d.observation_id, CASE WHEN p.observation_id IS NULL THEN 'not_planned' ELSE 'other_identity' END AS violation
+FROM v_damaged d LEFT JOIN v_identity p ON p.observation_id = d.observation_id
+WHERE p.observation_id IS NULL OR d.trial_id IS DISTINCT FROM p.trial_id OR d.replicate_number IS DISTINCT FROM p.replicate_number
+UNION ALL SELECT observation_id, 'repeated' FROM v_damaged GROUP BY observation_id HAVING count(*) > 1
+""",
+)
+view(
+    "v_class_counts",
+    "SELECT row_class, count(*) AS n_rows, count(DISTINCT observation_id) AS n_ids FROM v_classified GROUP BY ALL",
+)
+
+
+def planned_identity(spark: SparkSession, sf: str) -> DataFrame:
+    oid = sc.observation_id(F.lit("x"), F.lit("e"), F.concat(F.lit("o"), F.col("trial_id").cast("string")), F.col("replicate_id"))
+    return planned_keys(spark, sf).select(oid.alias("observation_id"), F.col("trial_id").cast("string").alias("trial_id"), F.col("replicate_id").cast("bigint").alias("replicate_number"))
+
+
+def damaged_plan(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("trial_id").cast("bigint")
+    twice = planned_identity(spark, sf).withColumn("__again", F.explode(F.sequence(F.lit(1), F.when(n % 5 == 0, 2).otherwise(1))))
+    return twice.select(
+        F.when(n % 11 == 0, F.concat("observation_id", F.lit("x"))).otherwise(F.col("observation_id")).alias("observation_id"), "trial_id",
+        (F.col("replicate_number") + F.when(n % 7 == 0, 1).otherwise(0)).alias("replicate_number"),
+    )
+
+
+@query("plan_violations", "SELECT * FROM v_plan_violations")
+def _(spark, sf):
+    return gates.plan_violations(damaged_plan(spark, sf), planned_identity(spark, sf))
+
+
+def checks_sql(wanted: dict[str, tuple[str, str]]) -> str:
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS check_name, CAST(({found}) AS BIGINT) AS found, CAST(({want}) AS BIGINT) AS wanted" for name, (found, want) in wanted.items())
+    return f"SELECT *, found = wanted AS ok FROM ({rows})"
+
+
+def class_sql(row_class: str, what: str) -> str:
+    return f"SELECT coalesce(max({what}), 0) FROM v_class_counts WHERE row_class = '{row_class}'"
+
+
+TOTAL, NONE = "SELECT count(DISTINCT observation_id) FROM v_identity", "0"
+CLASSES = {
+    "no_unknown_rows": (class_sql("unknown", "n_rows"), NONE), "no_duplicate_answers": (class_sql("duplicate_valid", "n_ids"), NONE), "no_malformed_answers": (class_sql("malformed", "n_rows"), NONE),
+}
+
+
+@query(
+    "recovery_preflight",
+    checks_sql({"planned_count_matches_design": (TOTAL, TOTAL), "planned_ids_unique": ("SELECT count(*) - count(DISTINCT observation_id) FROM v_identity", NONE), **CLASSES, "recovery_creates_no_new_replicates": ("SELECT count(*) FROM v_plan_violations", NONE)}),
+)
+def _(spark, sf):
+    planned = planned_identity(spark, sf)
+    return gates.recovery_preflight(planned, classified(spark, sf), damaged_plan(spark, sf), planned.count())
+
+
+@query(
+    "wave_complete",
+    checks_sql({
+        "planned_count_matches_design": (TOTAL, f"({TOTAL}) + 1"), "cells_match_design": ("SELECT count(DISTINCT trial_id) FROM v_identity", "SELECT count(DISTINCT trial_id) FROM v_identity"),
+        "every_answer_valid": (class_sql("valid", "n_ids"), f"({TOTAL}) + 1"), "nothing_unresolved": (f"({TOTAL}) - ({class_sql('valid', 'n_ids')})", NONE), **CLASSES,
+    }),
+)
+def _(spark, sf):
+    """Against a design of one observation more than planned."""
+    planned = planned_identity(spark, sf)
+    cells = planned.select("trial_id").distinct().count()
+    return gates.wave_complete(planned, classified(spark, sf), planned.count() + 1, cells)
+
+
+@query(
+    "merge_complete",
+    checks_sql({
+        "planned_count_matches_design": ("SELECT count(*) FROM v_plan_ids", "SELECT count(*) FROM v_plan_ids"), "nothing_unresolved": ("(SELECT count(*) FROM v_plan_ids) - (SELECT count(*) FROM v_merged)", NONE),
+        "every_observation_settled": ("SELECT count(*) FROM v_merged", "SELECT count(*) FROM v_plan_ids"), "no_observation_answered_again": ("SELECT count(*) FROM v_merged WHERE extra_recovery_answers > 0", NONE),
+    }),
+)
+def _(spark, sf):
+    planned, recovery = planned_ids(spark, sf), wave_rows(spark, sf).where("wave = 2")
+    return gates.merge_complete(rec.merge_diagnostics(planned, recovery, merged(spark, sf)), planned.count())
+
+
 # -- validation ----------------------------------------------------------------------------
 
 VALIDATION = """SELECT o.observation_id, o.contrast_id, o.answer AS original_answer, o.reasoning_tokens, n.answer AS validation_answer,

@@ -24,6 +24,17 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return fix.respond(ing.stream_files(spark, sf, schema, "parquet", "events.parquet"))
 
 
+def day_files(spark: SparkSession, sf: str, repeats: bool) -> DataFrame:
+    """The events as a stream over three days of files, a few per batch: a third of them come days late, and
+    with ``repeats`` every fifth comes again in between with another outcome and a later time."""
+    folder, events = fresh_path(spark, "days"), fix.table(spark, sf, "events")
+    again = events.where("event_id % 5 = 3").withColumns({"ts": F.col("ts") + F.expr("INTERVAL 1 DAY"), "event_type": F.when(F.col("event_type") == "error", "click").otherwise("error")})
+    days = [events.where("event_id % 3 <> 0"), again if repeats else events.limit(0), events.where("event_id % 3 = 0")]
+    for day, rows in enumerate(days, start=1):
+        rows.write.parquet(f"{folder}/day={day}")
+    return fix.respond(ing.stream_files(spark, folder + "/*", events.schema, "parquet", files_per_batch=4))
+
+
 def finished(stream) -> None:
     stream.awaitTermination()
     if stream.exception():
@@ -41,6 +52,17 @@ def _(spark, sf):
     return ing.observations(spark, target).select(*kept)
 
 
+@query(
+    "stream_once",
+    """SELECT observation_id, answer, status, contrast_id, evaluator_id, input_tokens, output_tokens FROM v_responses""",
+)
+def _(spark, sf):
+    """Over several day files, with late rows and repeats that differ: the first arrival stays."""
+    target = fresh_path(spark, "once")
+    finished(ing.start_once(day_files(spark, sf, repeats=True), target, fresh_path(spark, "once-state")))
+    return spark.read.parquet(target).select("observation_id", "answer", "status", "contrast_id", "evaluator_id", "input_tokens", "output_tokens")
+
+
 @query(
     "stream_progress",
     """SELECT strftime(date_trunc('minute', ts), '%Y-%m-%dT%H:%M:%SZ') AS window_start, evaluator_id, count(*) AS completed,
@@ -79,8 +101,8 @@ def _(spark, sf):
        FROM (SELECT *, observation_id // 6 AS unit FROM v_responses) GROUP BY ALL""",
 )
 def _(spark, sf):
-    rows = ing.parsed(event_stream(spark, sf)).withColumn("unit", F.floor(F.col("observation_id") / 6))
-    base, target = fresh_path(spark, "unit-rows"), fresh_path(spark, "unit-status")
+    rows = ing.parsed(day_files(spark, sf, repeats=False)).withColumn("unit", F.floor(F.col("observation_id") / 6))
+    target = fresh_path(spark, "unit-status")
     unit, cell = ("contrast_id", "unit"), ("evaluator_id", "instruction_condition")
-    finished(pro.start_completeness(rows, unit, cell, 6, base, target, fresh_path(spark, "unit-state")))
+    finished(pro.start_completeness(rows, unit, cell, 6, target, fresh_path(spark, "unit-state")))
     return pro.current_completeness(spark, target, unit)

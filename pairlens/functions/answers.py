@@ -66,6 +66,11 @@ def strip_emphasis(text: Column) -> Column:
 _HEDGE_PATTERN = "|".join(re.escape(marker).replace("\\ ", " ") for marker in HEDGE_MARKERS)
 
 
+def last_key_wins(df: DataFrame) -> None:
+    """Let the session's JSON parser take the last of repeated keys, as answers with a corrected choice need."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def with_choice(df: DataFrame, text: str, answer: str = "answer", error: str = "error") -> DataFrame:
     """Parse a free-text or JSON forced choice into A or B.
 
@@ -73,6 +78,7 @@ def with_choice(df: DataFrame, text: str, answer: str = "answer", error: str = "
     ``overall_quality`` (or, without that key, ``choice``) is A or B.  Otherwise a
     hedge anywhere rejects the answer, and then the letter must lead the text.
     """
+    last_key_wins(df)
     clean, doc = F.col("__clean"), F.col("__doc")
     staged = df.withColumn("__bare", strip(F.col(text)))
     staged = staged.withColumn("__clean", strip_emphasis(unfenced(F.col("__bare"))))
@@ -217,6 +223,7 @@ TIE_VALUES = ("A", "B", "tie")
 
 def with_document(df: DataFrame, text: str) -> DataFrame:
     """Add ``__doc`` (VARIANT, NULL when not JSON) and ``__fields`` (members of an object)."""
+    last_key_wins(df)
     parsed = df.withColumn("__doc", F.try_parse_json(strip_code_fence(F.col(text))))
     return parsed.withColumn("__fields", _fields(F.col("__doc")))
 

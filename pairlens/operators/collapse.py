@@ -76,13 +76,29 @@ def inventory(observations: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def last_of_each(table: DataFrame, key: str, fields: Sequence[str], order: str = "ingest_order") -> DataFrame:
+    """One row per key: the last one by ``order``, the reading position that ``readers.with_arrival`` adds.
+
+    A table without that column has no last row, so a repeated key in it is an error, never a
+    multiplied or an arbitrary row.
+    """
+    kept = F.struct(*fields)
+    if order in table.columns:
+        one = F.max_by(kept, F.col(order))
+    else:
+        repeated = F.concat(F.lit(f"{key} occurs more than once and nothing tells which row is last: "), F.col(key))
+        one = F.when(F.count("*") > 1, F.raise_error(repeated).cast(table.select(kept.alias("r")).schema["r"].dataType)).otherwise(F.max_by(kept, F.lit(1)))
+    return table.where(F.col(key).isNotNull()).groupBy(key).agg(one.alias("__r")).select(key, *[F.col(f"__r.{f}").alias(f) for f in fields])
+
+
 def with_metadata(rows: DataFrame, manifest: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Resolve trial metadata: the row's own ``trial_meta`` wins, else the manifest.
 
-    The prompt never travels along.  Adds ``has_metadata``.  ``manifest`` must be
-    unique by trial_id (see ``quality.duplicate_ids``).
+    The prompt never travels along.  Adds ``has_metadata``.  Of manifest rows with one
+    trial_id the last read wins, see :func:`last_of_each`.
     """
-    side = manifest.select("trial_id", *[F.col(f).alias(f"__m_{f}") for f in fields], F.lit(True).alias("__known"))
+    last = last_of_each(manifest, "trial_id", fields)
+    side = last.select("trial_id", *[F.col(f).alias(f"__m_{f}") for f in fields], F.lit(True).alias("__known"))
     joined = rows.join(side, "trial_id", "left")
     own = F.col("trial_meta").isNotNull() if "trial_meta" in rows.columns else F.lit(False)
     resolved = {

@@ -8,8 +8,10 @@ and no nested-loop join appears.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -450,8 +452,8 @@ def planned_observations(
 # -- corpus --------------------------------------------------------------------------------
 
 _WORD = "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE_CHARS) + "]+"
-# Lines of one hashed listing; longer corpora are hashed in two levels.
-CORPUS_LISTING_LIMIT = 100_000
+#: Lines of a piece of the corpus listing.
+LISTING_LINES = 10_000
 
 
 def corpus_profile(items: DataFrame) -> DataFrame:
@@ -463,28 +465,35 @@ def corpus_profile(items: DataFrame) -> DataFrame:
 
 
 def corpus_hash(profile: DataFrame) -> DataFrame:
-    """Hash of the ordered ``id:sha256`` listing.
+    """Hash of the ordered ``id:sha256`` listing, the same at every size.
 
-    One listing has to be hashed in sequence, so it is used only up to a fixed number
-    of lines.  Longer corpora get the hash of their bucket hashes (buckets by id
-    hash, each listed in order), which detects the same changes.
+    The listing is sorted and joined to pieces in parallel; one open hash then runs over the pieces in
+    order.  That pass is sequential by the nature of the hash, but holds one piece at a time.
     """
     line = F.concat_ws(":", "item_id", "sha256")
-    n = profile.count()
-    if n <= CORPUS_LISTING_LIMIT:
-        lines = F.array_sort(F.collect_list(F.struct(F.col("item_id").alias("i"), line.alias("l"))))
-        joined = F.array_join(F.transform(lines, lambda e: e["l"]), "\n")
-        return profile.agg(F.count("*").alias("n_items"), text_hash(joined).alias("corpus_hash"))
-    buckets = 1 << max(8, (n // 10_000).bit_length())
-    keyed = profile.select("item_id", line.alias("l"), F.pmod(F.xxhash64("item_id"), F.lit(buckets)).alias("b"))
-    inner = F.array_sort(F.collect_list(F.struct(F.col("item_id").alias("i"), F.col("l"))))
-    listed = keyed.groupBy("b").agg(
-        F.count("*").alias("k"), text_hash(F.array_join(F.transform(inner, lambda e: e["l"]), "\n")).alias("h")
-    )
-    outer = F.array_sort(F.collect_list(F.struct("b", "h")))
-    return listed.agg(
-        F.sum("k").alias("n_items"), text_hash(F.array_join(F.transform(outer, lambda e: e["h"]), "\n")).alias("corpus_hash")
-    )
+    ordered = profile.select("item_id", line.alias("line")).repartitionByRange("item_id").sortWithinPartitions("item_id")
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for at, batch in enumerate(batches):
+            lines = batch.column("line").to_pylist()
+            for lo in range(0, len(lines), LISTING_LINES):
+                some = lines[lo:lo + LISTING_LINES]
+                yield pa.RecordBatch.from_pydict({"part": [part], "at": [at], "lo": [lo], "k": [len(some)], "text": ["\n".join(some)]})
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, n = hashlib.sha256(), 0
+        for batch in batches:
+            for k, text in zip(batch.column("k").to_pylist(), batch.column("text").to_pylist()):
+                digest.update(("\n" if n else "").encode() + text.encode())
+                n += k
+        yield pa.RecordBatch.from_pydict({"n_items": [n], "corpus_hash": [digest.hexdigest()]})
+
+    listed = ordered.mapInArrow(pieces, "part long, at long, lo long, k long, text string")
+    in_order = listed.repartition(1).sortWithinPartitions("part", "at", "lo")
+    return in_order.mapInArrow(hashed, "n_items long, corpus_hash string")
 
 
 def prompt_size(profile: DataFrame, planned_calls: int) -> DataFrame:

@@ -198,11 +198,13 @@ def unit_status(
 
     A unit is complete with exactly the expected number of rows, all of them distinct
     cells and resolved.  A failed cell makes the gap terminal; a merely missing one is
-    temporary.
+    temporary.  Works on a stream too, where the distinct cells of a unit are its state.
     """
+    cells = F.struct(*cell)
+    distinct = F.size(F.collect_set(cells)).cast("bigint") if rows.isStreaming else F.count_distinct(cells)
     status = rows.groupBy(*unit).agg(
         F.count("*").alias("n_cells_present"),
-        F.count_distinct(F.struct(*cell)).alias("n_distinct_cells"),
+        distinct.alias("n_distinct_cells"),
         F.count_if(~F.coalesce(resolved, F.lit(False))).alias("n_terminally_failed"),
     )
     complete = (

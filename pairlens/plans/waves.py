@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.operators import design as ds
+from pairlens.operators import gates
 from pairlens.operators import quality as q
 from pairlens.operators import recovery as rec
 from pairlens.operators import sampling as sp
@@ -39,20 +40,29 @@ def merge(
     carry: Sequence[str],
     arrival: Sequence[str],
     require_consistent: bool = True,
+    expected_total: int | None = None,
 ) -> dict[str, DataFrame]:
     """Classify the first wave, fill its gaps, and report.
 
-    Rows need observation_id, parsing_status, recorded_answer, last_response_text.
+    Rows need observation_id, parsing_status, recorded_answer, last_response_text.  An inconsistent
+    first wave and a recovery plan outside the planned index are errors, and with ``expected_total`` so is a merge that
+    does not settle that many observations.
     """
     classified = rec.classify_rows(first_wave, planned).persist()
     if require_consistent:
         q.require_empty(consistency_violations(classified), "first wave is inconsistent")
+    identity = [c for c in ("trial_id", "replicate_number") if c in planned.columns] or ["observation_id"]
+    plan = rec.recovery_plan(planned, classified)
+    q.require_empty(gates.plan_violations(plan, planned, identity), "recovery plan leaves the planned index")
     merged = rec.merge_waves(planned, rec.valid_rows(classified), recovery, carry, arrival).persist()
+    diagnostics = rec.merge_diagnostics(planned, recovery, merged)
+    if expected_total is not None:
+        gates.require(gates.merge_complete(diagnostics, expected_total), "merged waves are incomplete")
     return {
         "class_counts": rec.class_counts(classified),
-        "recovery_plan": rec.recovery_plan(planned, classified),
+        "recovery_plan": plan,
         "merged": merged,
-        "diagnostics": rec.merge_diagnostics(planned, recovery, merged),
+        "diagnostics": diagnostics,
     }
 
 

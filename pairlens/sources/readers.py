@@ -88,7 +88,8 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_trials(spark: SparkSession, path: str) -> DataFrame:
-    return read_jsonl(spark, path, schemas.TRIALS)
+    """Manifest rows with their reading position, by which the last row of a repeated trial_id wins."""
+    return with_arrival(read_jsonl(spark, path, schemas.TRIALS))
 
 
 def read_contrasts(spark: SparkSession, path: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pairlens.functions.answers import rendered_error, with_choice
 from pairlens.functions.scalars import attempt_status
+from pairlens.sources.readers import path_exists
 
 
 def stream_files(
@@ -42,24 +43,23 @@ def parsed(rows: DataFrame) -> DataFrame:
     return result.withColumn("status", attempt_status(F.col("answer"), F.col("error")))
 
 
-def once_per_observation(rows: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """At most one row per observation id; state is bounded by the watermark.
-
-    The batch anti join on the base table stays the authority beyond that horizon.
-    """
-    return rows.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["observation_id"])
+def first_of_each(rows: DataFrame) -> DataFrame:
+    """The earliest row of each observation id (of one time the least by content); rows without an id are all kept."""
+    body = [c for c in rows.columns if c != "observation_id"]
+    order = F.struct("timestamp", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in body if c != "timestamp"])
+    first = rows.where("observation_id IS NOT NULL").groupBy("observation_id").agg(F.min_by(F.struct(*body), order).alias("__f"))
+    named = first.select("observation_id", *[F.col(f"__f.{c}").alias(c) for c in body]).select(*rows.columns)
+    return named.unionByName(rows.where("observation_id IS NULL"))
 
 
-def start_ingest(rows: DataFrame, target: str, checkpoint: str, deduplicate: bool = False) -> StreamingQuery:
+def start_ingest(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Validate and append to parquet; processes everything available, then stops.
 
-    Every row reaches the table however late it is; repeated observations are dropped when
-    it is read.  ``deduplicate`` drops them on the way instead, and with them rows that come
-    later than the watermark.
+    Every row reaches the table however late it is; repeated observations are dropped when it is read.
+    See :func:`start_once` for a table that never holds a repeat.
     """
-    validated = parsed(once_per_observation(rows) if deduplicate else rows)
     return (
-        validated.writeStream.format("parquet")
+        parsed(rows).writeStream.format("parquet")
         .option("path", target)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
@@ -68,11 +68,35 @@ def start_ingest(rows: DataFrame, target: str, checkpoint: str, deduplicate: boo
     )
 
 
+def start_once(rows: DataFrame, target: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Validate and append each observation at most once, whatever the delay of a repeat: the first to arrive stays.
+
+    The table lies in partitions by batch and by a hash bucket of the id.  A batch keeps the first row of
+    each id, and of those only ids that earlier batches have not written; it looks for them in the buckets it
+    touches, in their id column alone.  A retried batch overwrites its own partition and ignores what it wrote before.
+    """
+    bucket = F.coalesce(F.pmod(F.xxhash64("observation_id"), F.lit(buckets)), F.lit(-1)).cast("int")
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        first = first_of_each(parsed(batch)).withColumn("id_bucket", bucket).persist()
+        try:
+            if path_exists(spark, f"{target}/batch_id=*"):
+                touched = [r["id_bucket"] for r in first.select("id_bucket").distinct().collect()]  # at most one row per bucket
+                before = spark.read.parquet(target).where((F.col("batch_id") < batch_id) & F.col("id_bucket").isin(touched))
+                fresh = first.join(before.select("id_bucket", "observation_id"), ["id_bucket", "observation_id"], "left_anti")
+            else:
+                fresh = first
+            fresh.write.mode("overwrite").partitionBy("id_bucket").parquet(f"{target}/batch_id={batch_id}")
+        finally:
+            first.unpersist()
+
+    return start_batches(rows, save, checkpoint)
+
+
 def observations(spark: SparkSession, target: str) -> DataFrame:
-    """The ingested table with one row per observation (rows without an id are all kept)."""
-    rows = spark.read.parquet(target)
-    named = rows.filter("observation_id IS NOT NULL").dropDuplicates(["observation_id"])
-    return named.unionByName(rows.filter("observation_id IS NULL"))
+    """The ingested table with one row per observation, its earliest (rows without an id are all kept)."""
+    return first_of_each(spark.read.parquet(target))
 
 
 def start_updates(rows: DataFrame, target: str, checkpoint: str, output_mode: str = "update") -> StreamingQuery:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pairlens.functions.scalars import is_peak
-from pairlens.streaming.ingest import latest, start_batches
+from pairlens.operators.quality import unit_status
+from pairlens.streaming.ingest import latest, start_updates
 
 
 def _tokens(column: str):
@@ -54,28 +55,16 @@ def hourly_peak_usage(rows: DataFrame, by: Sequence[str], delay: str = "1 hour")
 
 
 def start_completeness(
-    rows: DataFrame, unit: Sequence[str], cell: Sequence[str], expected: int, base: str, target: str, checkpoint: str
+    rows: DataFrame, unit: Sequence[str], cell: Sequence[str], expected: int, target: str, checkpoint: str
 ) -> StreamingQuery:
     """Keep unit completeness current while results arrive.
 
-    Each batch lands in its own partition of ``base``; then only the units it touched
-    are recomputed from the whole of ``base`` and written to their own partition of
-    ``target``.  Both writes overwrite their partition on a retry.
+    The counts and distinct cells of a unit are the state of the stream, kept by a hash of the unit in the
+    checkpoint folder, so a batch reads its own rows and the state of the units it touches and
+    nothing that arrived before.  A unit never expires: a late row counts whenever it comes.  The
+    units of a batch go to its own partition of ``target``, which a retry overwrites.
     """
-    from pairlens.operators.quality import unit_status
-
-    unit = list(unit)
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{base}/batch_id={batch_id}")
-        landed = spark.read.parquet(f"{base}/batch_id={batch_id}")
-        seen = spark.read.parquet(base).where(F.col("batch_id") <= batch_id)
-        touched = seen.join(landed.select(*unit).distinct(), unit, "left_semi")
-        status = unit_status(touched, unit, cell, expected, F.col("status") == "valid")
-        status.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
-
-    return start_batches(rows, save, checkpoint)
+    return start_updates(unit_status(rows, unit, cell, expected, F.col("status") == "valid"), target, checkpoint)
 
 
 def current_completeness(spark: SparkSession, target: str, unit: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairlens.operators import collapse as col
+from pairlens.operators import gates
 from pairlens.operators import recovery as rec
 from pairlens.plans import waves
 from pairlens.operators.quality import GateError
@@ -91,6 +92,21 @@ def test_wave_classes_and_merge(spark):
     assert (d["planned_total"], d["first_wave_retained"], d["recovered"], d["still_unresolved"], d["ids_answered_again"]) == (7, 2, 2, 3, 1)
     assert rows_of(out["recovery_plan"], "execution_order_index", "observation_id") == [(1, "b"), (2, "c"), (3, "d"), (4, "f"), (5, "g")]
     assert not waves.completeness_violations(out["diagnostics"], 7).isEmpty()
+    with pytest.raises(GateError, match="nothing_unresolved: found 3, wanted 0"):
+        waves.merge(planned, first, again, ("recorded_answer",), ("arrival",), require_consistent=False, expected_total=7)
+    checks = {r["check_name"]: (r["found"], r["ok"]) for r in gates.wave_complete(planned, classes, 7, 7, cell="observation_id").collect()}
+    assert checks["every_answer_valid"] == (2, False) and checks["no_duplicate_answers"] == (1, False) and checks["planned_count_matches_design"] == (7, True)
+    good = wave(spark, [(i, "resolved", "A", "A", 1) for i in "abcdefg"])
+    gates.require(gates.wave_complete(planned, rec.classify_rows(good, planned), 7, 7, cell="observation_id"), "wave")
+    assert waves.merge(planned, good, again, ("recorded_answer",), ("arrival",), expected_total=7)["merged"].count() == 7
+
+
+def test_recovery_plans_outside_the_planned_index(spark):
+    schema = "observation_id string, trial_id string, replicate_number long"
+    planned = spark.createDataFrame([("a", "t", 1), ("b", "t", 2), ("c", "u", None)], schema)
+    plan = spark.createDataFrame([("a", "t", 1), ("a", "t", 1), ("b", "t", 3), ("x", "t", 1), (None, "t", 1), ("c", "u", None)], schema)
+    assert rows_of(gates.plan_violations(plan, planned), "observation_id", "violation") == sorted([("a", "repeated"), ("b", "other_identity"), ("x", "not_planned"), (None, "not_planned")], key=repr)
+    assert gates.plan_violations(planned, planned).isEmpty()
 
 
 def test_validation_report(spark):

@@ -46,8 +46,27 @@ def test_completeness_over_many_batches_equals_batch(spark):
 
     rows, stream = daily_files(spark)
     unit, cell = ("contrast_id", "evaluator_id"), ("observation_id",)
-    base, target = fresh_path(spark, "base"), fresh_path(spark, "status")
-    pro.start_completeness(ing.parsed(stream), unit, cell, 40, base, target, fresh_path(spark, "state")).awaitTermination()
+    target = fresh_path(spark, "status")
+    query = pro.start_completeness(ing.parsed(stream), unit, cell, 40, target, fresh_path(spark, "state"))
+    query.awaitTermination()
+    read = [p["numInputRows"] for p in query.recentProgress]
+    assert len(read) > 1 and sum(read) == rows.count()  # every batch reads its own rows and nothing else
     want = unit_status(ing.parsed(rows), unit, cell, 40, F.col("status") == "valid")
     columns = (*unit, "n_cells_present", "n_terminally_failed", "complete", "reason")
     assert rows_of(pro.current_completeness(spark, target, unit), *columns) == rows_of(want, *columns)
+
+
+def test_each_observation_once_and_the_first_stays(spark):
+    rows = fix.responses(spark, SF).where("observation_id < 300")
+    later = rows.where("observation_id % 4 = 1").withColumns({"response_text": F.lit("Passage B"), "timestamp": F.col("timestamp") - F.expr("INTERVAL 9 DAYS")})
+    nameless = rows.where("observation_id < 3").withColumn("observation_id", F.lit(None).cast("bigint"))
+    path, target, state = fresh_path(spark, "parts"), fresh_path(spark, "once"), fresh_path(spark, "state")
+    for part, piece in enumerate([rows.where("observation_id < 200"), later.unionByName(nameless), rows.where("observation_id >= 100").unionByName(nameless)]):
+        piece.coalesce(1).write.json(f"{path}/part={part}")
+        stream = ing.stream_files(spark, path + "/*", rows.schema, files_per_batch=1)
+        ing.start_once(stream, target, state, buckets=8).awaitTermination()  # stopped and started again between the parts
+    got = spark.read.parquet(target)
+    assert got.where("observation_id IS NOT NULL").count() == 300 and got.where("observation_id IS NULL").count() == 6
+    columns = ("observation_id", "answer", "status")
+    first = rows.where("observation_id < 200 OR observation_id % 4 <> 1").unionByName(later.where("observation_id >= 200"))
+    assert rows_of(got.where("observation_id IS NOT NULL"), *columns) == rows_of(ing.parsed(first), *columns)
