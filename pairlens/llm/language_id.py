@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from pairlens.llm.textbatch import Texts, over_texts, quoted
 
+#: Rows of a label that are always taken, and characters of a training text.
+LABEL_ROWS, EXCERPT = 8, 1024
 SAMPLE_ROWS = 2_000
 WINDOW = 128
 WIDTH = 8
@@ -183,13 +185,18 @@ def train(windows: list[bytes], labels: np.ndarray, languages: int, steps: int =
 
 
 def balanced(rows: DataFrame, key: str, rows_wanted: int) -> DataFrame:
-    """About ``rows_wanted`` rows at most, as many of each ``__label`` as there are; chosen by a hash of ``key``."""
-    counts = {r["__label"]: r["n"] for r in rows.groupBy("__label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "__label").limit(64).collect()}
+    """About ``rows_wanted`` rows, as many of each ``__label`` as there are, but :data:`LABEL_ROWS` of each at least; chosen by a hash of ``key``.
+
+    Every label is kept, however many there are; their counts (one number per label) come to the driver.
+    """
+    counts = {r["__label"]: r["n"] for r in rows.groupBy("__label").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return rows.limit(0)
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, rows_wanted / len(counts) / n))])
+    wanted = max(rows_wanted / len(counts), LABEL_ROWS)
+    # a rare label's rows are all taken, so that a hash cannot miss it
+    part = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, 1.0 if n <= 4 * LABEL_ROWS else min(1.0, wanted / n))])
     u = F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
-    return rows.filter(F.col("__label").isin(list(counts))).filter(u < share[F.col("__label")])
+    return rows.filter(u < part[F.col("__label")])
 
 
 def excerpts(rows: DataFrame, key: str, rows_wanted: int, size: int) -> list:
@@ -202,11 +209,13 @@ def excerpts(rows: DataFrame, key: str, rows_wanted: int, size: int) -> list:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS):
     """(network, languages) from rows of ``docs`` with a text and a language; None without such rows.
 
-    ``sample_rows`` bounds the rows that reach the driver; of each an excerpt is used for training.
+    About ``sample_rows`` rows reach the driver, more only where there are so many languages that
+    :data:`LABEL_ROWS` of each need them; of each an excerpt of :data:`EXCERPT` characters is used for training.
     """
     rows = docs.select(F.col(quoted(id_col)).alias("__key"), F.col(quoted(text_col)).alias("__text"), F.col(quoted(lang_col)).cast("string").alias("__label"))
     usable = rows.filter("__label IS NOT NULL").filter(F.col("__text").rlike(r"\p{L}"))
-    sample = excerpts(balanced(usable, "__key", sample_rows), "__key", sample_rows, 1024)
+    # the chosen rows are few; the limit only guards against ids that repeat without end
+    sample = excerpts(balanced(usable, "__key", sample_rows), "__key", 16 * sample_rows, EXCERPT)
     if not sample:
         return None
     languages = sorted({r["__label"] for r in sample})

@@ -2,10 +2,10 @@
 
 A classifier learned from a table of labelled documents gives every document a posterior over
 the domains; nothing is assigned to one domain outright.  A document d with t_d tokens then
-holds t_d·p(k|d) expected tokens of domain k.  Newton steps on the dual fit nonnegative rates
-r_d (how often d is read in an epoch) so that the expected totals Σ r_d·t_d·p(k|d) meet the
-targets.  A step needs a few sums over all documents; a rate follows from one multiplier per
-domain, so no rate vector is gathered or rewritten.
+holds t_d·p(k|d) expected tokens of domain k.  Projected-gradient least squares fits rates r_d
+(how often d is read in an epoch), none below 0 or above the repeats that an epoch allows, so that
+the expected totals Σ r_d·t_d·p(k|d) meet the targets.  A step needs a few sums over all
+documents; the rates are a column of a written table, none is gathered.
 
 The classifier is naive Bayes over hashed lower-cased words, its per-bucket scores a table of
 ``buckets`` rows, softened by a temperature that held-out labelled rows choose.  Everything is DataFrame and SQL functions.
@@ -23,6 +23,10 @@ from pairlens.llm.components import stored
 from pairlens.llm.textbatch import quoted
 
 BUCKETS = 65_536
+#: Most repeats of a document in an epoch, and most steps of the fit.
+MOST, STEPS = 4.0, 100
+#: About so many labelled rows, chosen by a hash of their id, teach the classifier.
+LABELLED_ROWS = 20_000
 #: Score tables up to this size are broadcast, larger ones joined by bucket.
 BROADCAST_BYTES = 32 << 20
 #: One labelled text in so many, by a hash of the text, is held out to fit the temperature.
@@ -46,17 +50,22 @@ def _exploded(rows: DataFrame, buckets: int, keys: list[str]) -> DataFrame:
     return lists.select(*keys, "kind", F.explode_outer("ws").alias("w")).withColumn("bucket", _bucket(F.col("w"), buckets))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", domain_col: str = "domain", buckets: int = BUCKETS) -> tuple | None:
-    """(domains, per-bucket scores, log priors, temperature) from all labelled rows; None without any.
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", domain_col: str = "domain", buckets: int = BUCKETS, labelled_rows: int = LABELLED_ROWS) -> tuple | None:
+    """(domains, per-bucket scores, log priors, temperature) from about ``labelled_rows`` labelled rows, all if there are no more; None without any.
 
-    ``labels`` has an id and a domain; a document with several labels counts for the smallest.  The
+    The rows are those whose id has a hash below a bound, so their ids are few enough to go to the texts and no
+    other text moves.  ``labels`` has an id and a domain; a document with several labels counts for the smallest.  The
     temperature has the best likelihood on held-out labelled texts, scored by the others' counts; equal
     texts are on one side.  When either side is empty it is fitted on all labelled rows.
     """
     marks = labels.select(F.col(quoted(label_id_col)).alias("__id"), F.col(quoted(domain_col)).cast("string").alias("__domain")).dropna().groupBy("__id").agg(F.min("__domain").alias("__domain"))
     text = F.col(quoted(text_col))
     held = F.pmod(F.xxhash64(text, F.lit(41)), F.lit(HELD_OUT)) == 0
-    rows = docs.select(F.col(quoted(id_col)).alias("__id"), text.alias("__text"), held.alias("__held")).join(marks, "__id")
+    marks = stored(marks, "mixing-marks")
+    part = min(1.0, labelled_rows / max(1, marks.count()))
+    marks = marks.filter(F.pmod(F.xxhash64("__id", F.lit(43)), F.lit(1 << 30)) < round(part * (1 << 30)))
+    rows = docs.select(F.col(quoted(id_col)).alias("__id"), text.alias("__text"), held.alias("__held")).join(F.broadcast(marks), "__id")
+    rows = stored(rows, "mixing-rows")
     counts = stored(_exploded(rows, buckets, ["__domain", "__held"]).filter("w IS NOT NULL").groupBy("__domain", "__held", "kind", "bucket").agg(F.count("*").alias("n")), "mixing-counts")
     groups = {(r["__domain"], r["__held"]): r["n"] for r in rows.groupBy("__domain", "__held").agg(F.count("*").alias("n")).collect()}  # two rows per domain
     if not groups:
@@ -125,106 +134,85 @@ def posteriors(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "
     )
 
 
-def _rate(slope: list[float], drift: float, least: float) -> Column:
-    """A document's rate for the multipliers ``slope`` of the domains; 1 without tokens."""
-    return F.when(F.col("tokens") > 0, F.greatest(F.lit(least), 1 - _slope(slope, drift))).otherwise(1.0)
+def _slope(at: list[float], drift: float) -> Column:
+    return sum((F.col("p")[i] * x for i, x in enumerate(at)), F.lit(-drift))
 
 
-def _slope(slope: list[float], drift: float) -> Column:
-    return sum((F.col("p")[i] * x for i, x in enumerate(slope)), F.lit(-drift))
-
-
-def fit_rates(soft: DataFrame, targets: list[float], tolerance: float = 1e-4, grow: bool = True, least: float = 0.0) -> tuple[DataFrame, list[dict]]:
+def fit_rates(soft: DataFrame, targets: list[float], tolerance: float = 1e-4, least: float = 0.0, most: float = MOST, free: bool = False, steps: int = STEPS) -> tuple[DataFrame, list[dict]]:
     """Rates for the posteriors ``soft``; returns them with the history of totals.
 
-    ``targets`` are the wanted shares of tokens by domain.  With ``grow`` the epoch becomes as long as
-    needed for no domain to shrink (documents are repeated rather than dropped), else it keeps its
-    length.  No rate is below ``least``; where that is above 0, an epoch that may grow has the length that
-    the rates give it, only its shares are fitted.  Of all rates that meet the targets those with the
-    least Σ t_d·(r_d - 1)² are taken: r_d is max(least, 1 - v_d·λ) with a multiplier λ per domain, v_d the
-    posteriors (less the wanted shares where the length is free).  Newton steps with line search on the
-    dual find λ.  A step's matrix is that of the documents whose rate is above the bound at that step;
-    a small penalty on λ, lowered until the targets are met, keeps it solvable.
+    ``targets`` are the wanted shares of tokens by domain.  Projected gradient descent minimises the
+    squared distance of the expected domain totals from the wanted ones over rates in [``least``, ``most``], from
+    rates of 1.  The epoch keeps its length, or with ``free`` gets the one that the rates give it and only
+    its shares are fitted.  The gradient of a document's rate per token is its posteriors times the totals'
+    distances, so a pass gathers a few sums per domain and the rates stay a stored column.  The gradient is scaled by the
+    matrix Σ t_d·v_d·v_d' of the documents that can still move (those at a bound that it would push
+    beyond stand still); a step is halved until the distance falls.
 
     The last entry of the history has ``gap``, the largest difference from a wanted total as a share of
-    the epoch, and ``status``: ``met`` (gap within ``tolerance``), ``infeasible`` (a plane through the
-    targets has all posteriors on one side, so no rates meet them) or ``open`` (neither could be shown).
+    the epoch, and ``status``: ``met`` (gap within ``tolerance``), ``bounded`` (no step within the bounds brings the
+    totals nearer), ``infeasible`` (bounded, and a plane through the targets has all posteriors on
+    one side, so no rates meet them) or ``open`` (``steps`` were not enough).
     """
     k = len(targets)
-    soft = stored(soft, "mixing-soft")
-    first = soft.agg(*[F.coalesce(F.sum(F.col("p")[i] * F.col("tokens")), F.lit(0.0)).alias(f"a{i}") for i in range(k)]).first()
-    have = [first[f"a{i}"] for i in range(k)]
-    total = sum(have)
     shares = [t / sum(targets) for t in targets]
-    length = max([total, *(have[i] / shares[i] for i in range(k) if shares[i] > 0 and have[i] > 0)]) if grow else total
-    free = grow and least > 0
+    tokens, rate = F.col("tokens"), F.col("rate")
+    start = F.when(tokens > 0, F.lit(min(most, max(least, 1.0)))).otherwise(1.0)
+    state = stored(soft.withColumn("rate", start), "mixing-soft")
+    total = state.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    if total == 0:
+        return state, [{"step": 0, "totals": [0.0] * k, "length": 0.0, "gap": 0.0, "status": "met"}]
     middle = shares if free else [0.0] * k
 
-    def drift(at: list[float]) -> float:
-        return _dot(at, middle)
-
-    def look(at: list[float]) -> dict:
-        """Totals, dual value and curvature at the multipliers ``at``, in one pass."""
-        x, tokens = _slope(at, drift(at)), F.col("tokens")
-        rate, v = F.greatest(F.lit(least), 1 - x), [F.col("p")[i] - middle[i] for i in range(k)]
-        moving = F.when(1 - x >= least, tokens).otherwise(0.0)
-        row = soft.agg(
-            F.sum(tokens * F.when(1 - x >= least, (1 - x) * (1 - x) / 2).otherwise(least * (1 - x) - least * least / 2)).alias("value"), *[F.sum(rate * tokens * F.col("p")[i]).alias(f"a{i}") for i in range(k)],
-            *[F.sum(moving * v[i] * v[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)],
-        ).first()
-        totals = [row[f"a{i}"] for i in range(k)]
-        size = sum(totals) if free else length
-        return {
-            "at": at, "totals": totals, "length": size, "gap": [totals[i] - shares[i] * size for i in range(k)], "value": row["value"] + (0.0 if free else length * _dot(at, shares)),
-            "gram": [[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)],
-        }
-
-    def separated(gap: list[float]) -> bool:
-        """Whether every posterior lies on the far side of the plane through the targets with this normal."""
-        over = soft.filter("tokens > 0").agg(F.min(_slope(gap, _dot(gap, shares))).alias("m")).first()["m"]
-        return over > 1e-9 * max(map(abs, gap))
+    def moved(at: list[float], size: float) -> Column:
+        step = rate - size * _slope(at, _dot(at, middle))
+        return F.when(tokens > 0, F.least(F.greatest(step, F.lit(float(least))), F.lit(float(most)))).otherwise(1.0)
 
-    if total == 0:
-        return soft.withColumn("rate", F.lit(1.0)), [{"step": 0, "totals": have, "gap": 0.0, "status": "met"}]
-    now = look([0.0] * k)
-    history = [{"step": 0, "totals": have}]
-    penalty, status = 1e-3 * total, "open"
-    while True:
-        worst = max(map(abs, now["gap"]))
+    def look(rates: Column) -> dict:
+        """Totals and distances under the rates."""
+        row = state.agg(*[F.sum(rates * tokens * F.col("p")[i]).alias(f"a{i}") for i in range(k)]).first()
+        totals = [row[f"a{i}"] for i in range(k)]
+        size = sum(totals) if free else total
+        return {"totals": totals, "length": size, "off": [totals[i] - shares[i] * size for i in range(k)]}
+
+    def movable(off: list[float]) -> list[list[float]]:
+        """The matrix of the documents that the gradient moves inside the bounds."""
+        up = _slope(off, _dot(off, middle))
+        inside = (tokens > 0) & ~((rate <= least) & (up > 0)) & ~((rate >= most) & (up < 0))
+        v = [F.col("p")[i] - middle[i] for i in range(k)]
+        row = state.filter(inside).agg(*[F.coalesce(F.sum(tokens * v[i] * v[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+        return [[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]
+
+    now, status = look(rate), "open"
+    history = [{"step": 0, "totals": now["totals"]}]
+    while len(history) <= steps:
+        worst = max(map(abs, now["off"]))
         if worst <= tolerance * now["length"]:
             status = "met"
             break
-        now = _descend(look, now, penalty, 0.1 * tolerance * total, history)
-        worst = max(map(abs, now["gap"]))
-        if worst > tolerance * now["length"]:
-            if separated(now["gap"]):
-                status = "infeasible"
-                break
-            if penalty < 1e-14 * total:
-                break
-            penalty *= max(1e-3, min(0.1, 0.3 * tolerance * now["length"] / worst))
-    history[-1] |= {"gap": max(map(abs, now["gap"])) / now["length"], "status": status}
-    return soft.withColumn("rate", _rate(now["at"], drift(now["at"]), least)), history
-
-
-def _descend(look, now: dict, penalty: float, enough: float, history: list[dict]) -> dict:
-    """Newton steps from ``now`` to the dual's least value under ``penalty``, or as far as numbers allow."""
-    value = lambda s: s["value"] + penalty * _dot(s["at"], s["at"]) / 2
-    while True:
-        fall = [g - penalty * x for g, x in zip(now["gap"], now["at"])]
-        if max(map(abs, fall)) <= enough:
-            return now
-        step = _solve(now["gram"], fall, penalty)
-        size = 1.0
-        while size > 1e-9:
-            then = look([x + size * d for x, d in zip(now["at"], step)])
-            if value(then) < value(now) - 1e-4 * size * _dot(fall, step):
+        gram = movable(now["off"])
+        scale = sum(gram[i][i] for i in range(k))
+        if scale <= 1e-12 * total:
+            status = "bounded"
+            break
+        at, size = _solve(gram, now["off"], 1e-9 * scale), 1.0
+        while size > 1e-4:
+            then = look(moved(at, size))
+            if _dot(then["off"], then["off"]) < (1 - 1e-3 * size) * _dot(now["off"], now["off"]):
                 break
             size /= 4
         else:
-            return now
-        now = then
+            status = "bounded"
+            break
+        state, now = stored(state.withColumn("rate", moved(at, size)), "mixing-soft"), then
         history.append({"step": len(history), "totals": now["totals"]})
+    if status == "bounded":
+        off = now["off"]
+        over = state.filter("tokens > 0").agg(F.min(_slope(off, _dot(off, shares))).alias("m")).first()["m"]
+        if over > 1e-9 * max(map(abs, off)):
+            status = "infeasible"
+    history[-1] |= {"length": now["length"], "gap": max(map(abs, now["off"])) / now["length"], "status": status}
+    return state, history
 
 
 def _dot(a: list[float], b: list[float]) -> float:
@@ -245,11 +233,12 @@ def _solve(gram: list[list[float]], gap: list[float], ridge: float) -> list[floa
     return [a[i][n] / a[i][i] for i in range(n)]
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", domain_col: str = "domain", grow: bool = True, least: float = 0.0) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", domain_col: str = "domain", least: float = 0.0, most: float = MOST, free: bool = False) -> DataFrame:
     """Per document id: ``doc_id``, ``n_tokens``, one ``p_<domain>`` each, ``rate``, ``copies``, ``gap``.
 
     ``copies`` rounds the rate up or down by a hash of the id, so that its mean is the rate; with
-    ``least`` 1 every document has a copy.  ``gap``, the
+    ``least`` 1 every document has a copy, and none has more than ``most`` (rounded up).  The copies' tokens are about
+    those of the documents, or with ``free`` at most ``most`` times as many.  ``gap``, the
     same in every row, is how far the rates stay from the targets (see :func:`fit_rates`); a warning is given
     when that is more than the tolerance.  Defined cases: a null or wordless text has no tokens, the prior posteriors and rate 1; rows that share an id
     are one document with all their words; a null id is one document; domains without a target keep the
@@ -265,7 +254,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: s
     left = max(0.0, 1 - sum(given.values()))
     rest = {d: math.exp(priors[i]) for i, d in enumerate(domains) if d not in given}
     shares = [given[d] if d in given else left * rest[d] / sum(rest.values()) for d in domains]
-    rated, history = fit_rates(posteriors(docs, model, id_col, text_col), shares if sum(shares) > 0 else [1.0] * len(domains), grow=grow, least=least)
+    rated, history = fit_rates(posteriors(docs, model, id_col, text_col), shares if sum(shares) > 0 else [1.0] * len(domains), least=least, most=most, free=free)
     end = history[-1]
     if end["status"] != "met":
         warnings.warn(f"mixture targets not met ({end['status']}): largest gap {end['gap']:.4f} of the epoch's tokens, totals {dict(zip(domains, end['totals']))}", stacklevel=2)

@@ -179,11 +179,11 @@ def test_mixing_meets_targets(docs, none, spark):
     table = spark.createDataFrame([(i, ("alpha beta " if i % 4 else "GAMMA!! DELTA!! ") * (2 + i % 7)) for i in range(200)], "doc_id long, text string")
     marks = spark.createDataFrame([(i, "low" if i % 4 == 0 else "high") for i in range(0, 200, 3)], "doc_id long, domain string")
     soft = mixing.posteriors(table, mixing.learn(table, marks))
-    for grow in (True, False):
-        rated, history = mixing.fit_rates(soft, [0.5, 0.5], grow=grow)
+    for free in (True, False):
+        rated, history = mixing.fit_rates(soft, [0.5, 0.5], free=free)
         have = history[-1]["totals"]
         assert abs(have[0] - have[1]) < 0.01 * sum(have) and rated.filter("rate < 0").count() == 0
-    assert {r.copies >= 1 for r in mixing.mix(table, marks, {"high": 0.5, "low": 0.5}).collect()} == {True}
+    assert {r.copies >= 1 for r in mixing.mix(table, marks, {"high": 0.5, "low": 0.5}, least=1.0, free=True).collect()} == {True}
     assert mixing.mix(docs, marks.limit(0), {"high": 1.0}).filter("rate <> 1").count() == 0
     assert mixing.mix(none, marks, {"high": 1.0}).count() == 0
 

@@ -3,8 +3,10 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from pairlens.llm import mixing, queries, warc_revisit
+from pairlens.llm import language_id, mixing, queries, warc_revisit
 
 
 def soft_rows(spark, n=400, seed=4):
@@ -24,7 +26,7 @@ def shares_of(rows, of="rate"):
 
 def test_overlapping_domains_meet_production_targets(spark):
     targets = list(queries.TARGETS.values())
-    rated, history = mixing.fit_rates(soft_rows(spark), targets)
+    rated, history = mixing.fit_rates(soft_rows(spark), targets, most=np.inf)
     rows = rated.collect()
     assert np.abs(shares_of(rows) - targets).max() < 2e-4
     assert history[-1]["status"] == "met" and history[-1]["gap"] <= 1e-4
@@ -33,18 +35,54 @@ def test_overlapping_domains_meet_production_targets(spark):
 
 def test_targets_beyond_all_posteriors_are_reported(spark):
     flat = spark.createDataFrame([(i, 10 + i, [0.7 + 0.001 * i, 0.2 - 0.001 * i, 0.1]) for i in range(50)], "__id long, tokens long, p array<double>")
-    end = mixing.fit_rates(flat, [0.1, 0.1, 0.8])[1][-1]
+    end = mixing.fit_rates(flat, [0.1, 0.1, 0.8], most=np.inf)[1][-1]
     assert end["status"] == "infeasible" and end["gap"] > 0.1
 
 
 def test_keep_all_mixture_meets_targets_without_a_clamp(spark):
     targets = list(queries.TARGETS.values())
-    rated, history = mixing.fit_rates(soft_rows(spark), targets, least=1.0)
+    rated, history = mixing.fit_rates(soft_rows(spark), targets, least=1.0, most=np.inf, free=True)
     rows = rated.collect()
     assert min(r.rate for r in rows) >= 1 and history[-1]["status"] == "met"
     assert np.abs(shares_of(rows) - targets).max() < 2e-4
 
 
+def nearest(p, tokens, targets, least, most, free, steps=60_000):
+    """The least distance of the domain totals from the targets, by plain projected gradient steps in numpy."""
+    shares, total = np.array(targets) / sum(targets), tokens.sum()
+    v = p - shares if free else p
+    goal = np.zeros(len(shares)) if free else shares * total
+    rates, step = np.clip(np.ones(len(tokens)), least, most), 1 / np.linalg.eigvalsh((v * tokens[:, None]).T @ v)[-1]
+    for _ in range(steps):
+        rates = np.clip(rates - step * (v @ ((rates * tokens) @ v - goal)), least, most)
+    return np.linalg.norm((rates * tokens) @ v - goal) / total
+
+
+@pytest.mark.parametrize("least, most, free", [(0.0, 1.5, False), (1.0, 2.0, True), (0.0, 4.0, False), (0.5, 3.0, True)])
+def test_bounded_rates_are_the_nearest(spark, least, most, free):
+    rows = [r for r in soft_rows(spark, n=120, seed=9).collect() if r.tokens]
+    p, tokens = np.array([r.p for r in rows]), np.array([r.tokens for r in rows], float)
+    targets = [0.8, 0.1, 0.1] if most == 4.0 else list(queries.TARGETS.values())
+    rated, history = mixing.fit_rates(spark.createDataFrame(rows), targets, tolerance=1e-6, least=least, most=most, free=free)
+    got = np.array([r.rate for r in rated.collect()])
+    assert got.min() >= least - 1e-12 and got.max() <= most + 1e-12
+    end, shares = history[-1], np.array(targets) / sum(targets)
+    off = np.array(end["totals"]) - shares * (sum(end["totals"]) if free else tokens.sum())
+    assert np.linalg.norm(off) / tokens.sum() == pytest.approx(nearest(p, tokens, targets, least, most, free), abs=2e-4)
+    assert end["status"] in ("met", "bounded", "infeasible") and (end["status"] == "met") == (end["gap"] <= 1e-6)
+
+
+def test_one_short_extreme_text_does_not_take_the_epoch(spark):
+    """Most documents lean to one domain; the only text that leans far to the other one is four words long."""
+    rows = [(i, 200 + i % 50, [0.75, 0.25]) for i in range(300)] + [(999, 4, [0.0001, 0.9999])]
+    soft = spark.createDataFrame(rows, "__id long, tokens long, p array<double>")
+    for least, free in ((0.0, False), (1.0, True)):
+        rated, history = mixing.fit_rates(soft, [0.5, 0.5], least=least, free=free)
+        got = rated.collect()
+        assert max(r.rate for r in got) <= mixing.MOST and history[-1]["status"] == "bounded" and history[-1]["gap"] > 0.1
+        assert sum(r.rate * r.tokens for r in got) <= mixing.MOST * sum(r[1] for r in rows)
+
+
 def test_a_few_telling_words_in_a_long_text_are_recognised(spark):
     rng = np.random.default_rng(2)
     common, marked = [f"word{i}ing" for i in range(300)], ["grulk", "Vorst", "mibble"]
@@ -69,6 +107,29 @@ def test_language_stage_keeps_texts_with_letters_when_nothing_is_labelled(spark)
     assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()) == [1, 4]
 
 
+def test_pipeline_mixture_is_bounded_and_versions_of_an_id_stay(spark, tmp_path):
+    common = [f"word{i}" for i in range(60)]
+    rows = [(i, " ".join(common[(i + k) % 60] for k in range(30)) + (" grulk vorst mibble" if i % 6 == 0 else "") + f" end{i}", "en") for i in range(90)]
+    docs = spark.createDataFrame([(i, t, lang, "k") for i, t, lang in rows] + [(95, None, None, "k"), (None, "no id", "en", "k")], "doc_id long, text string, lang string, kept string")
+    marks = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(90)], "doc_id long, quality int, toxic int")
+    marks.write.parquet(str(tmp_path / "labels.parquet"))
+    mixed = corpus_pipeline.mixture(spark, docs, str(tmp_path))
+    assert mixed.columns == docs.columns
+    copies = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert set(copies) == {*range(90), 95, None} and max(copies.values()) <= corpus_pipeline.REPEATS and min(copies.values()) >= 1
+    assert corpus_pipeline.mixture(spark, docs.limit(0), str(tmp_path)).count() == 0
+    two = spark.createDataFrame([(1, "one text of some words here", "a"), (1, "quite another text than that one", "b"), (1, "one text of some words here", "a0"), (2, "one text of some words here", "c")], "doc_id long, text string, source string")
+    kept = corpus_pipeline.near_duplicates(spark, two, "")
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, "one text of some words here", "a"), (1, "quite another text than that one", "b")]
+
+
+def test_all_of_many_languages_are_learned(spark):
+    names = [f"l{i:02d}" for i in range(70)]
+    docs = spark.createDataFrame([(i, f"text {names[i % 70]} " * 3, names[i % 70]) for i in range(70 * 12)] + [(9999, "single", "rare")], "doc_id long, text string, lang string")
+    chosen = language_id.balanced(docs.select(F.col("doc_id").alias("__key"), F.col("text").alias("__text"), F.col("lang").alias("__label")), "__key", 140)
+    assert {r["__label"] for r in chosen.select("__label").distinct().collect()} == {*names, "rare"}
+
+
 def test_every_page_sends_a_revisit(spark):
     pages = spark.createDataFrame([(i, f"http://a.org/{i}", "x") for i in range(30)], "page_id long, url string, html string")
     got = warc_revisit.resolve(warc_revisit.records_of_pages(pages)).collect()
