@@ -19,6 +19,8 @@ from pairlens.session import fresh_path
 
 #: No SQL: the first stage is a trained network.
 ORACLE_SQL = None
+#: Most copies of a document in the mixture's epoch.
+REPEATS = 2.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +37,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (its smallest id), once."""
+    """One document of each group of near duplicates (its smallest id), each version of it once.
+
+    Rows of one id with different texts are versions and stay together; of rows with the same id and text
+    the first by the other columns stays.  Documents without an id stay.
+    """
     kept = stored(minhash_dedup.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "kept")
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("__n", F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id")))
+    others = [F.col(quoted(c)) for c in docs.columns if c not in ("doc_id", "text")]
+    first = F.row_number().over(W.partitionBy("doc_id", "text").orderBy(*(others or [F.lit(0)])))
+    named = docs.join(kept, "doc_id", "left_semi").withColumn("__n", first)
     return named.filter("__n = 1").select(*map(quoted, docs.columns)).unionByName(docs.filter("doc_id IS NULL"))
 
 
@@ -48,8 +56,12 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights ask; none is dropped, scarce domains repeat."""
-    rates = mixing.mix(docs, domains_of(table(spark, sf_dir, "labels")), TARGETS, least=1.0).select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
+    """Documents as often as the target weights ask: each once at least and :data:`REPEATS` times at most.
+
+    Where that bound keeps the targets out of reach, the nearest shares within it are taken and a warning says so.
+    """
+    labels = domains_of(table(spark, sf_dir, "labels"))
+    rates = mixing.mix(docs, labels, TARGETS, least=1.0, most=REPEATS, free=True).select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
     return docs.join(rates, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*map(quoted, docs.columns))
 
 
