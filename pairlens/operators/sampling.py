@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairlens.functions.common import null_safe_join, order_hash
 from pairlens.operators.ordering import indexed_by_hash, numbered, running_total
-from pairlens.session import ensure_checkpoint_dir, hold
+from pairlens.session import ensure_checkpoint_dir
 
 
 def select_rows(
@@ -80,7 +80,10 @@ def allocation(rows: DataFrame, strata: Sequence[str], size: int) -> DataFrame:
 
     Works on one row per stratum (largest remainder; ties by stratum).
     """
-    counts = rows.groupBy(*strata).agg(F.count("*").alias("n"))
+    return _seats(rows.groupBy(*strata).agg(F.count("*").alias("n")), strata, size)
+
+
+def _seats(counts: DataFrame, strata: Sequence[str], size: int) -> DataFrame:
     every = Window.partitionBy(F.lit(0))
     exact = F.col("n") * F.lit(size) / F.sum("n").over(every)
     shares = counts.withColumn("__raw", exact).withColumns(
@@ -96,13 +99,28 @@ def allocation(rows: DataFrame, strata: Sequence[str], size: int) -> DataFrame:
     return ranked.select(*strata, "n", F.least(seats, F.col("n")).alias("seats"))
 
 
+#: Hexadecimal digits of the hash that the histogram of a stratum tells apart.
+CUT_DIGITS = 3
+
+
 def stratified_sample(rows: DataFrame, strata: Sequence[str], size: int, seed: int, identifier: str) -> DataFrame:
-    """Reproducible proportional sample of exactly min(size, rows) rows."""
-    hashed = rows.withColumn("__h", order_hash(seed, F.col(identifier)))
-    hashed = hold(hashed)
-    ranked = numbered(hashed, strata, ["__h", identifier], F.substring("__h", 1, 2), "__place")
-    seated = null_safe_join(ranked, allocation(hashed, strata, size), strata)
-    return seated.where("__place <= seats").drop("__h", "__place", "n", "seats")
+    """Reproducible proportional sample of exactly min(size, rows) rows, in two scans of the input.
+
+    The first counts the rows of each stratum by the leading digits of their hash.  The digits at which a
+    stratum's seats run out are its cut-off; the second scan keeps the rows up to it, and only they are
+    moved and numbered, those on the cut-off itself to fill the seats that are left.
+    """
+    hashed = rows.withColumn("__h", order_hash(seed, F.col(identifier))).withColumn("__bin", F.substring("__h", 1, CUT_DIGITS))
+    bins = hashed.groupBy(*strata, "__bin").agg(F.count("*").alias("__k"))
+    seats = _seats(bins.groupBy(*strata).agg(F.sum("__k").alias("n")), strata, size)
+    before = Window.partitionBy(*strata).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    counted = null_safe_join(bins.withColumn("__before", F.coalesce(F.sum("__k").over(before), F.lit(0))), seats, strata)
+    reached = (F.col("__before") < F.col("seats")) & (F.col("__before") + F.col("__k") >= F.col("seats"))
+    cuts = counted.where(reached).select(*strata, F.col("__bin").alias("__cut"), (F.col("seats") - F.col("__before")).alias("__free"))
+    near = null_safe_join(hashed, cuts, strata).where("__bin <= __cut")
+    place = F.row_number().over(Window.partitionBy(*strata, "__bin").orderBy("__h", identifier))
+    chosen = near.withColumn("__place", place).where("__bin < __cut OR __place <= __free")
+    return chosen.drop("__h", "__bin", "__cut", "__free", "__place")
 
 
 # -- packing -------------------------------------------------------------------------------
