@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pairlens.contract.registry import query
 from pairlens.functions.common import rounded
 from pairlens.operators import effects as fx
+from pairlens.session import fresh_path
 from pairlens.sources import fixtures as fix
+from pairlens.sources import writers
 
 V2 = ("contrast_id", "instruction_condition")
 
@@ -316,6 +318,40 @@ def _(spark, sf):
     return present(fx.controllability_points(fx.average_effects(d_pairs(spark, sf), V2), ("contrast_id",)))
 
 
+MODEL_POINTS = """SELECT model, contrast_id, max(ate) FILTER (instruction_condition = 'matched_control') AS c, max(ate) FILTER (instruction_condition = 'text_only') AS t
+    FROM (SELECT model, contrast_id, instruction_condition, avg(((fa - la) + (fb - lb)) / 2) AS ate
+          FROM (SELECT model, contrast_id, instruction_condition, story_1_id, story_2_id,
+                       max(rate) FILTER (assignment = 'forward' AND position = 'story1_as_a') AS fa, max(rate) FILTER (assignment = 'flipped' AND position = 'story1_as_a') AS la,
+                       max(rate) FILTER (assignment = 'forward' AND position = 'story2_as_a') AS fb, max(rate) FILTER (assignment = 'flipped' AND position = 'story2_as_a') AS lb
+                FROM (SELECT model, contrast_id, instruction_condition, story_1_id, story_2_id, assignment, position, avg((chosen = story_1_id)::INTEGER) AS rate FROM v_judgements GROUP BY ALL)
+                GROUP BY ALL) WHERE fa IS NOT NULL AND la IS NOT NULL AND fb IS NOT NULL AND lb IS NOT NULL GROUP BY ALL) GROUP BY ALL"""
+
+
+@query(
+    "headline_summary",
+    f"""WITH p AS (SELECT * FROM ({MODEL_POINTS}) WHERE c IS NOT NULL AND t IS NOT NULL)
+        SELECT 'cross_model_summary' AS record, model AS evaluator_id, contrast_id, round(c, 9) + 0.0 AS ate_control, round(t, 9) + 0.0 AS ate_text_only,
+               round(abs(c) - abs(t), 9) + 0.0 AS magnitude_reduction, NULL::BIGINT AS n_listed FROM p
+        UNION ALL SELECT 'evaluator', model, NULL, NULL, NULL, NULL, count(*) FROM p GROUP BY model""",
+)
+def _(spark, sf):
+    """Written as JSON lines, one document per evaluator and one flat row per evaluator and contrast, and read back."""
+    group = ("model", *V2)
+    pairs = fx.pair_effects(fx.cell_rates(fix.judgements(spark, sf), group), group)
+    points = fx.controllability_points(fx.average_effects(pairs, group), ("model", "contrast_id")).persist()
+    models = points.select("model").distinct()
+    verdicts = points.select("model", "contrast_id").limit(0)
+    documents = writers.headline(points, verdicts, models, "model").unionByName(writers.cross_evaluator_summary(points, "model"))
+    path = fresh_path(spark, "headline")
+    writers.write_headline(documents, path)
+    schema = "record string, model string, evaluator_id string, contrast_id string, ate_control double, ate_text_only double, magnitude_reduction double, controllability_effects array<struct<contrast_id:string>>"
+    back = spark.read.schema(schema).json(path)
+    return present(back.select(
+        F.coalesce("record", F.lit("evaluator")).alias("record"), F.coalesce("evaluator_id", "model").alias("evaluator_id"), "contrast_id", "ate_control", "ate_text_only", "magnitude_reduction",
+        F.when(F.col("record").isNull(), F.size("controllability_effects").cast("bigint")).alias("n_listed"),
+    ))
+
+
 @query(
     "baseline_strength",
     """SELECT story_1_id, story_2_id, w AS baseline_wins_story1, n AS baseline_n,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.contract.effects import present
-from pairlens.contract.records import WS
+from pairlens.contract.records import WS, planned_keys
 from pairlens.contract.registry import query, view
 from pairlens.contract.views import ROW_ORDER
 from pairlens.functions import prompts as pr
@@ -322,11 +322,11 @@ def _(spark, sf):
 @query(
     "prompt_size",
     f"""SELECT round(w, 9) + 0.0 AS avg_story_word_count, round(2 * w + 60, 9) + 0.0 AS avg_prompt_word_count,
-        round((2 * w + 60) * 1.3, 9) + 0.0 AS avg_prompt_token_estimate, round((2 * w + 60) * 27720, 6) + 0.0 AS total_word_estimate,
-        round((2 * w + 60) * 1.3 * 27720, 6) + 0.0 AS total_token_estimate FROM (SELECT avg({WORDS}) AS w FROM v_docs)""",
+        round((2 * w + 60) * 1.3, 9) + 0.0 AS avg_prompt_token_estimate, round((2 * w + 60) * calls, 6) + 0.0 AS total_word_estimate,
+        round((2 * w + 60) * 1.3 * calls, 6) + 0.0 AS total_token_estimate FROM (SELECT avg({WORDS}) AS w FROM v_docs), (SELECT count(*) AS calls FROM v_planned)""",
 )
 def _(spark, sf):
-    calls = ds.planned_calls(12, 5, 2, 10, 10)
+    calls = planned_keys(spark, sf).count()  # counted from the plan, not from the design's size
     return present(ds.prompt_size(ds.corpus_profile(documents(spark, sf)), calls))
 
 

@@ -34,7 +34,7 @@ def headline(
 ) -> DataFrame:
     """One JSON document per evaluator: its counts, measures and verdicts by contrast.
 
-    Arrays hold one entry per contrast.
+    Arrays hold one entry per contrast.  Union :func:`cross_evaluator_summary` to write the flat rows beside them.
     """
 
     def listed(rows: DataFrame, name: str) -> DataFrame:
@@ -47,6 +47,12 @@ def headline(
     return joined.select(evaluator, F.to_json(F.struct(*joined.columns)).alias("document"))
 
 
+def cross_evaluator_summary(points: DataFrame, evaluator: str = "partition_id") -> DataFrame:
+    """The measures of every evaluator and contrast as flat JSON rows, named ``evaluator_id``; descriptive, never pooled."""
+    body = [F.col(c) for c in points.columns if c != evaluator]
+    return points.select(F.col(evaluator), F.to_json(F.struct(F.lit("cross_model_summary").alias("record"), F.col(evaluator).alias("evaluator_id"), *body)).alias("document"))
+
+
 def write_headline(documents: DataFrame, path: str) -> None:
     documents.select(F.col("document").alias("value")).write.mode("errorifexists").text(path)
 
