@@ -24,7 +24,9 @@ from pairlens.llm.textbatch import quoted
 
 BUCKETS = 65_536
 #: Most repeats of a document in an epoch, and most steps of the fit.
-MOST, STEPS = 4.0, 100
+MOST, STEPS = 4.0, 25
+#: Step sizes tried at once, and the part of the squared distance that a step has to take off.
+SIZES, ENOUGH = (1.0, 0.4, 0.15, 0.05, 0.01), 0.02
 #: About so many labelled rows, chosen by a hash of their id, teach the classifier.
 LABELLED_ROWS = 20_000
 #: Score tables up to this size are broadcast, larger ones joined by bucket.
@@ -147,11 +149,11 @@ def fit_rates(soft: DataFrame, targets: list[float], tolerance: float = 1e-4, le
     its shares are fitted.  The gradient of a document's rate per token is its posteriors times the totals'
     distances, so a pass gathers a few sums per domain and the rates stay a stored column.  The gradient is scaled by the
     matrix Σ t_d·v_d·v_d' of the documents that can still move (those at a bound that it would push
-    beyond stand still); a step is halved until the distance falls.
+    beyond stand still), and of a few step sizes the one that ends nearest is taken.
 
     The last entry of the history has ``gap``, the largest difference from a wanted total as a share of
-    the epoch, and ``status``: ``met`` (gap within ``tolerance``), ``bounded`` (no step within the bounds brings the
-    totals nearer), ``infeasible`` (bounded, and a plane through the targets has all posteriors on
+    the epoch, and ``status``: ``met`` (gap within ``tolerance``), ``bounded`` (a step within the bounds brings the
+    totals no nearer, or by less than :data:`ENOUGH` of the squared distance), ``infeasible`` (bounded, and a plane through the targets has all posteriors on
     one side, so no rates meet them) or ``open`` (``steps`` were not enough).
     """
     k = len(targets)
@@ -162,49 +164,53 @@ def fit_rates(soft: DataFrame, targets: list[float], tolerance: float = 1e-4, le
     total = state.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     if total == 0:
         return state, [{"step": 0, "totals": [0.0] * k, "length": 0.0, "gap": 0.0, "status": "met"}]
+    # with a free length the distances of all domains add up to nothing, so one of them says no more than the others
+    used = k - 1 if free and k > 1 else k
     middle = shares if free else [0.0] * k
+    v = [F.col("p")[i] - middle[i] for i in range(used)]
 
-    def moved(at: list[float], size: float) -> Column:
-        step = rate - size * _slope(at, _dot(at, middle))
-        return F.when(tokens > 0, F.least(F.greatest(step, F.lit(float(least))), F.lit(float(most)))).otherwise(1.0)
+    def along(at: list[float]) -> Column:
+        return sum((x * y for x, y in zip(v, at)), F.lit(0.0))
 
-    def look(rates: Column) -> dict:
-        """Totals and distances under the rates."""
-        row = state.agg(*[F.sum(rates * tokens * F.col("p")[i]).alias(f"a{i}") for i in range(k)]).first()
-        totals = [row[f"a{i}"] for i in range(k)]
-        size = sum(totals) if free else total
-        return {"totals": totals, "length": size, "off": [totals[i] - shares[i] * size for i in range(k)]}
+    def moved(at: list[float], size: float) -> Column:
+        return F.when(tokens > 0, F.least(F.greatest(rate - size * along(at), F.lit(float(least))), F.lit(float(most)))).otherwise(1.0)
+
+    def look(ways: list[Column]) -> list[dict]:
+        """Totals and distances under each of some ways to set the rates, in one pass."""
+        row = state.agg(*[F.sum(r * tokens * F.col("p")[i]).alias(f"a{n}_{i}") for n, r in enumerate(ways) for i in range(k)]).first()
+        found = []
+        for n in range(len(ways)):
+            totals = [row[f"a{n}_{i}"] for i in range(k)]
+            size = sum(totals) if free else total
+            off = [totals[i] - shares[i] * size for i in range(k)]
+            found.append({"totals": totals, "length": size, "off": off, "distance": _dot(off[:used], off[:used])})
+        return found
 
     def movable(off: list[float]) -> list[list[float]]:
         """The matrix of the documents that the gradient moves inside the bounds."""
-        up = _slope(off, _dot(off, middle))
+        up = along(off)
         inside = (tokens > 0) & ~((rate <= least) & (up > 0)) & ~((rate >= most) & (up < 0))
-        v = [F.col("p")[i] - middle[i] for i in range(k)]
-        row = state.filter(inside).agg(*[F.coalesce(F.sum(tokens * v[i] * v[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-        return [[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]
+        row = state.filter(inside).agg(*[F.coalesce(F.sum(tokens * v[i] * v[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(used) for j in range(i, used)]).first()
+        return [[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(used)] for i in range(used)]
 
-    now, status = look(rate), "open"
+    now, status = look([rate])[0], "open"
     history = [{"step": 0, "totals": now["totals"]}]
     while len(history) <= steps:
-        worst = max(map(abs, now["off"]))
-        if worst <= tolerance * now["length"]:
+        if max(map(abs, now["off"])) <= tolerance * now["length"]:
             status = "met"
             break
         gram = movable(now["off"])
-        scale = sum(gram[i][i] for i in range(k))
+        scale = sum(gram[i][i] for i in range(used))
         if scale <= 1e-12 * total:
             status = "bounded"
             break
-        at, size = _solve(gram, now["off"], 1e-9 * scale), 1.0
-        while size > 1e-4:
-            then = look(moved(at, size))
-            if _dot(then["off"], then["off"]) < (1 - 1e-3 * size) * _dot(now["off"], now["off"]):
-                break
-            size /= 4
-        else:
+        at = _solve(gram, now["off"][:used], 1e-6 * scale)
+        ways = [moved(at, size) for size in SIZES]
+        best, then = min(enumerate(look(ways)), key=lambda w: w[1]["distance"])
+        if then["distance"] > (1 - ENOUGH) * now["distance"]:
             status = "bounded"
             break
-        state, now = stored(state.withColumn("rate", moved(at, size)), "mixing-soft"), then
+        state, now = stored(state.withColumn("rate", ways[best]), "mixing-soft"), then
         history.append({"step": len(history), "totals": now["totals"]})
     if status == "bounded":
         off = now["off"]
