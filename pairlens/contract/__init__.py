@@ -14,3 +14,7 @@ def load():
     from pairlens.contract.registry import ORACLES, QUERIES
 
     return dict(QUERIES), dict(ORACLES)
+
+
+# Queries are composed as they register, so the shared views come first whatever is imported.
+importlib.import_module("pairlens.contract.views")
