@@ -22,27 +22,28 @@ from pairlens.sources import fixtures as fix
 SEED = 42
 
 # Design parameters of the examples (hand-written tables are part of a design, not data).
+# The topic is a dealer of old prints; only the names of the dimensions are those of the design tables.
 CONTRASTS = [
-    dict(contrast_id="k0", dimension="provenance", a="human", b="machine", a_clause="was written by a person", b_clause="was generated by a model", expected_direction="a"),
-    dict(contrast_id="k1", dimension="source_venue", a="journal", b="online", a_clause="appeared in a journal", b_clause="was posted somewhere online", expected_direction="a"),
-    dict(contrast_id="k2", dimension="reception", a="loved", b="panned", a_clause="was loved by its readers", b_clause="was panned by its readers", expected_direction="a"),
-    dict(contrast_id="k3", dimension="user_opinion", a="liked", b="disliked", a_clause="is one I liked", b_clause="is one I didn't like", expected_direction="a"),
-    dict(contrast_id="k4", dimension="editing_status", a="edited", b="draft", a_clause="has been edited", b_clause="is a first draft", expected_direction="a"),
+    dict(contrast_id="k0", dimension="provenance", a="island", b="mainland", a_clause="came off an island press", b_clause="came off a mainland press", expected_direction="a"),
+    dict(contrast_id="k1", dimension="source_venue", a="almanac", b="handbill", a_clause="stood in an almanac", b_clause="was handed out at a market", expected_direction="a"),
+    dict(contrast_id="k2", dimension="reception", a="nine_printings", b="pulped", a_clause="went through nine printings", b_clause="was sold for pulp", expected_direction="a"),
+    dict(contrast_id="k3", dimension="user_opinion", a="framed", b="in_a_drawer", a_clause="hangs framed in my hall", b_clause="lies in my bottom drawer", expected_direction="a"),
+    dict(contrast_id="k4", dimension="editing_status", a="proofed", b="untouched", a_clause="went past two proofreaders", b_clause="was never proofread", expected_direction="a"),
 ]
-PROMPT_CONTRASTS = [dict(contrast_id="p0", dimension="prompt_context", a="none", b="aside", a_text="", b_text="It rained here today.")]
+PROMPT_CONTRASTS = [dict(contrast_id="p0", dimension="prompt_context", a="none", b="weather", a_text="", b_text="The harbour is frozen this week.")]
 DIMENSIONS = [
-    dict(dimension="provenance", value_id="self", phrase="I wrote this."),
-    dict(dimension="provenance", value_id="known", phrase="Someone I know wrote this."),
-    dict(dimension="provenance", value_id="machine", phrase="A model wrote this."),
-    dict(dimension="writer_status", value_id="first", parent_value="self", phrase="It is my first text.", depends_on="provenance"),
-    dict(dimension="writer_status", value_id="first", parent_value="known", phrase="It is their first text.", depends_on="provenance"),
-    dict(dimension="reception", value_id="loved", phrase="Readers loved it."),
+    dict(dimension="provenance", value_id="trunk", phrase="This lay in an attic trunk."),
+    dict(dimension="provenance", value_id="auction", phrase="This went under the hammer in spring."),
+    dict(dimension="provenance", value_id="kiosk", phrase="A kiosk printed this on demand."),
+    dict(dimension="writer_status", value_id="apprentice", parent_value="trunk", phrase="The trunk's owner was an apprentice.", depends_on="provenance"),
+    dict(dimension="writer_status", value_id="apprentice", parent_value="auction", phrase="The lot was an apprentice piece.", depends_on="provenance"),
+    dict(dimension="reception", value_id="nine_printings", phrase="Nine printings were sold."),
 ]
-CONDITIONS = [dict(id="neutral", context=""), dict(id="self", context="I wrote the following text.")]
-TASKS = [dict(id="rating", instruction="Rate the following text.")]
-PAIR_CONDITIONS = [dict(id="neutral", a_context="", b_context=""), dict(id="self_vs_ai", a_context="I wrote this.", b_context="A model wrote this.")]
-PILOT_INSTRUCTION = "Rate both of the following texts."
-INSTRUCTIONS = {"naturalistic": "Rate the following text from 1.0 to 10.0.", "text_only_invariance": "Rate only the prose of the following text from 1.0 to 10.0."}
+CONDITIONS = [dict(id="neutral", context=""), dict(id="trunk", context="The text below lay in an attic trunk.")]
+TASKS = [dict(id="marks", instruction="Give the text marks.")]
+PAIR_CONDITIONS = [dict(id="neutral", a_context="", b_context=""), dict(id="trunk_vs_kiosk", a_context="This lay in an attic trunk.", b_context="A kiosk printed this on demand.")]
+PILOT_INSTRUCTION = "Give marks to the two texts below."
+INSTRUCTIONS = {"naturalistic": "Give the text below a mark between 1.0 and 10.0.", "text_only_invariance": "Give the wording of the text below, and nothing else, a mark between 1.0 and 10.0."}
 
 
 def sql_text(text: str | None) -> str:
@@ -203,7 +204,7 @@ def _(spark, sf):
     f"""SELECT 'context_prompt__p0__' || story_1_id || '_vs_' || story_2_id || '__' || value || '__' || regime AS trial_id, value,
         regime AS evaluation_regime, sha256({_pairwise_sql("opening || tail", 'forced')}) AS prompt_hash
         FROM (SELECT *, text_1 AS text_a, text_2 AS text_b, {sql_text(ds.PROMPT_INTRO)} AS opening FROM v_neighbours),
-             (VALUES ('none', ''), ('aside', ' It rained here today.')) v(value, tail), {INV}""",
+             (VALUES ('none', ''), ('weather', ' The harbour is frozen this week.')) v(value, tail), {INV}""",
 )
 def _(spark, sf):
     fields = ("contrast_id", "dimension", "a", "b", "a_text", "b_text")
@@ -228,7 +229,7 @@ def _(spark, sf):
 
 def dimensions(spark: SparkSession) -> DataFrame:
     rows = [
-        (r["dimension"], r["value_id"], r.get("parent_value"), r["phrase"], r.get("depends_on"), "story", ["self", "known"] if r.get("depends_on") else None)
+        (r["dimension"], r["value_id"], r.get("parent_value"), r["phrase"], r.get("depends_on"), "story", ["trunk", "auction"] if r.get("depends_on") else None)
         for r in DIMENSIONS
     ]
     return spark.createDataFrame(
@@ -241,9 +242,9 @@ def dimensions(spark: SparkSession) -> DataFrame:
     f"""SELECT 'context_single__' || item_id || '__' || condition_id || '__' || regime AS trial_id, item_id AS story_id, condition_id,
         context_text, regime AS evaluation_regime,
         sha256(CASE WHEN context_text = '' THEN '' ELSE context_text || E'\\n\\n' END || instruction || E'\\n\\nText:\\n\"\"\"\\n' || text || E'\\n\"\"\"') AS prompt_hash
-        FROM v_docs, (VALUES ('neutral', ''), ('provenance__self', 'I wrote this.'), ('provenance__known', 'Someone I know wrote this.'),
-             ('provenance__machine', 'A model wrote this.'), ('writer_status__first', 'I wrote this. It is my first text.'),
-             ('reception__loved', 'Readers loved it.')) c(condition_id, context_text),
+        FROM v_docs, (VALUES ('neutral', ''), ('provenance__trunk', 'This lay in an attic trunk.'), ('provenance__auction', 'This went under the hammer in spring.'),
+             ('provenance__kiosk', 'A kiosk printed this on demand.'), ('writer_status__apprentice', 'This lay in an attic trunk. The trunk''s owner was an apprentice.'),
+             ('reception__nine_printings', 'Nine printings were sold.')) c(condition_id, context_text),
              (VALUES ('naturalistic', {sql_text(INSTRUCTIONS['naturalistic'])}), ('text_only_invariance', {sql_text(INSTRUCTIONS['text_only_invariance'])})) r(regime, instruction)""",
 )
 def _(spark, sf):
@@ -255,8 +256,8 @@ def _(spark, sf):
 
 @query(
     "design_pilot",
-    f"""SELECT 'single__' || item_id || '__' || c.id || '__rating' AS trial_id, 'single' AS type,
-        sha256(CASE WHEN c.context = '' THEN '' ELSE c.context || E'\\n\\n' END || 'Rate the following text.' || E'\\n\\nText:\\n\"\"\"\\n' || text || E'\\n\"\"\"') AS prompt_hash
+    f"""SELECT 'single__' || item_id || '__' || c.id || '__{TASKS[0]['id']}' AS trial_id, 'single' AS type,
+        sha256(CASE WHEN c.context = '' THEN '' ELSE c.context || E'\\n\\n' END || {sql_text(TASKS[0]['instruction'])} || E'\\n\\nText:\\n\"\"\"\\n' || text || E'\\n\"\"\"') AS prompt_hash
         FROM v_docs, {sql_rows(CONDITIONS, ('id', 'context'), 'c')}
         UNION ALL
         SELECT 'comparison__' || story_1_id || '__' || story_2_id || '__' || c.id, 'comparison',

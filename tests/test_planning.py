@@ -55,8 +55,8 @@ def test_conditions_differ_only_in_the_instruction(spark):
     assert len(by_cell) == 4 and all(len(v) == 1 for v in by_cell.values())
     top = {(r["assignment"], r["position"]): (r["story_a_id"], r["context_a"]["value"]) for r in rows}
     assert top == {
-        ("forward", "story1_as_a"): ("s00", "human"), ("forward", "story2_as_a"): ("s01", "machine"),
-        ("flipped", "story1_as_a"): ("s00", "machine"), ("flipped", "story2_as_a"): ("s01", "human"),
+        ("forward", "story1_as_a"): ("s00", "island"), ("forward", "story2_as_a"): ("s01", "mainland"),
+        ("flipped", "story1_as_a"): ("s00", "mainland"), ("flipped", "story2_as_a"): ("s01", "island"),
     }
 
 
@@ -81,9 +81,9 @@ def test_contrast_gate(spark):
 
 def test_packet_gate_and_rendering(spark):
     dims = pl.dimensions(spark)
-    packets = [(1, "writer_status", "first"), (1, "provenance", "known"), (2, "writer_status", "first"), (3, "writer_status", "first"), (3, "provenance", "machine"), (4, "nope", "x"), (5, "provenance", "nope")]
+    packets = [(1, "writer_status", "apprentice"), (1, "provenance", "auction"), (2, "writer_status", "apprentice"), (3, "writer_status", "apprentice"), (3, "provenance", "kiosk"), (4, "nope", "x"), (5, "provenance", "nope")]
     df = spark.createDataFrame(packets, "packet_id int, dimension string, value_id string")
-    applies = spark.createDataFrame([("writer_status", "self"), ("writer_status", "known")], "dimension string, parent_value string")
+    applies = spark.createDataFrame([("writer_status", "trunk"), ("writer_status", "auction")], "dimension string, parent_value string")
     assert rows_of(q.packet_violations(df, dims, applies), "packet_id", "violation") == [
         (2, "missing_parent"), (3, "parent_not_applicable"), (4, "unknown_dimension"), (5, "unknown_value"),
     ]
