@@ -87,7 +87,7 @@ def test_packet_gate_and_rendering(spark):
     assert rows_of(q.packet_violations(df, dims, applies), "packet_id", "violation") == [
         (2, "missing_parent"), (3, "parent_not_applicable"), (4, "unknown_dimension"), (5, "unknown_value"),
     ]
-    assert one(ds.render_packets(df.where("packet_id = 1"), dims))["context_text"] == "Someone I know wrote this. It is their first text."
+    assert one(ds.render_packets(df.where("packet_id = 1"), dims))["context_text"] == "This went under the hammer in spring. The lot was an apprentice piece."
 
 
 def test_corpus(spark, monkeypatch):
