@@ -97,9 +97,14 @@ def test_corpus(spark, monkeypatch):
 
     text = "\n".join(f"s{i:02d}:" + hashlib.sha256(f"text {i} two  words".encode()).hexdigest() for i in range(3))
     assert one(ds.corpus_hash(profile))["corpus_hash"] == hashlib.sha256(text.encode()).hexdigest()
-    monkeypatch.setattr(ds, "CORPUS_LISTING_LIMIT", 1)
-    two_level = one(ds.corpus_hash(profile))["corpus_hash"]
-    assert two_level == one(ds.corpus_hash(profile.repartition(5)))["corpus_hash"] != one(ds.corpus_hash(profile.limit(2)))["corpus_hash"]
+    monkeypatch.setattr(ds, "LISTING_LINES", 1)
+    again = one(ds.corpus_hash(profile.repartition(5)))["corpus_hash"]
+    assert again == hashlib.sha256(text.encode()).hexdigest() != one(ds.corpus_hash(profile.limit(2)))["corpus_hash"]
+    monkeypatch.setattr(ds, "LISTING_LINES", 777)  # the same listing beyond a hundred thousand lines
+    many = spark.range(120_000).selectExpr("concat('i', id) AS item_id", "sha2(cast(id AS string), 256) AS sha256")
+    lines = "\n".join(f"{i}:{hashlib.sha256(i[1:].encode()).hexdigest()}" for i in sorted(f"i{i}" for i in range(120_000)))  # in order of the id, not of the line
+    got = one(ds.corpus_hash(many))
+    assert (got["n_items"], got["corpus_hash"]) == (120_000, hashlib.sha256(lines.encode()).hexdigest())
 
 
 def test_fingerprint_ignores_order_but_not_content(spark):
