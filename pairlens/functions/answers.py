@@ -71,6 +71,20 @@ def last_key_wins(df: DataFrame) -> None:
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
+def _sealed(text: Column) -> Column:
+    """A text as the first element of a JSON array that ends with the text's own hash.
+
+    The built-in parser stops behind the first value and takes whatever follows; only a text
+    that is JSON from end to end leaves the hash in second place.
+    """
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), F.md5(text), F.lit('"]')))
+
+
+def _unsealed(sealed: Column, text: Column) -> Column:
+    """The document of a sealed text; NULL when the text is not one whole JSON value."""
+    return F.when(F.try_variant_get(sealed, "$[1]", "string") == F.md5(text), F.try_variant_get(sealed, "$[0]", "variant"))
+
+
 def with_choice(df: DataFrame, text: str, answer: str = "answer", error: str = "error") -> DataFrame:
     """Parse a free-text or JSON forced choice into A or B.
 
@@ -85,11 +99,12 @@ def with_choice(df: DataFrame, text: str, answer: str = "answer", error: str = "
     # Only these first characters can open a JSON document; anything else skips the parser.
     staged = staged.withColumns(
         {
-            "__doc": F.when(clean.rlike("^[\\s]*[\\[{\"\\-0-9tfn]"), F.try_parse_json(clean)),
+            "__sealed": F.when(clean.rlike("^[\\s]*[\\[{\"\\-0-9tfn]"), _sealed(clean)),
             "__letter": F.upper(F.nullif(F.regexp_extract(clean, LETTER_FIRST, 1), F.lit(""))),
             "__hedged": F.lower(clean).rlike(_HEDGE_PATTERN),
         }
     )
+    staged = staged.withColumn("__doc", _unsealed(F.col("__sealed"), clean))
     value = F.coalesce(
         F.try_variant_get(doc, "$.overall_quality", "variant"), F.try_variant_get(doc, "$.choice", "variant")
     )
@@ -112,7 +127,7 @@ def with_choice(df: DataFrame, text: str, answer: str = "answer", error: str = "
             .when(hedged, HEDGED)
             .when(letter.isNull(), NO_LETTER),
         }
-    ).drop("__bare", "__clean", "__doc", "__letter", "__hedged", "__json", "__value")
+    ).drop("__bare", "__clean", "__sealed", "__doc", "__letter", "__hedged", "__json", "__value")
 
 
 # -- JSON rubrics ------------------------------------------------------------------------
@@ -224,7 +239,8 @@ TIE_VALUES = ("A", "B", "tie")
 def with_document(df: DataFrame, text: str) -> DataFrame:
     """Add ``__doc`` (VARIANT, NULL when not JSON) and ``__fields`` (members of an object)."""
     last_key_wins(df)
-    parsed = df.withColumn("__doc", F.try_parse_json(strip_code_fence(F.col(text))))
+    parsed = df.withColumn("__body", strip_code_fence(F.col(text))).withColumn("__sealed", _sealed(F.col("__body")))
+    parsed = parsed.withColumn("__doc", _unsealed(F.col("__sealed"), F.col("__body"))).drop("__sealed", "__body")
     return parsed.withColumn("__fields", _fields(F.col("__doc")))
 
 

@@ -35,6 +35,20 @@ def test_plain_choices(spark):
         assert (got[i]["answer"], got[i]["error"]) == (None, code), text
 
 
+def test_json_must_be_the_whole_text(spark):
+    followed = ["4703443633947811 Achtern auf der Bank", '{"choice": "A"} as said', '{"choice": "A"}{"choice": "B"}', '"A" or so', "true story", "1, 2", '1] x', '"x", "y"] z', "[1] [2]", '{"choice": "A"},']
+    whole = ['{"choice": "A"}', "12", "[1, 2]", '{"choice": "A"}\n']
+    cases = [(i, t) for i, t in enumerate(followed + whole)]
+    rows = spark.createDataFrame(cases, "i int, t string")
+    got = {r["i"]: r for r in ans.with_choice(rows, "t").collect()}
+    documents = {r["i"]: r["__doc"] is not None for r in ans.with_document(rows, "t").collect()}
+    for i, text in enumerate(followed):
+        assert got[i]["error"] not in (ans.JSON_NOT_OBJECT, ans.JSON_NO_LETTER) and not documents[i], text
+        assert got[i]["answer"] == ("A" if text == '"A" or so' else None), text
+    for i, text in enumerate(whole, start=len(followed)):
+        assert documents[i] and got[i]["error"] in (None, ans.JSON_NOT_OBJECT), text
+
+
 RATINGS = dict(plot_structure=3, prose_style=4, characterization=5, originality=1, overall_quality=2)
 CHOICES = dict(plot_structure="A", prose_style="B", characterisation="A", originality="B", overall_quality="B")
 
