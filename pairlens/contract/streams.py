@@ -24,15 +24,25 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return fix.respond(ing.stream_files(spark, sf, schema, "parquet", "events.parquet"))
 
 
-def day_files(spark: SparkSession, sf: str, repeats: bool) -> DataFrame:
-    """The events as a stream over three days of files, a few per batch: a third of them come days late, and
-    with ``repeats`` every fifth comes again in between with another outcome and a later time."""
-    folder, events = fresh_path(spark, "days"), fix.table(spark, sf, "events")
+def arrivals(spark: SparkSession, sf: str, repeats: bool) -> list[DataFrame]:
+    """The events by day of arrival: a third of them come days late, and with ``repeats`` every fifth
+    comes again in between with another outcome and a later time."""
+    events = fix.table(spark, sf, "events")
     again = events.where("event_id % 5 = 3").withColumns({"ts": F.col("ts") + F.expr("INTERVAL 1 DAY"), "event_type": F.when(F.col("event_type") == "error", "click").otherwise("error")})
-    days = [events.where("event_id % 3 <> 0"), again if repeats else events.limit(0), events.where("event_id % 3 = 0")]
+    late = F.coalesce(F.col("event_id") % 3 == 0, F.lit(True))
+    return [events.where(~late), again if repeats else events.limit(0), events.where(late)]
+
+
+def day_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
+    return fix.respond(ing.stream_files(spark, folder + "/*", schema, "parquet", files_per_batch=4))
+
+
+def day_files(spark: SparkSession, sf: str, repeats: bool) -> DataFrame:
+    """The arrivals of all three days as a stream of files, a few per batch."""
+    folder, days = fresh_path(spark, "days"), arrivals(spark, sf, repeats)
     for day, rows in enumerate(days, start=1):
         rows.write.parquet(f"{folder}/day={day}")
-    return fix.respond(ing.stream_files(spark, folder + "/*", events.schema, "parquet", files_per_batch=4))
+    return day_stream(spark, folder, days[0].schema)
 
 
 def finished(stream) -> None:
@@ -52,14 +62,22 @@ def _(spark, sf):
     return ing.observations(spark, target).select(*kept)
 
 
-@query(
-    "stream_once",
-    """SELECT observation_id, answer, status, contrast_id, evaluator_id, input_tokens, output_tokens FROM v_responses""",
-)
+# Of an id that comes late and again, the repeat arrives first, with the other outcome: errors became clicks, the rest errors.
+FIRST_ARRIVALS = """SELECT observation_id, CASE WHEN NOT again THEN answer WHEN event_type = 'error' THEN CASE WHEN observation_id % 2 = 0 THEN 'A' ELSE 'B' END END AS answer,
+       CASE WHEN NOT again THEN status WHEN event_type = 'error' THEN 'valid' ELSE 'api_error' END AS status, contrast_id, evaluator_id, input_tokens, output_tokens
+       FROM (SELECT *, coalesce(observation_id % 3 = 0 AND observation_id % 5 = 3, false) AS again FROM v_responses)"""
+
+
+@query("stream_once", FIRST_ARRIVALS)
 def _(spark, sf):
-    """Over several day files, with late rows and repeats that differ: the first arrival stays."""
-    target = fresh_path(spark, "once")
-    finished(ing.start_once(day_files(spark, sf, repeats=True), target, fresh_path(spark, "once-state")))
+    """Over several days with late rows and repeats that differ: the first arrival stays.
+
+    Each day the stream takes up what has come since, so that no batch holds two days, however many files a day has.
+    """
+    target, state, folder = fresh_path(spark, "once"), fresh_path(spark, "once-state"), fresh_path(spark, "days")
+    for day, rows in enumerate(arrivals(spark, sf, repeats=True), start=1):
+        rows.write.parquet(f"{folder}/day={day}")
+        finished(ing.start_once(day_stream(spark, folder, rows.schema), target, state))
     return spark.read.parquet(target).select("observation_id", "answer", "status", "contrast_id", "evaluator_id", "input_tokens", "output_tokens")
 
 

@@ -70,3 +70,18 @@ def test_each_observation_once_and_the_first_stays(spark):
     columns = ("observation_id", "answer", "status")
     first = rows.where("observation_id < 200 OR observation_id % 4 <> 1").unionByName(later.where("observation_id >= 200"))
     assert rows_of(got.where("observation_id IS NOT NULL"), *columns) == rows_of(ing.parsed(first), *columns)
+
+
+def test_first_arrival_does_not_depend_on_the_number_of_files(spark):
+    import duckdb
+
+    from pairlens.contract import load
+
+    queries, sql = load()
+    events, folder = spark.read.parquet(f"{SF}/events.parquet").where("event_id < 200"), fresh_path(spark, "many-files")
+    events.repartition(7, "event_id").write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    columns = ("observation_id", "answer", "status")
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({sql['stream_once']})").fetchall()
+    assert rows_of(queries["stream_once"](spark, folder), *columns) == sorted(want, key=repr)
