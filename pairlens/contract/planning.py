@@ -69,7 +69,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """Each document with the next one: a pair table that grows with the documents."""
-    docs = fix.table(spark, sf, "documents").select("doc_id", strip(F.col("text")).alias("text"))
+    docs = fix.table(spark, sf, "documents").select("doc_id", strip(F.col("text")).alias("text"), "lang")
     after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("text_2"))
 
     def name(c):
@@ -80,6 +80,7 @@ def neighbours(spark: SparkSession, sf: str) -> DataFrame:
         name(F.col("doc_id") + 1).alias("story_2_id"),
         F.col("text").alias("text_1"),
         "text_2",
+        "lang",
     )
 
 
@@ -415,10 +416,8 @@ DAMAGED = """SELECT lang, CASE lang WHEN 'de' THEN 'blocks' WHEN 'fr' THEN 'tria
 )
 def _(spark, sf):
     """Gates over a manifest that was damaged by language: a lost cell, another prompt, a repeated row."""
-    lang = fix.table(spark, sf, "documents").select(
-        F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("story_1_id"), "lang"
-    )
-    rows = manifest_v2(spark, sf).join(lang, "story_1_id")
+    # the language of the first text comes along from the pairs: a join here would shuffle every prompt
+    rows = ds.plain_manifest_v2(neighbours(spark, sf), contrasts(), keep=("lang",))
     target = (
         (F.col("instruction_condition") == "text_only")
         & (F.col("assignment") == "flipped")

@@ -297,9 +297,15 @@ def plain_manifest_v1(pairs: DataFrame, contrasts: Column, regimes: Sequence[str
 
 
 def plain_manifest_v2(
-    pairs: DataFrame, contrasts: Column, conditions: Sequence[str] = ("matched_control", "text_only")
+    pairs: DataFrame,
+    contrasts: Column,
+    conditions: Sequence[str] = ("matched_control", "text_only"),
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Plain A/B treatment manifest with superblocks (pair x contrast) of both instructions."""
+    """Plain A/B treatment manifest with superblocks (pair x contrast) of both instructions.
+
+    ``keep`` names columns of the pair table that every trial carries along.
+    """
     rows = counterbalanced(pairs, contrasts)
     rows = rows.select("*", F.explode(F.array(*[F.lit(c) for c in conditions])).alias("instruction_condition"))
     rows = rows.withColumn("superblock_id", F.concat_ws("__", F.lit("superblock"), "k.contrast_id", _pair_id()))
@@ -315,7 +321,7 @@ def plain_manifest_v2(
     prompt = pr.passage_prompt(
         F.col("intro"), pr.instruction_v2(F.col("instruction_condition")), F.col("text_a"), F.col("text_b"), pr.QUESTION_V2
     )
-    extra = ("superblock_id", "instruction_condition", "response_format", "expected_direction")
+    extra = ("superblock_id", "instruction_condition", "response_format", "expected_direction", *keep)
     return _finish(rows.withColumn("prompt", prompt), extra, hashed=True)
 
 

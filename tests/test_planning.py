@@ -169,3 +169,16 @@ def test_selection_filters(spark):
     assert rows_of(sp.select_rows(df, only_type="single", conditions=["x"]), "trial_id") == [("t1",)]
     assert rows_of(sp.select_rows(df, id_prefix="t2", contrasts=["k"], regimes=["naturalistic"]), "trial_id") == [("t2",)]
     assert one(sp.find_trial(df, "t1"))["type"] == "single"
+
+
+def test_manifest_gates_join_nothing_to_the_expanded_trials(spark):
+    """Prompts of forty trials a pair must not go through a join's shuffle."""
+    from pairlens.contract import load
+
+    plan = load()[0]["manifest_violations"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan]
+    joins = [at for at, line in enumerate(plan) if " Join " in line or "Join Inner" in line]
+    assert joins
+    for at in joins:
+        end = next((k for k in range(at + 1, len(plan)) if depth[k] <= depth[at]), len(plan))
+        assert not any("Generate explode" in line for line in plan[at + 1:end])
