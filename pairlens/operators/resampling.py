@@ -9,21 +9,26 @@ recomputed by the task that needs them.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+from pyarrow.dataset import dataset
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pairlens.functions.common import null_safe_join, ratio
 from pairlens.functions.stats import slope_intercept
 from pairlens.operators.effects import CONTROL, PAIR, TEXT_ONLY, controllability_measures
 from pairlens.operators.ordering import exact_quantiles, indexed_by_text
+from pairlens.session import fresh_path
 
-#: Multiplicities and weights that a task holds at a time, 4 and 8 bytes each.
-CELLS = 1_000_000
+#: Multiplicities (2 bytes each) and weights (8 bytes each) that a task holds at a time.
+CELLS, WEIGHTS = 48_000_000, 1_000_000
 
 
 def item_index(items: DataFrame, item: str = "story_id") -> DataFrame:
@@ -37,22 +42,81 @@ def items_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array(*PAIR)).alias("story_id"))
 
 
+_ROUNDS = [(int(abs(math.sin(i + 1)) * 2**32), turn) for i, turn in enumerate([7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4)]
+_TAILS = np.char.zfill(np.arange(10_000).astype(str), 4).astype("S4").view(np.uint8).reshape(-1, 4)
+
+
+def _md5_heads(opening: bytes) -> np.ndarray:
+    """First 8 bytes of the MD5 of ``opening`` followed by 0000 ... 9999, as big-endian numbers.
+
+    The messages are one block each (at most 51 bytes before the digits) and differ in one or two words,
+    so the 64 rounds run over all of them at once.
+    """
+    size, first = len(opening) + 4, len(opening) // 4
+    block = np.zeros(64, np.uint8)
+    block[: len(opening)], block[size] = np.frombuffer(opening, np.uint8), 0x80
+    block[56:] = np.frombuffer((8 * size).to_bytes(8, "little"), np.uint8)
+    words = [int(w) for w in block.view("<u4")]
+    near = np.tile(block[4 * first : 4 * first + 8], (len(_TAILS), 1))
+    near[:, len(opening) % 4 : len(opening) % 4 + 4] = _TAILS
+    varying = {first + k: np.ascontiguousarray(near.view("<u4")[:, k]) for k in range(2 if len(opening) % 4 else 1)}
+    start = [0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476]
+    a, b, c, d = (np.full(len(_TAILS), x, np.uint32) for x in start)
+    f, high = np.empty_like(a), np.empty_like(a)
+    for i, (constant, turn) in enumerate(_ROUNDS):
+        if i < 16:
+            at = i
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+        elif i < 32:
+            at = (5 * i + 1) % 16
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+        elif i < 48:
+            at = (3 * i + 5) % 16
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+        else:
+            at = 7 * i % 16
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+        f += a
+        if at in varying:
+            f += varying[at]
+            f += np.uint32(constant)
+        else:
+            f += np.uint32((words[at] + constant) & 0xFFFFFFFF)
+        np.right_shift(f, np.uint32(32 - turn), out=high)
+        f <<= np.uint32(turn)
+        f |= high
+        f += b
+        a, d, c, b, f = d, c, b, f, a
+    a += np.uint32(start[0])
+    b += np.uint32(start[1])
+    return a.byteswap().astype(np.uint64) << np.uint64(32) | b.byteswap()
+
+
 def multiplicities(n_items: int, draws: range, seed: int) -> np.ndarray:
     """How often each of ``n_items`` was taken in each of ``draws``, as ``n_items`` x ``draws``.
 
     The numbers are those of :func:`pairlens.functions.common.counter_draw` for (seed, draw, slot).
     """
-    slots = [str(slot).encode() for slot in range(n_items)]
-    taken = np.empty((n_items, len(draws)), dtype=np.int32)
+    low = [str(slot).encode() for slot in range(min(n_items, len(_TAILS)))]
+    taken = np.zeros((n_items, len(draws)), dtype=np.uint16)
     for column, draw in enumerate(draws):
-        start = hashlib.md5(f"{seed}:{draw}:".encode())
-        heads = bytearray()
-        for slot in slots:
+        opening = f"{seed}:{draw}:".encode()
+        start, heads = hashlib.md5(opening), bytearray()
+        for slot in low:
             digest = start.copy()
             digest.update(slot)
             heads += digest.digest()[:8]
-        numbers = np.frombuffer(heads, dtype=">u8") >> np.uint64(4)
-        taken[:, column] = np.bincount((numbers % np.uint64(n_items)).astype(np.int64), minlength=n_items)
+        numbers = np.frombuffer(heads, dtype=">u8").astype(np.uint64)
+        for leading in range(1, -(-n_items // len(_TAILS)) + 1):
+            np.add.at(taken[:, column], ((numbers >> np.uint64(4)) % np.uint64(n_items)).astype(np.int64), np.uint16(1))
+            numbers = _md5_heads(opening + str(leading).encode())[: max(0, n_items - leading * len(_TAILS))]
     return taken
 
 
@@ -65,63 +129,76 @@ def resampled_sums(pairs: DataFrame, items: DataFrame, group: Sequence[str], ter
     """Weighted sums of ``terms`` per (group, draw), draws without weight dropped.
 
     The draws are cut into slices; a task computes the multiplicities m of its slice from the counter
-    hash, each once in the whole job, and adds up the quadratic form m(i) m(j) value over the pairs, which
-    it reads in order of the group.  A slice holds at most :data:`CELLS` multiplicities (one draw if
-    there are more items than that), whatever the number of draws, pairs and groups.  All pairs of a
-    slice meet in one task, so its sums are final and only pairs x slices rows are shuffled.
+    hash, each once in the whole job, and adds up the quadratic form m(i) m(j) value over the pairs.  The
+    pairs are written once to the shared work folder, in order of the group inside each file, and every
+    slice streams them from there, so no pair is copied for a slice.  A slice holds at most :data:`CELLS`
+    multiplicities (one draw if there are more items than that), whatever the number of draws, pairs and groups.
     """
-    index = item_index(items).persist()
+    spark, index = pairs.sparkSession, item_index(items).persist()
     n_items = index.count()
     values = pairs.select(*group, *PAIR, *[c.cast("double").alias(n) for n, c in terms.items()])
     if n_items < 2:
         empty = values.limit(0).withColumns({"draw": F.lit(0).cast("bigint"), "w": F.lit(0.0)})
         return empty.select(*group, "draw", "w", *terms)
-    first = index.select(F.col("story_id").alias("story_1_id"), F.col("idx").alias("__i"))
-    second = index.select(F.col("story_id").alias("story_2_id"), F.col("idx").alias("__j"))
+    place = F.col("idx").cast("int" if n_items < 1 << 31 else "long")
+    first = index.select(F.col("story_id").alias("story_1_id"), place.alias("__i"))
+    second = index.select(F.col("story_id").alias("story_2_id"), place.alias("__j"))
     located = values.join(first, "story_1_id").join(second, "story_2_id").select(*group, "__i", "__j", *terms)
-    per_slice = draws_per_slice(n_items, draws, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    per_slice = draws_per_slice(n_items, draws, partitions)
     slices = -(-draws // per_slice)
-    sliced = located.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    ordered = sliced.repartition("__slice").sortWithinPartitions("__slice", *group)
+    folder = fresh_path(spark, "located-pairs")
+    located.sortWithinPartitions(*group).write.parquet(folder)
     keys, names = list(group), list(terms)
     fields = [located.schema[c] for c in keys] + [T.StructField("draw", T.LongType())]
     fields += [T.StructField(c, T.DoubleType()) for c in ("w", *names)]
+    made = to_arrow_schema(T.StructType(fields))
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at, m, total, types = None, None, None, None, None
-
-        def finished() -> pa.RecordBatch:
-            numbers = np.arange(at * per_slice, at * per_slice + m.shape[1])
-            columns = [pa.array([v] * len(numbers), t) for v, t in zip(held, types)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(numbers), *map(pa.array, total)], names=[f.name for f in fields])
+    def finished(key: tuple, draw_numbers: range, total: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array([v] * len(draw_numbers), made.field(c).type) for c, v in zip(keys, key)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(draw_numbers), *map(pa.array, total)], schema=made)
 
-        for batch in batches:
-            types = [batch.column(c).type for c in keys]
-            slice_of = batch.column("__slice").to_numpy()
+    def of_file(file, draw_numbers: range, m: np.ndarray) -> Iterator[pa.RecordBatch]:
+        held, total = None, None
+        for batch in file.to_batches(batch_size=1 << 17, use_threads=False):
+            if not batch.num_rows:
+                continue
             codes = [c.dictionary_encode(null_encoding="encode").indices.to_numpy() for c in map(batch.column, keys)]
             new = np.ones(batch.num_rows, dtype=bool)
-            new[1:] = np.any([c[1:] != c[:-1] for c in (slice_of, *codes)], axis=0)
+            if codes:
+                new[1:] = np.any([c[1:] != c[:-1] for c in codes], axis=0)
+            else:
+                new[1:] = False
             starts = np.flatnonzero(new)
             i, j = batch.column("__i").to_numpy(), batch.column("__j").to_numpy()
             data = np.array([batch.column(c).to_numpy(zero_copy_only=False) for c in names], dtype=float)
             for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
                 key = tuple(batch.column(c)[int(lo)].as_py() for c in keys)
-                if at != slice_of[lo] or key != held:
-                    if held is not None:
-                        yield finished()
-                    if at != slice_of[lo]:
-                        at = int(slice_of[lo])
-                        m = multiplicities(n_items, range(at * per_slice, min(draws, (at + 1) * per_slice)), seed)
-                    held, total = key, np.zeros((1 + len(names), m.shape[1]))
-                step = max(1, CELLS // m.shape[1])
+                if total is None or key != held:
+                    if total is not None:
+                        yield finished(held, draw_numbers, total)
+                    held, total = key, np.zeros((1 + len(names), len(draw_numbers)))
+                step = max(1, WEIGHTS // len(draw_numbers))
                 for cut in (slice(k, min(k + step, hi)) for k in range(lo, hi, step)):
                     weights = m[i[cut]].astype(float) * m[j[cut]]
                     total[0] += weights.sum(axis=0)
                     total[1:] += data[:, cut] @ weights
-        if held is not None:
-            yield finished()
+        if total is not None:
+            yield finished(held, draw_numbers, total)
 
-    sums = ordered.mapInArrow(summed, T.StructType(fields))
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uri = folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
+        where, base = pa.fs.FileSystem.from_uri(uri) if ":" in uri else (pa.fs.LocalFileSystem(), uri)
+        files = sorted(dataset(base, filesystem=where, format="parquet").get_fragments(), key=lambda f: f.path)
+        for batch in batches:
+            for at in batch.column("id").to_pylist():
+                draw_numbers = range(at * per_slice, min(draws, (at + 1) * per_slice))
+                m = multiplicities(n_items, draw_numbers, seed)
+                for file in files:
+                    yield from of_file(file, draw_numbers, m)
+
+    parts = spark.range(0, slices, numPartitions=min(slices, 4 * partitions)).mapInArrow(summed, T.StructType(fields))
+    sums = parts.groupBy(*group, "draw").agg(*[F.sum(c).alias(c) for c in ("w", *names)])
     return sums.where("w > 0").select(*group, "draw", "w", *terms)
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -120,6 +121,17 @@ def test_bootstrap_slices_stay_within_the_bound():
     assert (m == np.hstack([rs.multiplicities(5, range(k, k + 1), 7) for k in range(3, 9)])).all()
 
 
+def test_multiplicities_of_many_items_and_pairs_that_are_not_copied(spark):
+    want = np.zeros((23_457, 2))
+    for k, draw in enumerate((9, 123)):
+        for slot in range(len(want)):
+            want[int(hashlib.md5(f"20260917:{draw}:{slot}".encode()).hexdigest()[:15], 16) % len(want), k] += 1
+    assert (np.hstack([rs.multiplicities(len(want), range(draw, draw + 1), 20260917) for draw in (9, 123)]) == want).all()
+    df = pair_values(spark, {("a", "b"): 1.0, ("b", "c"): 2.0})
+    plan = rs.resampled_means(df, rs.items_of(df), ("g",), "d_pair", 50, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # no pair is repeated for a slice of the draws
+
+
 @pytest.mark.parametrize("small", [0, 40_000])
 def test_exact_quantiles(spark, monkeypatch, small):
     """Brackets and whole groups give the same values, with ties, one value, NULLs and a NULL key."""
