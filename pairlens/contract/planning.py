@@ -16,6 +16,7 @@ from pairlens.operators import design as ds
 from pairlens.operators import effects as fx
 from pairlens.operators import quality as q
 from pairlens.operators import sampling as sp
+from pairlens.operators.ordering import dealt
 from pairlens.operators.resampling import items_of
 from pairlens.sources import fixtures as fix
 
@@ -352,7 +353,7 @@ COMPLETE = "n_cells_present = 8 AND n_distinct_cells = 8 AND n_terminally_failed
 
 def status(spark: SparkSession, sf: str) -> DataFrame:
     cell = ("instruction_condition", "assignment", "position")
-    return q.unit_status(units(spark, sf), UNIT, cell, 8, F.col("parsing_status") == "resolved")
+    return q.unit_status(dealt(units(spark, sf), fix.lines(spark, sf), UNIT), UNIT, cell, 8, F.col("parsing_status") == "resolved")
 
 
 @query(
@@ -371,7 +372,7 @@ def _(spark, sf):
           ON s.superblock_id = j.superblock_id AND s.replicate_number = j.replicate_number""",
 )
 def _(spark, sf):
-    rows = q.complete_rows(units(spark, sf), status(spark, sf), UNIT)
+    rows = q.complete_rows(dealt(units(spark, sf), fix.lines(spark, sf), UNIT), status(spark, sf), UNIT, keys_not_null=True)
     return rows.select(*UNIT, "instruction_condition", "assignment", "position", "choice")
 
 

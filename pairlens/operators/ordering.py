@@ -19,6 +19,18 @@ from pairlens.functions.common import null_safe_join, order_hash
 from pairlens.session import hold
 
 BUCKET = "__bucket"
+#: Rows that one task sorts or groups at a time where the number of tasks follows the input.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, rows: int, keys: Sequence[str]) -> DataFrame:
+    """Hash-partition by ``keys`` into at least the shuffle partitions, and more for many rows.
+
+    ``rows`` is the (roughly) known number of rows, for instance that of the table they come from.
+    With a fixed number of partitions the rows and the memory of one task grow with the input.
+    """
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(max(usual, -(-rows // TASK_ROWS)), *keys)
 
 
 def running_total(
@@ -29,13 +41,15 @@ def running_total(
     amount: Column,
     out: str,
     keys_not_null: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add ``out`` = sum of ``amount`` over the rows strictly before this one, per key.
 
     ``bucket`` must not decrease along ``order`` and not be NULL.  ``order`` must be total
     for the result to be deterministic.  With ``keys_not_null`` the offsets meet the rows
     on plain equality, so that join and window share one shuffle; a NULL key is then an
-    error, never a lost row.
+    error, never a lost row.  With ``rows``, about as many rows as there are, the number of
+    tasks of the window follows them (see :func:`dealt`).
     """
     keys = list(keys)
     tagged = df.withColumn(BUCKET, bucket).withColumn("__amount", amount)
@@ -44,6 +58,8 @@ def running_total(
     across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, BUCKET, F.coalesce(F.sum("__total").over(across), F.lit(0)).alias("__offset"))
     inside = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    if rows is not None:
+        tagged = dealt(tagged, rows, [*keys, BUCKET])
     if keys_not_null or not keys:
         joined = tagged.join(offsets, [*keys, BUCKET], "left")
         unmatched = F.raise_error(F.lit("NULL key in a running total over keys declared not null")).cast("bigint")
@@ -61,9 +77,10 @@ def numbered(
     bucket: Column,
     out: str = "row_number",
     keys_not_null: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """Exact ``row_number`` per key along ``order`` (1-based)."""
-    with_total = running_total(df, keys, order, bucket, F.lit(1).cast("bigint"), out, keys_not_null)
+    with_total = running_total(df, keys, order, bucket, F.lit(1).cast("bigint"), out, keys_not_null, rows)
     return with_total.withColumn(out, F.col(out) + 1)
 
 

@@ -223,9 +223,13 @@ def unit_status(
     )
 
 
-def complete_rows(rows: DataFrame, status: DataFrame, unit: Sequence[str]) -> DataFrame:
-    """Rows of the complete units."""
-    return null_safe_join(rows, status.where("complete").select(*unit), unit, "left_semi")
+def complete_rows(rows: DataFrame, status: DataFrame, unit: Sequence[str], keys_not_null: bool = False) -> DataFrame:
+    """Rows of the complete units.
+
+    With ``keys_not_null`` both sides meet on plain equality, so that rows dealt by the unit stay where they are.
+    """
+    complete = status.where("complete").select(*unit)
+    return rows.join(complete, list(unit), "left_semi") if keys_not_null else null_safe_join(rows, complete, unit, "left_semi")
 
 
 def unit_counts(status: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -182,3 +182,12 @@ def test_manifest_gates_join_nothing_to_the_expanded_trials(spark):
     for at in joins:
         end = next((k for k in range(at + 1, len(plan)) if depth[k] <= depth[at]), len(plan))
         assert not any("Generate explode" in line for line in plan[at + 1:end])
+
+
+def test_tasks_of_dealt_rows_follow_their_number(spark):
+    from pairlens.operators.ordering import TASK_ROWS, dealt, numbered
+
+    rows = spark.range(100).select(F.lit("k").alias("k"), "id")
+    assert dealt(rows, 10, ["id"]).rdd.getNumPartitions() == 8 and dealt(rows, 30 * TASK_ROWS, ["id"]).rdd.getNumPartitions() == 30
+    got = numbered(rows, ["k"], ["id"], F.floor(F.col("id") / 10), keys_not_null=True, rows=20 * TASK_ROWS)
+    assert "hashpartitioning" in got._jdf.queryExecution().executedPlan().toString() and rows_of(got, "row_number") == [(i,) for i in sorted(range(1, 101), key=lambda n: repr((n,)))]
