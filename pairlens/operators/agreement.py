@@ -101,7 +101,7 @@ def spearman(df: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
     sums = ranked.groupBy(*group).agg(
         F.sum("__m").alias("n_items"),
         F.sum(m * a * b).alias("__ab"), F.sum(m * a * a).alias("__aa"), F.sum(m * b * b).alias("__bb"),
-        (F.count_distinct("__rx") > 1).alias("__vx"), (F.count_distinct("__ry") > 1).alias("__vy"),
+        (F.min("__rx") < F.max("__rx")).alias("__vx"), (F.min("__ry") < F.max("__ry")).alias("__vy"),
     )
     # Average ranks always have mean (n + 1) / 2, so the centred sums need no second pass.
     n = F.col("n_items").cast("double")
