@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlens.functions.common import null_safe_join, ratio
 from pairlens.functions.scalars import chosen_item
-from pairlens.operators.ordering import BUCKET, running_total, value_buckets, value_running_total
+from pairlens.operators.ordering import BUCKET, TASK_ROWS, bucket_count, dealt, value_buckets, value_running_total
 from pairlens.session import ensure_checkpoint_dir, hold
 
 # -- ranks ---------------------------------------------------------------------------------
@@ -140,7 +140,11 @@ def kendall_tau_b(df: DataFrame, group: Sequence[str], x: str, y: str) -> DataFr
     codes = _codes(points, group, x, "__c")
     ensure_checkpoint_dir(df.sparkSession)
     coded = null_safe_join(points, codes, [*group, x]).checkpoint()
-    bucketed = value_buckets(coded, group, y).withColumnRenamed(BUCKET, "__vb")
+    # All nodes of a bucket of y are in one place from here on: points are shuffled once, not once a level.
+    # A point makes several nodes, so a task takes a quarter of the usual rows.
+    load = 4 * coded.count()
+    bucketed = value_buckets(coded, group, y, min(4096, max(bucket_count(coded), load // TASK_ROWS))).withColumnRenamed(BUCKET, "__vb")
+    bucketed = dealt(bucketed, load, [*group, "__vb"])
     levels = bucketed.withColumn("__a", F.explode(F.sequence(F.lit(0), F.col("__c_bits") - 1)))
     upper = F.expr("(__c >> __a) & 1") == 1
     nodes = levels.withColumn("__p", F.expr("__c >> (__a + 1)")).groupBy(*group, "__a", "__p", "__vb", y).agg(
@@ -148,10 +152,19 @@ def kendall_tau_b(df: DataFrame, group: Sequence[str], x: str, y: str) -> DataFr
         F.coalesce(F.sum(F.when(upper, F.col("__m"))), F.lit(0)).alias("__up"),
     )
     node = [*group, "__a", "__p"]
-    below = running_total(nodes, node, [y], F.col("__vb"), F.col("__lo"), "__below")
-    # For every upper point: below - above, where above = all lower - below - level.
-    parts = below.groupBy(*node).agg(
+    # Inside a bucket, for every upper point: below - above, where above = all lower - below - level.
+    # What lies in lower buckets is the same for a whole bucket, so it is added to the bucket's sums.
+    inside = Window.partitionBy(*node, "__vb").orderBy(y).rowsBetween(Window.unboundedPreceding, -1)
+    below = nodes.withColumn("__below", F.coalesce(F.sum("__lo").over(inside), F.lit(0)))
+    buckets = below.groupBy(*node, "__vb").agg(
         F.sum(F.expr("cast(__up as decimal(19,0)) * (2 * __below + __lo)")).alias("__gain"),
+        F.sum("__lo").alias("__lo"),
+        F.sum("__up").alias("__up"),
+    )
+    lower = Window.partitionBy(*node).orderBy("__vb").rowsBetween(Window.unboundedPreceding, -1)
+    placed = buckets.withColumn("__offset", F.coalesce(F.sum("__lo").over(lower), F.lit(0)))
+    parts = placed.groupBy(*node).agg(
+        F.sum(F.expr("__gain + cast(__up as decimal(19,0)) * (2 * __offset)")).alias("__gain"),
         F.sum("__lo").alias("__all_lo"),
         F.sum("__up").alias("__all_up"),
     )

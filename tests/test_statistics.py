@@ -132,6 +132,20 @@ def test_multiplicities_of_many_items_and_pairs_that_are_not_copied(spark):
     assert "Generate" not in plan  # no pair is repeated for a slice of the draws
 
 
+def test_rank_statistics_shuffle_no_level_and_no_distinct(spark):
+    """Levels of tau-b are made behind the last shuffle of points; Spearman repeats no row for its distinct counts."""
+    rng = random.Random(3)
+    df = spark.createDataFrame([("g", float(rng.randrange(40)), float(rng.randrange(90))) for _ in range(300)], "g string, x double, y double")
+    tau, rho = agr.kendall_tau_b(df, ("g",), "x", "y"), agr.spearman(df, ("g",), "x", "y")
+    assert "Expand" not in rho._jdf.queryExecution().optimizedPlan().toString()
+    lines = tau._jdf.queryExecution().sparkPlan().toString().split("\n")
+    joined = [at for at, line in enumerate(lines) if "Generate" in line]
+    assert joined and not any("Join" in line and "__below" in line for line in lines)
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    above = [line for at, line in enumerate(lines[: joined[0]]) if depth[at] < depth[joined[0]]]
+    assert sum("Window" in line for line in above) >= 2 and sum("Join" in line for line in above) <= 2
+
+
 @pytest.mark.parametrize("small", [0, 40_000])
 def test_exact_quantiles(spark, monkeypatch, small):
     """Brackets and whole groups give the same values, with ties, one value, NULLs and a NULL key."""
