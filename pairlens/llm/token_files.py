@@ -42,6 +42,7 @@ class PieceEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
         opens = np.zeros(256, bool)
         opens[[32, 10]] = True
@@ -70,17 +71,19 @@ class PieceEncoder:
 
     def _separately(self, pieces: list[bytes]) -> list[np.ndarray]:
         made = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        return [np.array(e.ids, np.int64) for e in made]
+        return [np.array(e.ids, np.int32) for e in made]
 
-    def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct pieces back to back, and where each begins (one more than pieces)."""
+    def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, where those of each piece begin and how many they are."""
         n = len(pieces)
         offsets = np.frombuffer(pieces.buffers()[1], np.int64, n + 1, pieces.offset * 8)
         d = np.frombuffer(pieces.buffers()[2], np.uint8)
         first, second, last, lasttwo = d[offsets[:-1]], d[np.minimum(offsets[:-1] + 1, len(d) - 1)], d[offsets[1:] - 1], d[np.maximum(offsets[1:] - 2, 0)]
         size = np.diff(offsets)
         joinable = (size > 1) & self.opens[first] & self.behind[second] & (self.plain[last] | ((lasttwo >= 0xC3) & (lasttwo < 0xE0) & (last >= 0x80) & (size > 2)))
-        ids: list = [None] * n
+        starts, counts = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        flat: list[np.ndarray] = []
+        held = 0
         inner = np.flatnonzero(joinable)
         ends = np.cumsum(size[inner])
         joined = d[offsets[0]:offsets[-1]][np.repeat(joinable, size)]
@@ -90,38 +93,54 @@ class PieceEncoder:
             start = ends[lo] - size[inner[lo]]
             hi = max(lo + 1, int(np.searchsorted(ends, start + self.JOINED_BYTES)))
             group = inner[lo:hi]
-            made = np.array(self.tokenizer.encode_batch_fast([joined[start:ends[hi - 1]].tobytes().decode()], add_special_tokens=False)[0].ids, np.int64)
+            made = np.array(self.tokenizer.encode_batch_fast([joined[start:ends[hi - 1]].tobytes().decode()], add_special_tokens=False)[0].ids, np.int32)
             reach = np.cumsum(self.bytes_of[made])
             wanted = ends[lo:hi] - start
             at = np.searchsorted(reach, wanted)
             if len(reach) and reach[-1] == wanted[-1] and (reach[np.minimum(at, len(reach) - 1)] == wanted).all():
-                for i, a, b in zip(group, np.concatenate([[0], at[:-1] + 1]), at + 1):
-                    ids[i] = made[a:b]
+                starts[group] = held + np.concatenate([[0], at[:-1] + 1])
+                counts[group] = np.diff(at, prepend=-1)
+                flat.append(made)
+                held += len(made)
             else:
                 alone.extend(group)
             lo = hi
         for i, made in zip(alone, self._separately([d[offsets[i]:offsets[i + 1]].tobytes() for i in alone]) if alone else []):
-            ids[i] = made
-        starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-        return (np.concatenate(ids) if n else np.empty(0, np.int64)), starts
+            starts[i], counts[i] = held, len(made)
+            flat.append(made)
+            held += len(made)
+        return (np.concatenate(flat) if flat else np.empty(0, np.int32)), starts, counts
 
     def encode(self, texts: Texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids with ``end_id`` after each text, and the number of ids of each text."""
+        """All ids with ``end_id`` after each text, as :attr:`kind`, and the number of ids of each text."""
         cuts = self._cuts(texts)
         offsets = np.append(cuts, len(texts.data)).astype(np.int64)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(texts.data))])
         coded = pieces.dictionary_encode()
-        flat, starts = self._distinct(coded.dictionary)
-        flat = np.append(flat, end_id)
-        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, starts, counts = self._distinct(coded.dictionary)
+        place = np.int32 if len(texts.data) + len(texts) < 1 << 30 else np.int64  # there are no more ids than bytes and ends
+        starts, counts = np.append(starts, len(flat)).astype(place), np.append(counts, 1).astype(place)
+        flat = np.append(flat, end_id).astype(self.kind)
         per_text = np.searchsorted(cuts, texts.offsets)
-        index = np.insert(index, per_text[1:], len(starts) - 1)  # the end as one more piece
-        starts = np.append(starts, len(flat))
-        size = starts[index + 1] - starts[index]
-        total = np.concatenate([[0], np.cumsum(size)])
-        gather = np.arange(total[-1]) + np.repeat(starts[index] - total[:-1], size)
-        last = per_text[1:] + np.arange(1, len(texts) + 1)
-        return flat[gather], np.diff(np.concatenate([[0], total[last]]))
+        index = np.insert(coded.indices.to_numpy(zero_copy_only=False), per_text[1:], len(starts) - 1)  # the end as one more piece
+        del pieces, coded, cuts, offsets
+        size = counts[index]
+        reach = np.cumsum(size, dtype=place)
+        gather = np.repeat(starts[index] - reach + size, size)
+        gather += np.arange(len(gather), dtype=place)
+        last = per_text[1:] + np.arange(len(texts))
+        return flat[gather], np.diff(reach[last].astype(np.int64), prepend=0)
+
+
+_encoders: dict[str, PieceEncoder] = {}
+
+
+def worker_encoder(path: str) -> PieceEncoder:
+    """The encoder that this Python worker keeps for its tasks: reading a vocabulary takes as long as encoding a megabyte."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
 
 
 def _filesystem(uri: str):
@@ -161,8 +180,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_
     def run(batches):
         from pyspark import TaskContext
 
-        encoder = PieceEncoder(vocabulary)
-        kind = np.uint16 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        encoder = worker_encoder(vocabulary)
         fs, base = _filesystem(folder)
         fs.create_dir(base, recursive=True)
         part = TaskContext.get().partitionId()
@@ -177,7 +195,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_
                     lengths.append(sizes)
                     keys = piece.column("__id")
                     ids.append(keys.fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False).astype(np.int64))
-                    out.write(made.astype(kind).tobytes())
+                    out.write(made.tobytes())
         n = sum(map(len, lengths))
         if not n:
             fs.delete_file(temporary)
@@ -186,7 +204,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.uint64)
         _put(fs, f"{name}.idx", offsets.tobytes())
         _put(fs, f"{name}.doc", np.concatenate(ids).tobytes())
-        yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [n], "n_tokens": [int(offsets[-1])], "width": [np.dtype(kind).itemsize]})
+        yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [n], "n_tokens": [int(offsets[-1])], "width": [np.dtype(encoder.kind).itemsize]})
 
     made = ordered.mapInArrow(run, "part long, n_docs long, n_tokens long, width long")
     path = f"{folder}/sizes"

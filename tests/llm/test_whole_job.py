@@ -1,12 +1,17 @@
 """Targets that are met or reported, and nothing left out: a case for each operator that once did less than the whole job."""
 
+import tracemalloc
+
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pairlens.llm import language_id, mixing, queries, warc_revisit
+from pairlens.llm import language_id, mixing, queries, token_files, warc_revisit
+from pairlens.llm.textbatch import slices
 
 
 def soft_rows(spark, n=400, seed=4):
@@ -134,3 +139,25 @@ def test_every_page_sends_a_revisit(spark):
     pages = spark.createDataFrame([(i, f"http://a.org/{i}", "x") for i in range(30)], "page_id long, url string, html string")
     got = warc_revisit.resolve(warc_revisit.records_of_pages(pages)).collect()
     assert sorted(r.record_id for r in got) == [2 * i + 1 for i in range(30)] and {r.status for r in got} == {"resolved"}
+
+
+def test_token_encoder_holds_few_bytes_and_is_read_once():
+    """Memory of an 8 MB slice, and one reading of the vocabulary for all tasks of a worker."""
+    encoder = token_files.worker_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert token_files.worker_encoder(public_tokenizers.path("byte_bpe_50k.json")) is encoder
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("etaoinshr"), int(n))) for n in rng.integers(2, 9, 60_000)]
+    texts = [" ".join(rng.choice(words, 4_000)) for _ in range(200)] + ["", "  one x \n\n é ", "é"]
+    batch = pa.RecordBatch.from_pydict({"t": texts})
+    piece, whole = next(slices(batch, "t", 8 << 20))
+    tracemalloc.start()
+    try:
+        ids, sizes = encoder.encode(whole, 2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 12 * len(whole.data)
+    assert ids.dtype == np.uint16 and piece.num_rows == len(texts) == len(sizes) and sizes.sum() == len(ids)
+    at = np.cumsum(sizes) - sizes
+    for i in (0, 7, len(texts) - 3, len(texts) - 2, len(texts) - 1):
+        assert ids[at[i]:at[i] + sizes[i]].tolist() == [*encoder.tokenizer.encode(texts[i], add_special_tokens=False).ids, 2]
