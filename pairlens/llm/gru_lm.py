@@ -5,9 +5,11 @@ frequent ``vocabulary`` words are units of the network; every other word is one
 ``BINS`` open units (by its last two bytes) times its smoothed share of that unit's count, so a
 probability is given to every text.  Units are put in classes of about equal root mass;
 log P(unit) = log P(class | state) + log P(unit | class, state), both computed over their own
-entries only.  Output biases start from the counts of the whole corpus; the network learns from
-a bounded sample of documents by truncated backpropagation in numpy, the state carried from
-window to window.
+entries only.  Output biases start from the counts of the whole corpus.  The network learns from
+every token of every training text by truncated backpropagation in numpy, the state carried from
+window to window: learners, as many as the tokens ask for, go on from one start over documents
+dealt to them by a hash, and their parameters are averaged.  The common start is a network trained
+on a bounded sample.
 
 Scoring runs documents in lanes: a lane is a queue of whole documents, a window takes the next
 tokens of all lanes, and a lane's state is carried across windows and reset between documents.
@@ -35,6 +37,10 @@ EXCERPT = 4_096
 WIDTH = 16
 LANES = 512
 SCORE_BYTES = 3 << 20
+#: Tokens that one learner goes over, those it holds at a time, and its step size.
+LEARNER_TOKENS = 4_000_000
+LEARN_TOKENS = 1 << 18
+LEARN_RATE = 0.006
 
 
 def word_keys(words: Words) -> np.ndarray:
@@ -102,6 +108,10 @@ class Units:
         self.log_mass = np.log(np.maximum(mass[by_mass], 1))
         self.unit_of = np.where(self.unit_of >= 0, self.place[np.maximum(self.unit_of, 0)], -1).astype(np.int32)
 
+    def known(self) -> "Known":
+        own = self.unit_of >= 0
+        return Known(self.keys[own], self.unit_of[own], self.place[self.first_bin:self.first_bin + BINS])
+
     def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of word keys: whether frequent, their counts (0 if not), their units."""
         if not len(self.keys):
@@ -115,6 +125,20 @@ class Units:
         return found, count, np.where(unit >= 0, unit, bins)
 
 
+class Known:
+    """The units of word keys without their counts: a search among the network's own words only."""
+
+    def __init__(self, keys: np.ndarray, units: np.ndarray, bins: np.ndarray):
+        self.keys, self.units, self.bins = keys, units, bins
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        bins = self.bins[keys & (BINS - 1)]
+        if not len(self.keys):
+            return bins
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.units[at], bins)
+
+
 def initial(units: Units, width: int = WIDTH, seed: int = 8) -> dict:
     rng = np.random.default_rng(seed)
     n, k = len(units.place), len(units.class_first) - 1
@@ -197,8 +221,42 @@ def _log_probabilities(net: dict, units: Units, states: np.ndarray, target: np.n
     return out, below
 
 
+def _learn(net: dict, units: Units, adam: Adam, source: np.ndarray, target: np.ndarray, fresh: np.ndarray, h: np.ndarray, there: np.ndarray | None = None) -> np.ndarray:
+    """One step on a window (time, lane) by backpropagation; only targets ``there`` count.  Returns the states behind it."""
+    hidden, last, kept = _run(net, source, fresh, h, True)
+    g = {key: np.zeros_like(v) for key, v in net.items()}
+    n = source.size
+    if there is None or there.all():
+        above = _log_probabilities(net, units, hidden.reshape(n, -1), target.reshape(-1), g)[1].reshape(hidden.shape)
+    else:
+        above = np.zeros_like(hidden)
+        above[there] = _log_probabilities(net, units, hidden[there], target[there], g)[1]
+    back = np.zeros_like(h)
+    flat = np.empty((*source.shape, 3 * h.shape[1]), np.float32)  # of all three gates
+    for t in range(len(source) - 1, -1, -1):
+        h0, z, r, s, c = kept[t]
+        dh = above[t] + back
+        dz = dh * (c - h0) * ((z > 0) & (z < 1)) * 0.25
+        dc = dh * z * ((c > -1) & (c < 1))
+        dr = dc * s * ((r > 0) & (r < 1)) * 0.25
+        ds = dc * r
+        back = (dh * (1 - z) + dz @ net["uz"].T + dr @ net["ur"].T + ds @ net["un"].T) * (~fresh[t])[:, None]
+        np.concatenate([dz, dr, dc], axis=1, out=flat[t])
+        g["uz"] += h0.T @ dz
+        g["ur"] += h0.T @ dr
+        g["un"] += h0.T @ ds
+    flat, units_in = flat.reshape(n, -1), source.reshape(-1)
+    order = np.argsort(units_in, kind="stable")
+    at = np.flatnonzero(np.diff(units_in[order], prepend=-1))
+    sums, met = np.add.reduceat(flat[order], at), units_in[order[at]]
+    for k, gate in enumerate("zrn"):
+        g[f"x{gate}"][met] = sums[:, k * h.shape[1]:(k + 1) * h.shape[1]]
+    adam.step(net, g)
+    return last
+
+
 def train(units: Units, documents: list[np.ndarray], steps: int = 400, lanes: int = 32, window: int = 16, rate: float = 0.01, seed: int = 6) -> dict:
-    """Truncated backpropagation over lanes of documents; ``documents`` are unit sequences that end with the end unit."""
+    """A network to start from: truncated backpropagation over lanes of documents, unit sequences that end with the end unit."""
     net, rng = initial(units), np.random.default_rng(seed)
     end = int(units.place[units.end])
     documents = [d for d in documents if len(d)]
@@ -216,34 +274,90 @@ def train(units: Units, documents: list[np.ndarray], steps: int = 400, lanes: in
             at, h = 0, np.zeros_like(h)
         source, target = before[at:at + window], grid[at:at + window]
         at += window
-        fresh = source == end
-        hidden, last, kept = _run(net, source, fresh, h, True)
-        g = {key: np.zeros_like(v) for key, v in net.items()}
-        n = source.size
-        _, below = _log_probabilities(net, units, hidden.reshape(n, -1), target.reshape(-1), g)
-        above = below.reshape(hidden.shape)
-        back = np.zeros_like(h)
-        flat = {gate: np.empty_like(above) for gate in "zrn"}
-        for t in range(len(source) - 1, -1, -1):
-            h0, z, r, s, c = kept[t]
-            dh = above[t] + back
-            dz = dh * (c - h0) * ((z > 0) & (z < 1)) * 0.25
-            dc = dh * z * ((c > -1) & (c < 1))
-            dr = dc * s * ((r > 0) & (r < 1)) * 0.25
-            ds = dc * r
-            back = (dh * (1 - z) + dz @ net["uz"].T + dr @ net["ur"].T + ds @ net["un"].T) * (~fresh[t])[:, None]
-            flat["z"][t], flat["r"][t], flat["n"][t] = dz, dr, dc
-            g["uz"] += h0.T @ dz
-            g["ur"] += h0.T @ dr
-            g["un"] += h0.T @ ds
-        for gate in "zrn":
-            np.add.at(g[f"x{gate}"], source.reshape(-1), flat[gate].reshape(n, -1))
-        h = last
         adam.rate = rate * (1 - 0.9 * k / steps)
-        adam.step(net, g)
+        h = _learn(net, units, adam, source, target, source == end, h)
     return net
 
 
+class Learner:
+    """Goes on training a copy of ``net``, once over every unit of the documents it is given."""
+
+    def __init__(self, units: Units, net: dict, rate: float = LEARN_RATE):
+        self.units, self.net, self.seen = units, {k: v.copy() for k, v in net.items()}, 0
+        self.adam = Adam(self.net, rate)
+
+    def learn(self, text: np.ndarray, lanes: int = LANES, window: int = 16) -> None:
+        """``text``: units of documents back to back, each with its end; cut into lanes of equal length, fewer for a short text so that it has several steps."""
+        end = int(self.units.place[self.units.end])
+        lanes = max(1, min(32, len(text) // window), min(lanes, len(text) // (32 * window)))
+        span = -(-len(text) // lanes)
+        padded = np.full(lanes * span, end, np.int64)
+        padded[:len(text)] = text
+        grid = padded.reshape(lanes, span).T
+        there = (np.arange(lanes * span) < len(text)).reshape(lanes, span).T
+        before = np.vstack([np.concatenate([[end], grid[-1, :-1]]), grid[:-1]])
+        h = np.zeros((lanes, WIDTH), np.float32)
+        for at in range(0, span, window):
+            source = before[at:at + window]
+            h = _learn(self.net, self.units, self.adam, source, grid[at:at + window], source == end, h, there[at:at + window])
+        self.seen += len(text)
+
+
+def learned(training: DataFrame, units: Units, net: dict, n_tokens: int, text_col: str = "text", id_col: str = "doc_id", learner_tokens: int = LEARNER_TOKENS) -> dict:
+    """The network after one pass over all tokens of all training texts.
+
+    Documents are dealt to learners by a hash, one for every ``learner_tokens`` tokens; each goes on from ``net`` over its
+    documents, and the parameters are averaged by the tokens learned.  Which learner gets a document, and when, does not
+    depend on how the table lies in files.  The driver gets the averages only, as many numbers as the network has.
+    """
+    names = sorted(net)
+    own = F.xxhash64(F.col(quoted(id_col)), F.col(quoted(text_col)), F.lit(31))
+
+    known = units.known()
+
+    def encoded(texts: Texts) -> list:
+        words = Words(texts)
+        ids = known(word_keys(words)).astype("<u2")
+        end = np.uint16(units.place[units.end])
+        return [pa.array([np.append(ids[lo:hi], end).tobytes() for lo, hi in zip(words.first[:-1], words.first[1:])], pa.binary())]
+
+    def run(batches):
+        learner = Learner(units, net)
+        held: list[bytes] = []
+        size = 0
+
+        def take() -> None:
+            text = np.frombuffer(b"".join(held), "<u2")
+            for lo in range(0, len(text), 2 * LEARN_TOKENS):  # only a very long text is cut here
+                learner.learn(text[lo:lo + 2 * LEARN_TOKENS])
+
+        for batch in batches:
+            for ids in batch.column("__ids").to_pylist():
+                held.append(ids)
+                size += len(ids) // 2
+                if size >= LEARN_TOKENS:
+                    take()
+                    held, size = [], 0
+        take()
+        if learner.seen:
+            values = np.concatenate([learner.net[k].reshape(-1) for k in names]).astype(np.float64)
+            yield pa.RecordBatch.from_pydict({"seen": [learner.seen], "p": pa.array([values], pa.list_(pa.float64()))})
+
+    sent = over_texts(training.select(own.alias("__u"), F.col(quoted(text_col)).alias("__text")), "__text", [("__ids", "binary")], encoded, passing=["__u"])
+    dealt = sent.repartition(max(1, round(n_tokens / learner_tokens)), "__u").sortWithinPartitions("__u", "__ids")
+    made = stored(dealt.select("__ids").mapInArrow(run, "seen long, p array<double>"), "lm-learned")
+    total = made.agg(F.sum("seen")).first()[0]
+    if not total:
+        return net
+    share = made.select((F.col("seen") / F.lit(float(total))).alias("share"), F.posexplode("p").alias("at", "v"))
+    rows = share.groupBy("at").agg(F.sum(F.col("share") * F.col("v")).alias("v")).toPandas().sort_values("at")
+    values, start, out = rows["v"].to_numpy(np.float64), 0, {}
+    for k in names:
+        out[k] = values[start:start + net[k].size].reshape(net[k].shape).astype(np.float32)
+        start += net[k].size
+    return out
+
+
 def document_scores(net: dict, units: Units, tokens: np.ndarray, first: np.ndarray, lanes: int = LANES, window: int = 16) -> np.ndarray:
     """Natural log-likelihood of every document; ``tokens`` holds documents back to back from ``first``."""
     sizes = np.diff(first)
@@ -304,8 +418,8 @@ def unit_sequences(units: Units):
 def fit(training: DataFrame, counts: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, frequent: int = FREQUENT) -> Model:
     """A model from training documents and their word counts.
 
-    All counts come from the whole corpus; ``frequent`` bounds the table of counts that tasks hold and
-    ``sample_rows`` the documents (of each an excerpt of 4,096 characters) from which the network learns.
+    All counts come from the whole corpus, and the network learns from all of it; ``frequent`` bounds the table of counts that
+    tasks hold and ``sample_rows`` the documents (of each an excerpt of 4,096 characters) for the network that learning starts from.
     """
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_docs = training.count()
@@ -323,6 +437,7 @@ def fit(training: DataFrame, counts: DataFrame, text_col: str = "text", id_col:
     chosen = sample.select("__u", F.col("t").substr(place, F.lit(EXCERPT)).alias("t")).orderBy("__u", "t").limit(sample_rows)
     rows = over_texts(chosen, "t", [("ids", "array<int>")], unit_sequences(units), passing=[]).collect()
     net = train(units, [np.array(r["ids"], np.int64) for r in rows])
+    net = learned(training, units, net, int(size["n"]) + n_docs, text_col, id_col)
     return Model(units, net, int(size["n"]) + n_docs, int(size["v"]) + (n_docs > 0), n_docs)
 
 

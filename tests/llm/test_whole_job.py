@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pairlens.llm import language_id, mixing, queries, token_files, warc_revisit
+from pairlens.llm import gru_lm, language_id, mixing, queries, token_files, warc_revisit
 from pairlens.llm.textbatch import slices
 
 
@@ -161,3 +161,40 @@ def test_token_encoder_holds_few_bytes_and_is_read_once():
     at = np.cumsum(sizes) - sizes
     for i in (0, 7, len(texts) - 3, len(texts) - 2, len(texts) - 1):
         assert ids[at[i]:at[i] + sizes[i]].tolist() == [*encoder.tokenizer.encode(texts[i], add_special_tokens=False).ids, 2]
+
+
+def test_language_model_learns_from_all_texts_not_only_from_its_sample(spark):
+    """Two corpora of equal word counts in opposite orders: without a sample only learning from all texts tells them apart."""
+    words = [f"word{i}" for i in range(12)]
+    rows = lambda way: [(i, " ".join(words[(i + way * k) % 12] for k in range(120))) for i in range(240)]
+    probe = spark.createDataFrame(rows(1)[:1], "doc_id long, text string")
+    got = {}
+    for way in (1, -1):
+        docs = spark.createDataFrame(rows(way), "doc_id long, text string")
+        counts = gru_lm.word_counts(docs)
+        model = gru_lm.fit(docs, counts, sample_rows=0)
+        got[way] = gru_lm.scores(probe, model, counts).first().score / 121
+    assert got[1] > got[-1] + 0.1
+
+
+def test_learners_do_not_depend_on_the_files(spark):
+    rng = np.random.default_rng(5)
+    rows = [(None if i % 9 == 0 else i, " ".join(f"w{k}" for k in rng.integers(0, 40, int(rng.integers(0, 90))))) for i in range(150)] + [(7, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    n = sum(len((t or "").split()) + 1 for _, t in rows)
+    keys, c = (np.array(x) for x in zip(*sorted((r.key, r.c) for r in gru_lm.word_counts(docs).collect())))
+    units = gru_lm.Units(keys, c, len(rows), np.ones(gru_lm.BINS))
+    assert (units.known()(np.append(keys, 5)) == units.look_up(np.append(keys, 5))[2]).all()
+    start = gru_lm.initial(units)
+    nets = [gru_lm.learned(d, units, start, n, learner_tokens=n // 3) for d in (docs.repartition(7), docs.orderBy("text").coalesce(1))]
+    assert all(np.allclose(nets[0][k], nets[1][k], atol=1e-6) for k in start)
+    assert any(np.abs(nets[0][k] - start[k]).max() > 1e-3 for k in start)
+    assert all((gru_lm.learned(docs.limit(0), units, start, 0)[k] == start[k]).all() for k in start)
+
+
+def test_every_unit_is_learned(spark):
+    units = gru_lm.Units(np.arange(5) * 64, np.array([9, 7, 5, 3, 1]), 3, np.ones(gru_lm.BINS))
+    for n in (1, 15, 16, 17, 1000, 12345):
+        learner = gru_lm.Learner(units, gru_lm.initial(units))
+        learner.learn(np.random.default_rng(n).integers(0, len(units.place), n))
+        assert learner.seen == n and all(np.isfinite(v).all() for v in learner.net.values())
