@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairlens.llm.components import components, stored
-from pairlens.llm.textbatch import SLICE_BYTES, Texts, Words, mix, over_texts, quoted, slices, stream, text_bytes
+from pairlens.llm.textbatch import SLICE_BYTES, Texts, Words, mix, over_texts, quoted, release, slices, stream, text_bytes
 
 LEADER_TURNS = 2
 
@@ -107,11 +107,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
     both = left.join(texts.select(F.col("__id").alias("b"), F.col("__text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches):
+        batch = part = first = second = cache = sets = None
         for batch in batches:
             for part, first in slices(batch, "ta", SLICE_BYTES):
                 second = text_bytes(part.column("tb"))
                 hit = []
-                cache: dict[bytes, np.ndarray] = {}
+                cache = {}
                 for i in range(len(first)):
                     sets = []
                     for raw in (first.raw(i), second.raw(i)):
@@ -125,6 +126,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
                     hit.append(shared > 0 and 100 * shared >= percent * union)
                 keep = pa.array(hit, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], names=["a", "b"])
+        del batch, part, first, second, cache, sets
+        release()
 
     return both.mapInArrow(run, "a long, b long")
 

@@ -6,6 +6,8 @@ small whatever the batch holds; a text is never cut here.  Null texts count as e
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -22,6 +24,22 @@ _M2 = np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 _powers: dict[str, np.ndarray] = {}
+#: What the operator that ran last in this Python worker keeps for its further tasks.
+worker_kept: dict[str, object] = {}
+
+
+def release(kept: bool = True) -> None:
+    """Give unused memory back to the system, with ``kept`` also what an operator keeps for its tasks.
+
+    Spark's Python workers outlive tasks and stages.  What the allocators hold back from one operator
+    would stand beside the memory of all later ones, also of those that run no Python.
+    """
+    _powers.clear()
+    if kept:
+        worker_kept.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -146,10 +164,14 @@ def over_texts(df: DataFrame, column: str, fields: list[tuple[str, str]], fn: Ca
     schema = T.StructType([by_name[c] for c in keep] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # of another operator's
+        batch = part = texts = made = None
         for batch in batches:
             for part, texts in slices(batch, source, limit):
                 made = [a if isinstance(a, pa.Array) else pa.array(a) for a in fn(texts)]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + made, names=keep + [n for n, _ in fields])
+        del batch, part, texts, made
+        release()
 
     return sent.mapInArrow(run, schema)
 

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pairlens.llm.textbatch import Texts, quoted, slices
+from pairlens.llm.textbatch import Texts, quoted, release, slices, worker_kept
 
 NULL_ID = np.iinfo(np.int64).min
 ENCODED_BYTES = 8 << 20
@@ -132,15 +132,12 @@ class PieceEncoder:
         return flat[gather], np.diff(reach[last].astype(np.int64), prepend=0)
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
 def worker_encoder(path: str) -> PieceEncoder:
     """The encoder that this Python worker keeps for its tasks: reading a vocabulary takes as long as encoding a megabyte."""
-    if path not in _encoders:
-        _encoders.clear()
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    if path not in worker_kept:
+        worker_kept.clear()
+        worker_kept[path] = PieceEncoder(path)
+    return worker_kept[path]
 
 
 def _filesystem(uri: str):
@@ -165,12 +162,13 @@ def _get(fs, path: str, dtype) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
-def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, slice_bytes: int = ENCODED_BYTES) -> DataFrame:
     """Write the files below ``folder`` (a URI all executors share); returns the manifest.
 
     Documents come in ascending order of ``id_col``.  Defined cases: a null or empty text is
     its end id alone; null ids come first; rows that share an id keep an order by their text;
-    an empty table has an empty manifest; other columns are ignored.
+    an empty table has an empty manifest; other columns are ignored.  ``slice_bytes`` of text are
+    encoded at a time: fewer need less memory and more time.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("__id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("__text"))
@@ -190,7 +188,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_
         ids: list[np.ndarray] = []
         with fs.open_output_stream(temporary) as out:
             for batch in batches:
-                for piece, texts in slices(batch, "__text", ENCODED_BYTES):
+                for piece, texts in slices(batch, "__text", slice_bytes):
                     made, sizes = encoder.encode(texts, end_id)
                     lengths.append(sizes)
                     keys = piece.column("__id")
@@ -205,6 +203,8 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_
         _put(fs, f"{name}.idx", offsets.tobytes())
         _put(fs, f"{name}.doc", np.concatenate(ids).tobytes())
         yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [n], "n_tokens": [int(offsets[-1])], "width": [np.dtype(encoder.kind).itemsize]})
+        del batch, piece, texts, made, sizes, keys, lengths, ids, offsets
+        release(kept=False)
 
     made = ordered.mapInArrow(run, "part long, n_docs long, n_tokens long, width long")
     path = f"{folder}/sizes"
@@ -226,6 +226,7 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches):
+        release()  # the vocabulary: the files are written
         fs, base = _filesystem(folder)
         for batch in batches:
             for row in batch.to_pylist():

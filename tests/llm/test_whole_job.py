@@ -1,5 +1,7 @@
 """Targets that are met or reported, and nothing left out: a case for each operator that once did less than the whole job."""
 
+import subprocess
+import sys
 import tracemalloc
 
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pairlens.llm import gru_lm, language_id, mixing, queries, token_files, warc_revisit
+from pairlens.llm import gru_lm, language_id, mixing, queries, textbatch, token_files, warc_revisit
 from pairlens.llm.textbatch import slices
 
 
@@ -198,3 +200,34 @@ def test_every_unit_is_learned(spark):
         learner = gru_lm.Learner(units, gru_lm.initial(units))
         learner.learn(np.random.default_rng(n).integers(0, len(units.place), n))
         assert learner.seen == n and all(np.isfinite(v).all() for v in learner.net.values())
+
+
+def test_python_workers_keep_no_vocabulary_behind_the_token_files(spark, monkeypatch):
+    """The next operator's tasks in a worker drop what the token files kept there, and leave nothing themselves."""
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    encoder = token_files.worker_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert list(textbatch.worker_kept.values()) == [encoder]
+    run = textbatch.over_texts(docs, "text", [("n", "long")], lambda texts: [np.diff(texts.offsets) + len(textbatch.worker_kept)])
+    textbatch._power_tables(10)
+    made = list(run(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some text"]})])))
+    assert made[0].column("n").to_pylist() == [9] and not textbatch.worker_kept and not textbatch._powers
+
+
+def test_memory_between_long_lived_blocks_goes_back_to_the_system():
+    """Free memory below a block in use stays with the allocator until it is asked for; a worker's next tasks would stand on top of it."""
+    said = subprocess.run([sys.executable, "-c", """
+import re
+from pairlens.llm import textbatch
+def resident():
+    return int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+blocks = [bytearray(b"x" * 100_000) for _ in range(2_000)]
+last, blocks = blocks[-1], None
+before = resident()
+textbatch.worker_kept["vocabulary"] = 1
+textbatch.release(kept=False)
+print(before - resident(), len(textbatch.worker_kept))
+textbatch.release()
+print(len(textbatch.worker_kept))
+"""], cwd=str(textbatch.__file__).rsplit("/pairlens/", 1)[0], capture_output=True, text=True, check=True).stdout.split()
+    assert int(said[0]) > 100 and said[1:] == ["1", "0"]
