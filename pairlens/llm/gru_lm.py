@@ -37,6 +37,8 @@ EXCERPT = 4_096
 WIDTH = 16
 LANES = 512
 SCORE_BYTES = 3 << 20
+#: Tokens of all lanes in a window of scoring.
+WINDOW_TOKENS = 8_192
 #: Tokens that one learner goes over, those it holds at a time, and its step size.
 LEARNER_TOKENS = 4_000_000
 LEARN_TOKENS = 1 << 18
@@ -155,70 +157,79 @@ def initial(units: Units, width: int = WIDTH, seed: int = 8) -> dict:
 def _run(net: dict, steps: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool):
     """States after each of ``steps`` (time, lane) inputs; ``fresh`` marks where a document begins."""
     hidden = np.empty((len(steps), steps.shape[1], h.shape[1]), np.float32)
-    tables = [0.25 * net["xz"] + 0.5, 0.25 * net["xr"] + 0.5, net["xn"]]
-    mats = [0.25 * net["uz"], 0.25 * net["ur"], net["un"]]
+    inputs = np.stack([0.25 * net["xz"] + 0.5, 0.25 * net["xr"] + 0.5, net["xn"]])  # the three gates in one array: fewer calls a step
+    mats = np.stack([0.25 * net["uz"], 0.25 * net["ur"], net["un"]])
+    begins = fresh.any(1)
     kept = []
     for t in range(len(steps)):
-        h = h * (~fresh[t])[:, None]
-        z, r, c = (np.take(x, steps[t], axis=0) for x in tables)
-        z += h @ mats[0]
-        np.maximum(z, 0, out=z)
-        np.minimum(z, 1, out=z)
-        r += h @ mats[1]
-        np.maximum(r, 0, out=r)
-        np.minimum(r, 1, out=r)
-        s = h @ mats[2]
+        if begins[t]:
+            h = h * (~fresh[t])[:, None]
+        x, u = inputs.take(steps[t], 1), h @ mats
+        gates, c, s = x[:2], x[2], u[2]
+        gates += u[:2]
+        np.maximum(gates, 0, out=gates)
+        np.minimum(gates, 1, out=gates)
+        z, r = gates
         c += r * s
         np.maximum(c, -1, out=c)
         np.minimum(c, 1, out=c)
         if keep:
             kept.append((h, z, r, s, c))
-        h = h + z * (c - h)
-        hidden[t] = h
-    return hidden, h, kept
+        after = np.subtract(c, h, out=hidden[t])
+        after *= z
+        after += h
+        h = after
+    return hidden, h.copy(), kept
 
 
 def _log_probabilities(net: dict, units: Units, states: np.ndarray, target: np.ndarray, grads: dict | None = None):
     """Natural log P(target | state) of rows; with ``grads`` adds the gradient of the mean loss and returns that of the states too."""
+    order = np.argsort(units.class_of[target], kind="stable")  # rows of a class lie together
+    states, target = states[order], target[order]
     cls = units.class_of[target]
-    logits = states @ net["c"] + net["cb"]
-    logits -= logits.max(1, keepdims=True)
+    # rows run along the last axis, so that sums and largest values over a few entries are of whole rows
+    turned = np.ascontiguousarray(states.T)
+    logits = net["c"].T @ turned
+    logits += net["cb"][:, None]
+    logits -= logits.max(0)
     rows = np.arange(len(target))
-    own = logits[rows, cls].copy()
+    out = logits[cls, rows]
     np.exp(logits, out=logits)
-    norm = logits.sum(1)
-    out = own - np.log(norm)
+    norm = logits.sum(0)
+    out -= np.log(norm)
     below = None
     if grads is not None:
-        logits /= norm[:, None]
-        logits[rows, cls] -= 1
+        logits /= norm
+        logits[cls, rows] -= 1
         logits /= len(target)
-        grads["c"] += states.T @ logits
-        grads["cb"] += logits.sum(0)
-        below = logits @ net["c"].T
-    order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(len(units.class_first)))
+        grads["c"] += turned @ logits.T
+        grads["cb"] += logits.sum(1)
+        below = logits.T @ net["c"].T
+    edges = np.searchsorted(cls, np.arange(len(units.class_first)))
     for k in np.flatnonzero(edges[1:] > edges[:-1]):
-        at = order[edges[k]:edges[k + 1]]
+        at = slice(edges[k], edges[k + 1])
         lo, hi = units.class_first[k], units.class_first[k + 1]
         if hi - lo == 1:
             continue
-        inner = states[at] @ net["w"][lo:hi].T + net["wb"][lo:hi]
-        inner -= inner.max(1, keepdims=True)
+        inner = net["w"][lo:hi] @ turned[:, at]
+        inner += net["wb"][lo:hi, None]
+        inner -= inner.max(0)
         mine = target[at] - lo
-        here = np.arange(len(at))
-        chosen = inner[here, mine].copy()
+        here = rows[:len(mine)]
+        chosen = inner[mine, here]
         np.exp(inner, out=inner)
-        total = inner.sum(1)
+        total = inner.sum(0)
         out[at] += chosen - np.log(total)
         if grads is not None:
-            inner /= total[:, None]
-            inner[here, mine] -= 1
-            inner /= len(target)
-            grads["w"][lo:hi] += inner.T @ states[at]
-            grads["wb"][lo:hi] += inner.sum(0)
-            below[at] += inner @ net["w"][lo:hi]
-    return out, below
+            total *= len(target)
+            inner /= total
+            inner[mine, here] -= np.float32(1 / len(target))
+            grads["w"][lo:hi] += inner @ states[at]
+            grads["wb"][lo:hi] += inner.sum(1)
+            below[at] += inner.T @ net["w"][lo:hi]
+    back = np.empty_like(order)
+    back[order] = rows
+    return out[back], below if below is None else below[back]
 
 
 def _learn(net: dict, units: Units, adam: Adam, source: np.ndarray, target: np.ndarray, fresh: np.ndarray, h: np.ndarray, there: np.ndarray | None = None) -> np.ndarray:
@@ -382,7 +393,8 @@ def document_scores(net: dict, units: Units, tokens: np.ndarray, first: np.ndarr
     at = 0
     while at < loads[0]:
         active = int(np.searchsorted(-loads, -at, "left"))
-        length = int(min(window, loads[0] - at))
+        # the fewer lanes are left the longer is their window, until half of them end
+        length = int(min(loads[0] - at, max(window, min(WINDOW_TOKENS // active, loads[active // 2] - at))))
         index = np.full((length, active), -1, np.int64)
         for k in range(active):
             piece = starts[k][at:at + length]

@@ -231,3 +231,20 @@ textbatch.release()
 print(len(textbatch.worker_kept))
 """], cwd=str(textbatch.__file__).rsplit("/pairlens/", 1)[0], capture_output=True, text=True, check=True).stdout.split()
     assert int(said[0]) > 100 and said[1:] == ["1", "0"]
+
+
+def test_long_documents_are_scored_in_few_windows(monkeypatch):
+    """The lanes of long documents go on alone; their windows get longer, and the likelihoods stay those of each document alone."""
+    rng = np.random.default_rng(5)
+    keys = np.arange(1, 400, dtype=np.int64) << 8
+    units = gru_lm.Units(keys, rng.integers(1, 900, len(keys)), 50, np.full(gru_lm.BINS, 3.0))
+    net = gru_lm.initial(units)
+    sizes = np.array([8_000, 1, 30, 700, 2, 5_000, *rng.integers(1, 90, 60)])
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    tokens = rng.integers(0, len(units.place), first[-1])
+    run, calls = gru_lm._run, []
+    monkeypatch.setattr(gru_lm, "_run", lambda *a: calls.append(1) or run(*a))
+    together = gru_lm.document_scores(net, units, tokens, first)
+    assert len(calls) < 60
+    alone = [gru_lm.document_scores(net, units, tokens[lo:hi], np.array([0, hi - lo]))[0] for lo, hi in zip(first[:-1], first[1:])]
+    assert np.allclose(together, alone, rtol=1e-5)
