@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import sys
+import types
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -24,8 +26,24 @@ _M2 = np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 _powers: dict[str, np.ndarray] = {}
+
+
+def _worker_kept() -> dict[str, object]:
+    return sys.modules.setdefault("pairlens_worker_kept", types.ModuleType("pairlens_worker_kept")).__dict__.setdefault("kept", {})
+
+
+class WorkerKept(dict):
+    """One and the same for all tasks of a Python worker.
+
+    Functions reach the workers by value, each task's with globals of its own; only a module outlives the task.
+    """
+
+    def __reduce__(self):
+        return _worker_kept, ()
+
+
 #: What the operator that ran last in this Python worker keeps for its further tasks.
-worker_kept: dict[str, object] = {}
+worker_kept: dict[str, object] = WorkerKept()
 
 
 def release(kept: bool = True) -> None:

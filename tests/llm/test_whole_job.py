@@ -1,5 +1,6 @@
 """Targets that are met or reported, and nothing left out: a case for each operator that once did less than the whole job."""
 
+import pickle
 import subprocess
 import sys
 import tracemalloc
@@ -9,6 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -214,6 +216,17 @@ def test_python_workers_keep_no_vocabulary_behind_the_token_files(spark, monkeyp
     assert made[0].column("n").to_pylist() == [9] and not textbatch.worker_kept and not textbatch._powers
 
 
+def test_tasks_of_a_worker_share_one_vocabulary():
+    """Functions are sent by value: what a task keeps in their globals is gone with it, and every task would read the vocabulary anew."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    first, second = (pickle.loads(cloudpickle.dumps(token_files.worker_encoder)) for _ in range(2))
+    encoder = first(path)
+    assert second(path) is encoder
+    pickle.loads(cloudpickle.dumps(textbatch.release))()
+    assert second(path) is not encoder
+    pickle.loads(cloudpickle.dumps(textbatch.release))()
+
+
 def test_memory_between_long_lived_blocks_goes_back_to_the_system():
     """Free memory below a block in use stays with the allocator until it is asked for; a worker's next tasks would stand on top of it."""
     said = subprocess.run([sys.executable, "-c", """
