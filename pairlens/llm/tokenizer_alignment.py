@@ -21,7 +21,8 @@ import os
 import sys
 import types
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ REMEMBERED = 400_000
 #: New words aligned at a time.
 ALIGNED = 8_000
 SPACE = "▁"
+PIECE = attrgetter("id", "begin", "end")
 
 FIELDS = [("n_a", "long"), ("n_b", "long"), ("n_groups", "long"), ("n_links", "long"), ("groups_sha256", "string")]
 COUNTED = [("n_best", "long"), ("count_sum", "long")]
@@ -181,28 +183,52 @@ class WordAligner:
         refined = at + total - (total[opens] - size[opens])
         return refined, held & (refined != end)
 
+    def _joinable(self, words: list[bytes]) -> np.ndarray:
+        """Words that stand between cuts wherever they are put: what comes before a cut ends them, what comes behind one begins them."""
+        if not self.cuttable or not words:
+            return np.zeros(len(words), bool)
+        data = np.frombuffer(b"".join(b" " + w for w in words), np.uint8)
+        size = np.array([len(w) + 1 for w in words], np.int64)
+        end = np.cumsum(size)
+        last, before = data[end - 1], data[end - 2]
+        two = (before >= 0xC3) & (before < 0xE0) & (last >= 0x80)
+        return (size > 1) & self.behind[data[np.minimum(end - size + 1, len(data) - 1)]] & (self.plain[last] | two)
+
     def _align(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
+        joinable = self._joinable(words)
+        left = self._add([w for w, yes in zip(words, joinable) if yes], True)
+        self._add([w for w, yes in zip(words, joinable) if not yes] + left, False)
+
+    def _add(self, words: list[bytes], joined: bool) -> list[bytes]:
+        """Align words, each alone or ``joined`` as one text; returns those of a joined text that have to be aligned alone."""
+        if not words:
+            return []
         whole = b"".join(b" " + w for w in words)
         data = np.frombuffer(whole, np.uint8)
         size = np.array([len(w) + 1 for w in words], np.int64)
         base = np.cumsum(size) - size
+        texts, text_base = ([whole[1:].decode()], base[:1]) if joined else ([w.decode() for w in words], base)
         # A: character offsets, turned into byte offsets by the characters' first bytes
         made = self.a_model.encode_batch([" " + t for t in texts], add_special_tokens=False)
-        a_n = np.array([len(e.ids) for e in made], np.int64)
+        a_n = np.array([len(e) for e in made], np.int64)
         a_ids = np.fromiter(chain.from_iterable(e.ids for e in made), np.int64, a_n.sum())
         spans = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in made)), np.int64, 2 * a_n.sum())
         leads = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-        char_base = np.repeat(np.searchsorted(leads, base), a_n)
+        char_base = np.repeat(np.searchsorted(leads, text_base), a_n)
         a_begin, a_end = leads[char_base + spans[0::2]], leads[char_base + spans[1::2]]
         # B: byte spans, which leave out the space put before the text
         protos = self.b_model.encode(texts, return_type="proto", num_threads=1)
         b_n = np.array([len(p.pieces) for p in protos], np.int64)
-        flat = np.fromiter(chain.from_iterable((p.id, p.begin, p.end) for x in protos for p in x.pieces), np.int64, 3 * b_n.sum())
-        b_ids, b_base = flat[0::3], np.repeat(base, b_n)
+        flat = np.fromiter(chain.from_iterable(map(PIECE, chain.from_iterable(p.pieces for p in protos))), np.int64, 3 * b_n.sum())
+        b_ids, b_base = flat[0::3], np.repeat(text_base, b_n)
         b_begin, b_end = b_base + 1 + flat[1::3], b_base + 1 + flat[2::3]
         b_first = np.cumsum(b_n) - b_n
         b_begin[b_first[b_n > 0]] -= 1
+        if joined:
+            a_of, b_of = (np.searchsorted(base, begin, "right") - 1 for begin in (a_begin, b_begin))
+            if (np.diff(a_of) < 0).any() or (np.diff(b_of) < 0).any():
+                return words
+            a_n, b_n = (np.bincount(of, minlength=len(words)) for of in (a_of, b_of))
         good = np.ones(len(words), bool)
         ends = []
         for side, ids, n, begin, end in ((self.a, a_ids, a_n, a_begin, a_end), (self.b, b_ids, b_n, b_begin, b_end)):
@@ -231,9 +257,11 @@ class WordAligner:
         at = np.concatenate([[0], np.cumsum(np.where(good, a_n + b_n, 0))]).tolist()
         shown = np.empty(len(words), object)
         shown[:] = ["".join(strings[lo:hi]) for lo, hi in zip(at, at[1:])]
+        kept = good if joined else np.ones(len(words), bool)
         start = len(self.number)
-        self.number.update(zip(words, range(start, start + len(words))))
-        self.fresh.append((a_n, b_n, n_links, good, shown, keys))
+        self.number.update(zip(compress(words, kept), range(start, start + len(words))))
+        self.fresh.append((*(x[kept] for x in (a_n, b_n, n_links, good, shown)), keys))
+        return list(compress(words, ~kept))
 
     def links(self, numbers: np.ndarray) -> np.ndarray:
         """The pair keys (A id times B's vocabulary plus B id) of words in order."""

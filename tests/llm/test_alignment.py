@@ -71,3 +71,32 @@ def test_spans_are_refined_inside_characters():
 def test_pairs_stay_below_the_bound():
     a, b = [b"ab", b"b"], [b"b", b"xab"]
     assert ta.pair_bound(a, b) >= 4
+
+
+def test_new_words_are_encoded_together():
+    """Words that stand between cuts go to the tokenizers as one text, with the same tokens as alone; a word that fails there fails alone only."""
+    class Counting:
+        def __init__(self, model):
+            self.model, self.texts = model, 0
+
+        def encode_batch(self, texts, **options):
+            self.texts += len(texts)
+            return self.model.encode_batch(texts, **options)
+
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("aeinst.0é日'"), int(n))) for n in rng.integers(1, 12, 800)]
+    words = [w.encode() for w in dict.fromkeys([*words, "▁x", "a▁", " ", "", "x\n", "\ny", "<s>", "ﬁn", "́e", "9" * 300])]
+    together, alone = ta.WordAligner(A, B), ta.WordAligner(A, B)
+    together.a_model = Counting(together.a_model)
+    together._align(words)
+    alone.cuttable = False
+    alone._align(words)
+    for aligner in (together, alone):
+        aligner._settle()
+    assert together.a_model.texts < len(words) // 2
+    for w in words:
+        i, j = together.number[w], alone.number[w]
+        assert together.good[i] == alone.good[j] and together.shown[i] == alone.shown[j]
+        if alone.good[j]:
+            assert (together.n_a[i], together.n_b[i]) == (alone.n_a[j], alone.n_b[j])
+            assert together.links(np.array([i])).tolist() == alone.links(np.array([j])).tolist()
