@@ -18,8 +18,8 @@ returns link counts and a spanning forest of its links, never all pairs.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm.components import components, stored
@@ -56,13 +56,13 @@ def multi_sequence(first: np.ndarray, second: np.ndarray, limit: float) -> list[
     import heapq
 
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    u, v = first[a] ** 2, second[b] ** 2
+    u, v, a, b = (first[a] ** 2).tolist(), (second[b] ** 2).tolist(), a.tolist(), b.tolist()
     out, heap, seen = [], [(u[0] + v[0], 0, 0)], {(0, 0)}
     while heap:
         cost, i, j = heapq.heappop(heap)
         if cost > limit:
             break
-        out.append((int(a[i]), int(b[j])))
+        out.append((a[i], b[j]))
         for n in ((i + 1, j), (i, j + 1)):
             if n[0] < len(a) and n[1] < len(b) and n not in seen:
                 seen.add(n)
@@ -90,6 +90,16 @@ def _limit(sample: np.ndarray, one: np.ndarray, two: np.ndarray, threshold: floa
     return min(radius, max(radius * 12 / width, 1.5 * float(np.quantile(needed, recall)) if len(a) else 0.0))
 
 
+def _divided(vector: Column, by: Column) -> Column:
+    """Every component over ``by``.  What a lambda holds is evaluated for each component, the repeated number once for the vector."""
+    return F.zip_with(vector, F.array_repeat(by, F.size(vector)), lambda x, y: x / y)
+
+
+def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
+    """Vectors of one length as rows."""
+    return vectors.flatten().to_numpy().reshape(len(vectors), width)
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, recall: float = 0.9999, codewords: int = 16, sample_rows: int = SAMPLE_ROWS, block: int = 256) -> DataFrame:
     """One row per input row: ``vec_id``, ``n_links``, ``component_id``, ``kept``.
 
@@ -100,16 +110,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     other columns are ignored.
     """
     rows = vectors.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(vector_col)).cast("array<double>").alias("v"), F.col(quoted(label_col)).cast("string").alias("label"))
-    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    scale = F.array_max(F.transform("v", F.abs))
-    fine = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.coalesce(bad, F.lit(True)) & (scale > 0)
+    scale = F.greatest(F.array_max("v"), -F.array_min("v"))  # NaN, which is beyond all numbers, if any component is
+    fine = ~F.coalesce(F.exists("v", F.isnull), F.lit(True)) & (scale > 0) & (scale < float("inf"))
     # dividing by the largest component first keeps squares from running over or under
-    usable = rows.filter("label IS NOT NULL AND id IS NOT NULL").filter(fine).withColumn("v", F.transform("v", lambda x: x / scale))
-    usable = usable.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).withColumn("v", F.transform("v", lambda x: x / F.col("norm"))).drop("norm")
+    usable = rows.filter("label IS NOT NULL AND id IS NOT NULL").filter(fine).withColumn("v", _divided(F.col("v"), scale))
+    usable = usable.withColumn("v", _divided(F.col("v"), F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))))
     usable = usable.withColumn("label", F.concat_ws(":", F.size("v"), "label"))
-    tagged = stored(usable, "vectors")
-    reps = tagged.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("mult"))
-    reps = stored(reps.select("label", "v", "rep", "mult"), "vector-classes")
+    tagged = stored(usable.withColumn("hash", F.xxhash64("label", "v")), "vectors")  # equal vectors are sorted by it
+    reps = tagged.groupBy("hash", "label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("mult"))
 
     picked = tagged.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas()  # the documented bound
     books: dict[int, tuple] = {}
@@ -120,52 +128,59 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         books[int(size)] = (one, two, _limit(data, one, two, threshold, recall))
 
     def place(batches):
-        for pdf in batches:
-            own, probes = [None] * len(pdf), [None] * len(pdf)
-            lengths = pdf.v.map(len).to_numpy()
+        for batch in batches:
+            vectors = batch.column("v")
+            own, probes = [None] * len(vectors), [None] * len(vectors)
+            lengths = vectors.value_lengths().to_numpy()
             for size in np.unique(lengths):
                 at = np.flatnonzero(lengths == size)
-                data = np.stack([np.asarray(x, np.float64) for x in pdf.v.iloc[at]])
+                data = _matrix(vectors.take(pa.array(at)), size)
                 half = (size + 1) // 2
                 one, two, limit = books.get(int(size), (np.zeros((1, half)), np.zeros((1, size - half)), 1.0))
                 (i, bi), (j, bj) = half_bounds(data[:, :half], one), half_bounds(data[:, half:], two)
                 for k, row in enumerate(at):
                     own[row] = int(i[k]) * len(two) + int(j[k])
                     probes[row] = [a * len(two) + b for a, b in multi_sequence(bi[k], bj[k], limit)]
-            yield pd.DataFrame({"label": pdf.label, "v": pdf.v, "rep": pdf.rep, "mult": pdf.mult, "own": own, "probes": probes})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64()), pa.array(probes, pa.list_(pa.int64()))], names=[*batch.schema.names, "own", "probes"])
 
-    placed = stored(reps.mapInPandas(place, "label string, v array<double>, rep long, mult long, own long, probes array<long>"), "vector-cells")
-    sizes = placed.groupBy("label", "own").agg(F.ceil(F.count("*") / block).alias("blocks")).withColumnRenamed("own", "cell")
-    stocked = placed.withColumnRenamed("own", "cell").join(sizes, ["label", "cell"]).withColumn("bin", F.pmod(F.xxhash64("rep"), "blocks"))
-    shelf = stocked.groupBy("label", "cell", "bin").agg(F.collect_list(F.struct("rep", "mult", "v")).alias("theirs"))
-    asked = placed.select("label", F.explode("probes").alias("cell"), "rep", "mult", "v").join(sizes, ["label", "cell"])
+    placed = stored(reps.mapInArrow(place, "hash long, label string, v array<double>, rep long, mult long, own long, probes array<long>"), "vector-cells")
+    asked = placed.select("label", F.explode("probes").alias("cell"), "rep", "mult", "v")
+    stocked = placed.select("label", F.col("own").alias("cell"), "rep", "mult", "v")
     loads = asked.groupBy("label", "cell").agg(F.ceil(F.count("*") / block).alias("loads"))
-    asked = asked.join(loads, ["label", "cell"]).withColumn("load", F.pmod(F.xxhash64("rep"), "loads"))
+    sizes = stocked.groupBy("label", "cell").agg(F.ceil(F.count("*") / block).alias("blocks")).join(loads, ["label", "cell"])
+    stocked = stocked.join(sizes, ["label", "cell"]).withColumn("bin", F.pmod(F.xxhash64("rep"), "blocks"))
+    shelf = stocked.groupBy("label", "cell", "bin").agg(F.collect_list(F.struct("rep", "mult", "v")).alias("theirs"))
+    asked = asked.join(sizes, ["label", "cell"]).withColumn("load", F.pmod(F.xxhash64("rep"), "loads"))
     queries = asked.groupBy("label", "cell", "load").agg(F.collect_list(F.struct("rep", "mult", "v")).alias("ours"))
     meeting = queries.join(shelf, ["label", "cell"]).select("ours", "theirs")
 
     def compare(batches):
-        for pdf in batches:
+        for batch in batches:
             node, count, other = [], [], []
-            for ours, theirs in zip(pdf.ours, pdf.theirs):
-                qi, ti = np.array([r["rep"] for r in ours]), np.array([r["rep"] for r in theirs])
-                q, t = np.array([list(r["v"]) for r in ours], np.float64), np.array([list(r["v"]) for r in theirs], np.float64)
-                mult = np.array([r["mult"] for r in theirs])
-                hit = (q @ t.T >= threshold) & (qi[:, None] != ti[None])
-                if not hit.any():
+            for ours, theirs in zip(batch.column("ours"), batch.column("theirs")):
+                ours, theirs = ours.values, theirs.values
+                qi, ti = ours.field("rep").to_numpy(), theirs.field("rep").to_numpy()
+                width = len(ours.field("v")[0])  # the same for all vectors of a label
+                q, t = _matrix(ours.field("v"), width), _matrix(theirs.field("v"), width)
+                a, b = np.nonzero(q @ t.T >= threshold)
+                apart = qi[a] != ti[b]
+                a, b = a[apart], b[apart]
+                if not len(a):
                     continue
-                links, size = hit @ mult, q.shape[1]
-                half = (size + 1) // 2
-                one, two, limit = books.get(size, (np.zeros((1, half)), np.zeros((1, size - half)), 1.0))
+                links = np.bincount(a, theirs.field("mult").to_numpy()[b], len(qi)).astype(np.int64)
+                half = (width + 1) // 2
+                one, two, limit = books.get(width, (np.zeros((1, half)), np.zeros((1, width - half)), 1.0))
+                hit, of = np.unique(b, return_inverse=True)
                 (i, _), (j, _) = half_bounds(q[:, :half], one), half_bounds(q[:, half:], two)
-                (_, bi), (_, bj) = half_bounds(t[:, :half], one), half_bounds(t[:, half:], two)
-                unasked = hit & (bi[:, i] ** 2 + bj[:, j] ** 2 > limit).T  # the other side does not visit our cell
-                theirs_too = np.array([r["mult"] for r in ours]) @ unasked
+                (_, bi), (_, bj) = half_bounds(t[hit, :half], one), half_bounds(t[hit, half:], two)
+                unasked = bi[of, i[a]] ** 2 + bj[of, j[a]] ** 2 > limit  # the other side does not visit our cell
+                theirs_too = np.bincount(b[unasked], ours.field("mult").to_numpy()[a[unasked]], len(ti)).astype(np.int64)
                 # the smallest id reachable within the two blocks stands for a spanning forest
-                row, column, most = qi.copy(), ti.copy(), np.iinfo(np.int64).max
+                row, column = qi.copy(), ti.copy()
                 while True:
-                    new_row = np.minimum(row, np.where(hit, column[None], most).min(1))
-                    new_column = np.minimum(column, np.where(hit, new_row[:, None], most).min(0))
+                    new_row, new_column = row.copy(), column.copy()
+                    np.minimum.at(new_row, a, column[b])
+                    np.minimum.at(new_column, b, new_row[a])
                     if (new_row == row).all() and (new_column == column).all():
                         break
                     row, column = new_row, new_column
@@ -178,15 +193,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                         node.append(int(ids[k]))
                         count.append(int(n[k]))
                         other.append(None)
-            yield pd.DataFrame({"node": pd.array(node, "Int64"), "links": pd.array(count, "Int64"), "other": pd.array(other, "Int64")})
+            yield pa.RecordBatch.from_pydict({"node": pa.array(node, pa.int64()), "links": pa.array(count, pa.int64()), "other": pa.array(other, pa.int64())})
 
-    found = stored(meeting.mapInPandas(compare, "node long, links long, other long"), "vector-links")
+    found = stored(meeting.mapInArrow(compare, "node long, links long, other long"), "vector-links")
     outside = found.filter("other IS NULL").groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("outside"))
-    per_class = reps.join(outside, "rep", "left").select("label", "v", "rep", (F.coalesce("outside", F.lit(0)) + F.col("mult") - 1).alias("n"))
-    members = tagged.join(per_class, ["label", "v"]).select("id", "rep", "n")
+    members = stored(tagged.join(placed.select("hash", "label", "v", "rep", "mult"), ["hash", "label", "v"]).select("id", "rep", "mult"), "vector-members")
     edges = found.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")).unionByName(members.select(F.col("rep").alias("a"), F.col("id").alias("b")).filter("a <> b"))
     named = components(edges, "vector-cc").select(F.col("node").alias("id"), F.col("component").alias("c"))
-    counted = members.groupBy("id").agg(F.max("n").alias("n"))
+    counted = members.join(outside, "rep", "left").groupBy("id").agg(F.max(F.coalesce("outside", F.lit(0)) + F.col("mult") - 1).alias("n"))
     return rows.select("id").join(counted, "id", "left").join(named, "id", "left").select(
         F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id"),
         F.coalesce(F.col("id") == F.coalesce("c", "id"), F.lit(True)).alias("kept"),

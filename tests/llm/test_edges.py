@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 
 import public_tokenizers
 from pairlens.llm import decontamination, embedding_dedup, gru_lm, language_id, minhash_dedup, mixing, quality_cnn, secret_ledger, token_files, warc_revisit
+from pairlens.llm.components import stored
 from pairlens.llm.textbatch import Texts
 from pairlens.session import fresh_path
 
@@ -224,6 +225,25 @@ def test_near_vectors(spark):
     assert embedding_dedup.near_vectors(table.limit(0)).count() == 0
 
 
+def test_near_vectors_scale_once_a_vector_and_join_by_hash(spark, monkeypatch):
+    """No lambda holds a sum or a largest component, the vectors are joined once, and that by a hash first."""
+    plans = {}
+
+    def noted(df, label):
+        plans.setdefault(label, df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df, label)
+
+    monkeypatch.setattr(embedding_dedup, "stored", noted)
+    rows = [(1, [1.0, 0.0], 1), (2, [3.0, -0.0], 1), (2, [1.0, 0.001], 1), (3, [0.0, 2.0], 1), (4, [-1e-320, 0.0], 1), (5, [-1.0, float("-inf")], 1)]
+    found = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), recall=1.0)
+    plans["result"] = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found.collect()) == [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True)]
+    lambdas = re.findall(r"lambdafunction\(\((?:lambda \w+#\d+|\w+) / (.{12})", plans["vectors"])
+    assert len(lambdas) == 2 and not any(re.match(r"sqrt|aggregate|array_max|greatest|norm", x, re.I) for x in lambdas), lambdas
+    by_vector = [x for p in plans.values() for x in re.findall(r"Join Inner, (.*)", p) if re.search(r"\bv#\d+", x)]
+    assert len(by_vector) == 1 and re.match(r"\(*hash#", by_vector[0]), by_vector
+
+
 def test_token_files_runs_of_copies(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = [(1, "a copy of one text")] * 3 + [(2, "a copy of one text"), (2, "another text"), (None, None), (None, "")] + [(3, "")] * 2
