@@ -46,25 +46,24 @@ def _unit(net: dict, d: str, steps: np.ndarray, keep: bool):
     kept = []
     tables = [0.25 * net[f"xz{d}"] + 0.5, 0.25 * net[f"xr{d}"] + 0.5, net[f"xn{d}"]]
     mats = [0.25 * net[f"uz{d}"], 0.25 * net[f"ur{d}"], net[f"un{d}"]]
+    moved, (z, r, c, s) = np.empty_like(h), (np.empty_like(h) for _ in range(4))
     for t in (range(len(steps)) if d == "f" else range(len(steps) - 1, -1, -1)):
-        at = steps[t]
-        z, r, c = (np.take(x, at, axis=0) for x in tables)
-        z += h @ mats[0]
-        np.maximum(z, 0, out=z)
-        np.minimum(z, 1, out=z)
-        r += h @ mats[1]
-        np.maximum(r, 0, out=r)
-        np.minimum(r, 1, out=r)
-        s = h @ mats[2]
-        c += r * s
-        np.maximum(c, -1, out=c)
-        np.minimum(c, 1, out=c)
+        if keep:  # arrays of its own for every step
+            z, r, c, s = (np.empty_like(h) for _ in range(4))
+        for x, gate in zip(tables, (z, r, c)):
+            np.take(x, steps[t], axis=0, out=gate, mode="clip")  # a byte is never out of range; "raise" would need a copy
+        z += np.matmul(h, mats[0], out=moved)
+        np.clip(z, 0, 1, out=z)
+        r += np.matmul(h, mats[1], out=moved)
+        np.clip(r, 0, 1, out=r)
+        np.matmul(h, mats[2], out=s)
+        c += np.multiply(r, s, out=moved)
+        np.clip(c, -1, 1, out=c)
         if keep:
             kept.append((t, h, z, r, s, c))
-        c_minus = c - h
-        c_minus *= z
-        h = h + c_minus
-        hidden[t] = h
+        np.subtract(c, h, out=moved)
+        moved *= z
+        h = np.add(h, moved, out=hidden[t])
     return hidden, kept
 
 

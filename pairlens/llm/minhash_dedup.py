@@ -52,7 +52,8 @@ def shingle_sets(texts: Texts, size: int) -> list[np.ndarray]:
     for lo, hi in zip(first[:-1], first[1:]):
         count = hi - lo
         if count >= size:
-            out.append(np.unique(rolled[lo:hi - size + 1]))
+            ordered = np.sort(rolled[lo:hi - size + 1])  # a few hundred values: quicker than np.unique, which hashes them first
+            out.append(ordered[np.append(True, ordered[1:] != ordered[:-1])])
         elif count:
             whole = h[lo:lo + 1].copy()
             for k in range(lo + 1, hi):
@@ -107,26 +108,19 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
     both = left.join(texts.select(F.col("__id").alias("b"), F.col("__text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches):
-        batch = part = first = second = cache = sets = None
+        batch = part = met = sets = None
         for batch in batches:
-            for part, first in slices(batch, "ta", SLICE_BYTES):
-                second = text_bytes(part.column("tb"))
+            for part, _ in slices(batch, "ta", SLICE_BYTES // 2):
+                met = pa.chunked_array([part.column(x).cast(pa.large_string()).fill_null("") for x in ("ta", "tb")]).combine_chunks().dictionary_encode()
+                sets = shingle_sets(text_bytes(met.dictionary), shingle)  # each distinct text once
                 hit = []
-                cache = {}
-                for i in range(len(first)):
-                    sets = []
-                    for raw in (first.raw(i), second.raw(i)):
-                        if raw not in cache:
-                            if len(cache) > 64:
-                                cache.clear()
-                            cache[raw] = shingle_sets(Texts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])), shingle)[0]
-                        sets.append(cache[raw])
-                    shared = len(np.intersect1d(*sets, assume_unique=True))
-                    union = len(sets[0]) + len(sets[1]) - shared
+                for i, j in met.indices.to_numpy().reshape(2, -1).T:
+                    shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    union = len(sets[i]) + len(sets[j]) - shared
                     hit.append(shared > 0 and 100 * shared >= percent * union)
                 keep = pa.array(hit, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], names=["a", "b"])
-        del batch, part, first, second, cache, sets
+        del batch, part, met, sets
         release()
 
     return both.mapInArrow(run, "a long, b long")
@@ -213,6 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grid = classes.select("rep", "n", F.posexplode("s1").alias("i", "x"), "s2").select(
         "rep", "n", "i", "x", F.posexplode("s2").alias("j", "y")
     ).select(F.xxhash64("i", "x", "j", "y").alias("key"), "rep", "n")
+    grid = grid.repartition("key")  # made and dealt once, for the leaders and for the rows that join them
     shared = grid.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(_order("rep").alias("o"), F.col("rep").alias("leader"), F.col("n").alias("ln"))).alias("lead")).filter("size > 1")
     buckets = stored(
         grid.join(shared.select("key", "size", "lead.leader", "lead.ln"), "key").select("key", "size", "rep", "n", "leader", "ln"), "minhash-buckets"

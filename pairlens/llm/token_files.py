@@ -17,6 +17,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -30,7 +31,7 @@ ENCODED_BYTES = 8 << 20
 
 
 class PieceEncoder:
-    """Encodes whole texts with a byte-level BPE tokenizer, each distinct piece of a slice only once.
+    """Encodes whole texts with a byte-level BPE tokenizer, each distinct piece it remembers only once.
 
     Pieces begin at a single space or line feed between two characters that are surely no white
     space.  The tokenizer's splitting pattern never matches across such a place, so the ids of a
@@ -39,6 +40,8 @@ class PieceEncoder:
     """
 
     JOINED_BYTES = 1 << 18
+    #: Distinct pieces remembered at most; with one more it begins anew.
+    REMEMBERED = 1 << 19
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -53,6 +56,13 @@ class PieceEncoder:
         behind = plain.copy()
         behind[0xC3:0xE0] = True  # first bytes that no white space has
         self.opens, self.plain, self.behind = opens, plain, behind
+        self.job = ""
+        self.forget()
+
+    def forget(self) -> None:
+        """Begin without pieces."""
+        self.met = pa.array([], pa.large_binary())
+        self.flat, self.starts, self.counts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _cuts(self, texts: Texts) -> np.ndarray:
         """Starts of all pieces, ascending; every non-empty text starts one."""
@@ -112,14 +122,31 @@ class PieceEncoder:
             held += len(made)
         return (np.concatenate(flat) if flat else np.empty(0, np.int32)), starts, counts
 
+    def _remembered(self, pieces: pa.Array) -> np.ndarray:
+        """Where distinct pieces stand among :attr:`met`; those not met yet are encoded and added."""
+        at = pc.index_in(pieces, value_set=self.met)
+        if at.null_count and len(self.met) + at.null_count > self.REMEMBERED:
+            self.forget()
+            at = pa.nulls(len(pieces), pa.int32())
+        if at.null_count:
+            new = pieces.filter(at.is_null())
+            flat, starts, counts = self._distinct(new)
+            at = at.fill_null(-1).to_numpy().copy()
+            at[at < 0] = len(self.met) + np.arange(len(new))
+            self.starts, self.counts = np.append(self.starts, starts + len(self.flat)), np.append(self.counts, counts)
+            self.met, self.flat = pa.concat_arrays([self.met, new]), np.append(self.flat, flat)
+            return at
+        return at.to_numpy()
+
     def encode(self, texts: Texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with ``end_id`` after each text, as :attr:`kind`, and the number of ids of each text."""
         cuts = self._cuts(texts)
         offsets = np.append(cuts, len(texts.data)).astype(np.int64)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(texts.data))])
         coded = pieces.dictionary_encode()
-        flat, starts, counts = self._distinct(coded.dictionary)
-        place = np.int32 if len(texts.data) + len(texts) < 1 << 30 else np.int64  # there are no more ids than bytes and ends
+        at = self._remembered(coded.dictionary)
+        flat, starts, counts = self.flat, self.starts[at], self.counts[at]
+        place = np.int32 if len(texts.data) + len(texts) + len(flat) < 1 << 30 else np.int64  # there are no more ids than bytes and ends
         starts, counts = np.append(starts, len(flat)).astype(place), np.append(counts, 1).astype(place)
         flat = np.append(flat, end_id).astype(self.kind)
         per_text = np.searchsorted(cuts, texts.offsets)
@@ -133,12 +160,19 @@ class PieceEncoder:
         return flat[gather], np.diff(reach[last].astype(np.int64), prepend=0)
 
 
-def worker_encoder(path: str) -> PieceEncoder:
-    """The encoder that this Python worker keeps for its tasks: reading a vocabulary takes as long as encoding a megabyte."""
+def worker_encoder(path: str, job: str = "") -> PieceEncoder:
+    """The encoder that this Python worker keeps for its tasks: reading a vocabulary takes as long as encoding a megabyte.
+
+    Its pieces are those of one ``job``; another one begins without any.
+    """
     if path not in worker_kept:
         worker_kept.clear()
         worker_kept[path] = PieceEncoder(path)
-    return worker_kept[path]
+    encoder = worker_kept[path]
+    if encoder.job != job:
+        encoder.forget()
+        encoder.job = job
+    return encoder
 
 
 def _filesystem(uri: str):
@@ -179,7 +213,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_
     def run(batches):
         from pyspark import TaskContext
 
-        encoder = worker_encoder(vocabulary)
+        encoder = worker_encoder(vocabulary, folder)
         fs, base = _filesystem(folder)
         fs.create_dir(base, recursive=True)
         part = TaskContext.get().partitionId()

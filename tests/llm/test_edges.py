@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 import public_tokenizers
 from pairlens.llm import decontamination, embedding_dedup, gru_lm, language_id, minhash_dedup, mixing, quality_cnn, secret_ledger, token_files, warc_revisit
 from pairlens.llm.components import stored
-from pairlens.llm.textbatch import Texts
+from pairlens.llm.textbatch import Texts, release
 from pairlens.session import fresh_path
 
 LONG = " ".join(f"w{i % 997} x{i}" for i in range(6000))
@@ -255,3 +255,64 @@ def test_token_files_runs_of_copies(spark):
     assert [r.doc_id for r in got] == [None, None, 1, 1, 1, 2, 2, 3, 3]
     assert sorted((r.doc_id is not None, r.doc_id or 0, r.ids) for r in got) == sorted(wanted)
     assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
+
+
+def test_pieces_are_encoded_once_for_all_slices_of_a_job(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    release()
+    encoder, asked = token_files.worker_encoder(path, "one"), []
+    distinct = token_files.PieceEncoder._distinct
+    monkeypatch.setattr(token_files.PieceEncoder, "_distinct", lambda self, pieces: (asked.append(len(pieces)), distinct(self, pieces))[1])
+    texts = ["one two three four", "four three two one", "one two three four five", ""]
+    wanted = [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+
+    def encoded(k: int) -> list:
+        raw = texts[k].encode()
+        ids, sizes = encoder.encode(Texts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])), 2)
+        assert sizes.tolist() == [len(ids)]
+        return ids.tolist()
+
+    assert [encoded(k) for k in range(4)] == wanted and asked == [4, 2, 1]
+    assert encoded(1) == wanted[1] and asked == [4, 2, 1]
+    encoder.REMEMBERED = 5
+    assert [encoded(k) for k in (0, 1, 2)] == wanted[:3] and asked == [4, 2, 1] and len(encoder.met) == 7
+    encoder.forget()
+    assert [encoded(k) for k in range(4)] == wanted and asked[3:] == [4, 4, 5]
+    assert token_files.worker_encoder(path, "one") is encoder and len(encoder.met) == 5
+    assert token_files.worker_encoder(path, "two") is encoder and len(encoder.met) == 0
+    release()
+
+
+def test_tables_of_near_duplicates_are_dealt_once(spark, monkeypatch):
+    """Leaders and the rows that join them come from one exchange by key, whose rows are made once."""
+    plans = {}
+
+    def noted(df, label):
+        made = stored(df, label)
+        if label == "minhash-buckets":
+            plans[label] = df._jdf.queryExecution()
+            df.count()
+        return made
+
+    monkeypatch.setattr(minhash_dedup, "stored", noted)
+    rows = [(i, f"{BASE} e{i % 3}") for i in range(6)] + [(9, "another text of six words"), (10, None)]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [*((i, 0) for i in range(6)), (9, 9), (10, 10)]
+    plan = plans["minhash-buckets"].optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [key#") == 2
+    ran = plans["minhash-buckets"].executedPlan().toString()
+    assert "ReusedExchange" in ran or ran.count("REPARTITION_BY_COL") == 2, ran
+
+
+def test_recurrent_unit_equals_its_formula():
+    net, rng = language_id.initial(3), np.random.default_rng(2)
+    steps = rng.integers(0, 256, (9, 5)).astype(np.uint8)
+    for d, order in (("f", range(9)), ("b", range(8, -1, -1))):
+        h, wanted = np.zeros((5, language_id.WIDTH)), np.zeros((9, 5, language_id.WIDTH))
+        for t in order:
+            z, r = (np.clip(0.5 + 0.25 * (net[f"x{g}{d}"][steps[t]] + h @ net[f"u{g}{d}"]), 0, 1) for g in "zr")
+            c = np.clip(net[f"xn{d}"][steps[t]] + r * (h @ net[f"un{d}"]), -1, 1)
+            h = wanted[t] = h + z * (c - h)
+        (alone, _), (hidden, kept) = language_id._unit(net, d, steps, False), language_id._unit(net, d, steps, True)
+        assert np.allclose(alone, wanted, atol=1e-5) and (alone == hidden).all()
+        assert [k[0] for k in kept] == list(order) and all(np.allclose(before + z * (c - before), hidden[t], atol=1e-6) for t, before, z, _, _, c in kept)
